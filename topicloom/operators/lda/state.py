@@ -26,24 +26,23 @@ def _words(df: DataFrame) -> Column:
     return F.flatten(repeated)
 
 
-def assign_topics(vectors: DataFrame, k: int, topic, key: str = "doc_id") -> DataFrame:
-    """State whose topics are ``topic(doc_key, word, position)``, a column expression mod ``k``."""
-    based = vectors.select(
-        F.col(key).alias("doc_id"),
-        F.xxhash64(F.col(key)).alias("doc_key"),
-        _words(vectors).alias("words"),
+def base_state(vectors: DataFrame, columns: list, key: str = "doc_id") -> DataFrame:
+    """``doc_key`` and ``words`` of each document between given ``columns``; narrow."""
+    first, *rest = columns
+    return vectors.select(
+        first, F.xxhash64(F.col(key)).alias("doc_key"), _words(vectors).alias("words"), *rest
     )
-    z = F.transform(
-        "words", lambda w, at: F.pmod(topic(w, at), F.lit(k)).cast(topic_type(k))
-    )
-    return based.withColumn("z", z)
 
 
 def initial_state(vectors: DataFrame, k: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """Random topics from a hash of (seed, document, position)."""
-    return assign_topics(
-        vectors, k, lambda _, at: F.xxhash64(F.lit(seed), F.col("doc_key"), at), key
-    )
+
+    def topic(_, at):
+        drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_key"), at), F.lit(k))
+        return drawn.cast(topic_type(k))
+
+    state = base_state(vectors, [F.col(key).alias("doc_id")], key)
+    return state.withColumn("z", F.transform("words", topic))
 
 
 def word_topic_counts(state: DataFrame) -> DataFrame:
