@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.operators.lda.state import topic_totals, with_topic_counts, word_topic_counts
+from topicloom.functions.arrays import let
+from topicloom.operators.lda.state import topic_counts, topic_totals, word_topic_counts
 from topicloom.operators.sampling import hash32
 from topicloom.session import broadcast_if_small
 
@@ -31,7 +32,7 @@ def gibbs_sweep(
     words, _ = broadcast_if_small(_by_topic(word_topic, ["term_id"], k, "word_topic"))
     totals = _by_topic(topic_totals(word_topic).withColumn("all", F.lit(1)), ["all"], k, "totals")
     tokens = (
-        with_topic_counts(state, k)
+        state.select("doc_id", topic_counts(F.col("z"), k).alias("doc_topic"), "words", "z")
         .select("doc_id", "doc_topic", F.posexplode(F.arrays_zip("words", "z")).alias("pos", "t"))
         .select("doc_id", "pos", "doc_topic", F.col("t.words").alias("term_id"), F.col("t.z").alias("z"))
         .join(words, "term_id")
@@ -44,16 +45,20 @@ def gibbs_sweep(
         word, total = F.get("word_topic", t), F.get("totals", t)
         return (n - own + alpha) * (word - own + beta) / (total - own + smoothing)
 
-    running = F.aggregate(
-        "weights",
-        F.expr("cast(array() as array<double>)"),
-        lambda acc, w: F.concat(acc, F.array(w + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)))),
-    )
+    def running(weights):
+        return F.aggregate(
+            weights,
+            F.expr("cast(array() as array<double>)"),
+            lambda sums, w: F.concat(
+                sums, F.array(w + F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0.0)))
+            ),
+        )
+
     u = hash32(F.lit(seed), F.lit(sweep), F.col("doc_id"), F.col("pos")) / F.lit(2.0**32)
-    below = F.size(F.filter("running", lambda c: c < F.col("bar")))
-    return (
-        tokens.withColumn("weights", F.transform("doc_topic", weight))
-        .withColumn("running", running)
-        .withColumn("bar", u * F.element_at("running", -1))
-        .select("doc_id", "term_id", "pos", F.least(below, F.lit(k - 1)).alias("topic"))
-    )
+
+    def first_reaching(sums):
+        bar = u * F.element_at(sums, -1)
+        return F.least(F.size(F.filter(sums, lambda c: c < bar)), F.lit(k - 1))
+
+    drawn = let(running(F.transform("doc_topic", weight)), first_reaching)
+    return tokens.select("doc_id", "term_id", "pos", drawn.alias("topic"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.functions.arrays import with_run_lengths
+from topicloom.functions.arrays import let, run_lengths
 
 TOKENS_PER_PARTITION = 20_000_000
 
@@ -59,13 +59,15 @@ def topic_totals(word_topic: DataFrame) -> DataFrame:
     return word_topic.groupBy("topic").agg(F.sum("n").alias("n"))
 
 
-def with_topic_counts(state: DataFrame, k: int) -> DataFrame:
-    """Add ``doc_topic``: how often each of the ``k`` topics occurs in the document; narrow."""
-    runs = with_run_lengths(
-        state.withColumn("_z", F.array_sort("z")), "_z", "_topics", "_counts"
-    ).withColumn("_by_topic", F.map_from_arrays("_topics", "_counts"))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(k - 1)),
-        lambda t: F.coalesce(F.try_element_at("_by_topic", t.cast(topic_type(k))), F.lit(0)),
-    )
-    return runs.withColumn("doc_topic", counts).drop("_z", "_topics", "_counts", "_by_topic")
+def topic_counts(z: Column, k: int) -> Column:
+    """How often each of the ``k`` topics occurs in the array ``z``."""
+    runs = run_lengths(F.sort_array(z), "topics", "counts")
+    by_topic = let(runs, lambda r: F.map_from_arrays(r["topics"], r["counts"]))
+
+    def filled(counts):
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(k - 1)),
+            lambda t: F.coalesce(F.try_element_at(counts, t.cast(topic_type(k))), F.lit(0)),
+        )
+
+    return let(by_topic, filled)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.operators.lda.state import with_topic_counts
+from topicloom.operators.lda.state import topic_counts
 from topicloom.operators.topk import top_k
 from topicloom.operators.vectorize import long_form
 from topicloom.session import cut_lineage
@@ -41,16 +41,20 @@ def topic_word_probs(
     )
 
 
+def _shares(k: int, alpha: float):
+    """Smoothed topic shares from the topics ``z`` of a document."""
+    counts = topic_counts(F.col("z"), k)
+    return F.transform(counts, lambda n: (n + alpha) / (F.size("z") + k * alpha))
+
+
 def theta(state: DataFrame, k: int, alpha: float) -> DataFrame:
     """``(doc_id, theta)``: smoothed topic shares of each document, as an array; narrow."""
-    total = F.size("z") + k * alpha
-    shares = F.transform("doc_topic", lambda n: (n + alpha) / total)
-    return with_topic_counts(state, k).select("doc_id", shares.alias("theta"))
+    return state.select("doc_id", _shares(k, alpha).alias("theta"))
 
 
 def doc_topics(state: DataFrame, k: int, alpha: float) -> DataFrame:
     """``(doc_id, topic, prob)``; each document sums to 1."""
-    return theta(state, k, alpha).select("doc_id", F.posexplode("theta").alias("topic", "prob"))
+    return state.select("doc_id", F.posexplode(_shares(k, alpha)).alias("topic", "prob"))
 
 
 def describe_topics(probs: DataFrame, dictionary: DataFrame, k: int = 50) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.functions.arrays import with_run_lengths
+from topicloom.functions.arrays import run_lengths
 from topicloom.operators.tokens import preprocess_tokens
 from topicloom.operators.vocabulary import token_index
 from topicloom.session import broadcast_if_small
@@ -41,8 +41,9 @@ def doc_term_freq(attached: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def doc_vectors(attached: DataFrame, key: str = "doc_id") -> DataFrame:
     """``(key, term_ids, tfs)``, one row per document that has any known term."""
-    words = attached.groupBy(key).agg(F.array_sort(F.collect_list("term_id")).alias("_words"))
-    return with_run_lengths(words, "_words", "term_ids", "tfs").select(key, "term_ids", "tfs")
+    words = attached.groupBy(key).agg(F.collect_list("term_id").alias("_words"))
+    runs = run_lengths(F.sort_array("_words"), "term_ids", "tfs")
+    return words.select(key, runs.alias("_runs")).select(key, "_runs.term_ids", "_runs.tfs")
 
 
 def long_form(vectors: DataFrame, key: str = "doc_id") -> DataFrame:

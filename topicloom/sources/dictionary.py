@@ -24,7 +24,7 @@ def write_dictionary(dictionary: DataFrame, path: str) -> DataFrame:
 def read_terms(spark: SparkSession, path: str, n: int = MAX_TERMS) -> DataFrame:
     """``(term, term_id)`` from a text file with one term per line, first ``n`` lines only."""
     lines = F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(lines).alias("term_id", "term")).where(
         F.col("term_id") < n
     ).select("term", "term_id")
