@@ -82,7 +82,7 @@ def parse_records(stream) -> Iterator[tuple[dict[str, str], bytes | None, str |
 def _open(raw):
     raw = io.BufferedReader(raw) if not hasattr(raw, "peek") else raw
     packed = raw.peek(2)[:2] == b"\x1f\x8b"
-    return io.BufferedReader(gzip.GzipFile(fileobj=raw)) if packed else raw
+    return gzip.GzipFile(fileobj=raw) if packed else raw
 
 
 def record_batches(path: str, raw, record_type: str | None = None) -> Iterator[pa.RecordBatch]:
