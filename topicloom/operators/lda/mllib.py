@@ -28,6 +28,7 @@ class MlTopicModel:
     features: DataFrame
     k: int
     vocab_size: int
+    beta: float
     train_ms: int
 
 
@@ -66,12 +67,16 @@ def fit_ml(
         rate = minibatch_fraction(features, iterations).first()[0]
         lda = lda.setOptimizer("online").setSubsamplingRate(rate).setOptimizeDocConcentration(False)
     model = lda.fit(features)
-    return MlTopicModel(model, features, k, vocab_size, int((time.time() - began) * 1000))
+    return MlTopicModel(model, features, k, vocab_size, beta, int((time.time() - began) * 1000))
 
 
 def model_from_ml(fitted: MlTopicModel) -> DataFrame:
-    """``(term_id, topic, prob)``: the local model's topics, each normalised to 1."""
-    matrix = fitted.model.topicsMatrix().toArray()
+    """``(term_id, topic, prob)``: the local model as the engine's own; topics sum to 1.
+
+    The matrix holds expected counts, smoothed here as the samplers' counts are: EM
+    leaves a term it has not seen without any weight, which no held-out text survives.
+    """
+    matrix = fitted.model.topicsMatrix().toArray() + fitted.beta
     matrix = matrix / matrix.sum(axis=0)
     term_id, topic = np.indices(matrix.shape, dtype=np.int32)
     table = pa.table(
