@@ -136,8 +136,7 @@ def force_repartition(spark, sf):
 
 
 def term_blocks(spark, sf):
-    dictionary = q.dictionary(spark, sf)
-    size = dictionary.count()
+    dictionary, size = q.known_terms(spark, sf)
     return dictionary.select("term_id", pt.term_block(F.col("term_id"), size, 300).alias("block"))
 
 
@@ -150,8 +149,7 @@ def topic_totals(spark, sf):
 
 
 def _probs(spark, sf):
-    counts, dictionary = word_topic_counts(spark, sf), q.dictionary(spark, sf)
-    width = dictionary.count()
+    counts, (dictionary, width) = word_topic_counts(spark, sf), q.known_terms(spark, sf)
     return md.topic_word_probs(counts, st.topic_totals(counts), dictionary, q.K, width, q.BETA)
 
 
@@ -185,7 +183,7 @@ def doc_topics(spark, sf):
 
 
 def describe_topics(spark, sf):
-    described = md.describe_topics(_probs(spark, sf), q.dictionary(spark, sf), 50)
+    described = md.describe_topics(_probs(spark, sf), q.known_terms(spark, sf)[0], 50)
     return _rounded(described.drop("term_id"))
 
 
@@ -203,7 +201,7 @@ def heldout_perplexity(spark, sf):
 
 
 def gibbs_sweep(spark, sf):
-    width = q.dictionary(spark, sf).count()
+    width = q.known_terms(spark, sf)[1]
     swept = declarative.gibbs_sweep(
         q.assigned(spark, sf), q.K, width, q.ALPHA, q.BETA, SEED, 0
     )
@@ -211,8 +209,7 @@ def gibbs_sweep(spark, sf):
 
 
 def _trained(spark, sf, method):
-    dictionary, vectors = q.dictionary(spark, sf), q.vectors(spark, sf)
-    width = dictionary.count()
+    (dictionary, width), vectors = q.known_terms(spark, sf), q.vectors(spark, sf)
     if method in ("mh", "naive"):
         fitted = sampler.fit_sampler(vectors, width, method, q.K, ITERATIONS)
         probs = md.topic_word_probs(
@@ -224,14 +221,14 @@ def _trained(spark, sf, method):
 
 
 def train_perplexity(spark, sf):
-    width = q.dictionary(spark, sf).count()
+    width = q.known_terms(spark, sf)[1]
     fitted = mllib.fit_ml(q.vectors(spark, sf), width, "sparkem", q.K, ITERATIONS)
     measured = mllib.train_perplexity(fitted)
     return spark.createDataFrame(list(measured.items()), "metric string, value double")
 
 
 def model_from_ml(spark, sf):
-    width = q.dictionary(spark, sf).count()
+    width = q.known_terms(spark, sf)[1]
     return mllib.model_from_ml(
         mllib.fit_ml(q.vectors(spark, sf), width, "sparkonline", q.K, ITERATIONS)
     )
@@ -239,7 +236,7 @@ def model_from_ml(spark, sf):
 
 def checkpoint_resume(spark, sf):
     """Two sweeps, then two more from the checkpoint."""
-    saved, width = scratch_path(spark, "saved"), q.dictionary(spark, sf).count()
+    saved, width = scratch_path(spark, "saved"), q.known_terms(spark, sf)[1]
     vectors = q.vectors(spark, sf)
     sampler.fit_sampler(vectors, width, "mh", q.K, 2, checkpoint_save=saved)
     resumed = sampler.fit_sampler(vectors, width, "mh", q.K, 4, checkpoint_read=saved)
@@ -248,8 +245,7 @@ def checkpoint_resume(spark, sf):
 
 def heldout_fold_in(spark, sf):
     """Perplexity of the test split under topics sampled on the training split."""
-    dictionary = q.dictionary(spark, sf)
-    width = dictionary.count()
+    dictionary, width = q.known_terms(spark, sf)
     train, test = sm.train_test_split(q.vectors(spark, sf), 0.2, SEED)
     fitted = sampler.fit_sampler(train, width, "mh", q.K, ITERATIONS)
     probs = md.topic_word_probs(fitted.word_topic, fitted.totals, dictionary, q.K, width, q.BETA)

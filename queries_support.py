@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from topicloom.operators.lda.state import base_state
 from topicloom.operators.tokens import clean_tokens, stem_vocabulary, tokenize
 from topicloom.operators.vectorize import attach_terms, doc_vectors
 from topicloom.operators.vocabulary import term_counts, vocabulary
+from topicloom.session import keep
 
 VOCAB_SIZE = 2000
 K = 5
@@ -29,14 +32,35 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary(term_counts(stem_vocabulary(cleaned(spark, sf_dir))), VOCAB_SIZE)
 
 
-def attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+@cache
+def _prepared(application: str, spark: SparkSession, sf_dir: str):
+    """Cleaned tokens with persisted stems and dictionary, shared by the later stages."""
     tokens = cleaned(spark, sf_dir)
-    stemmed = stem_vocabulary(tokens)
-    return attach_terms(tokens, stemmed, vocabulary(term_counts(stemmed), VOCAB_SIZE))
+    stemmed = keep(stem_vocabulary(tokens))
+    known = keep(vocabulary(term_counts(stemmed), VOCAB_SIZE))
+    vectors = keep(doc_vectors(attach_terms(tokens, stemmed, known)))
+    return tokens, stemmed, known, vectors, known.count()
+
+
+def _of(spark: SparkSession, sf_dir: str):
+    return _prepared(spark.sparkContext.applicationId, spark, sf_dir)
+
+
+def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of(spark, sf_dir)[1]
+
+
+def known_terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The dictionary and its size."""
+    return _of(spark, sf_dir)[2], _of(spark, sf_dir)[4]
+
+
+def attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attach_terms(*_of(spark, sf_dir)[:3])
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_vectors(attached(spark, sf_dir))
+    return _of(spark, sf_dir)[3]
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,20 +155,23 @@ def mh_draw(s: Settings, sweep, counts, doc, term, old, doc_key, pos, doc_topic,
                 / (counts.totals[k] - own + bb)
             )
 
-        def step(current, proposal, q, u, target=target):
-            ratio = target(proposal) * q(current)
-            return np.where(u * target(current) * q(proposal) < ratio, proposal, current)
+        def step(current, density, proposal, q, u, target=target):
+            """Accept or keep; also the target density of the outcome."""
+            proposed = target(proposal)
+            accept = u * density * q(proposal) < proposed * q(current)
+            return np.where(accept, proposal, current), np.where(accept, proposed, density)
 
-        current = z0.astype(np.int64)
+        current, density = z0, target(z0)
         for pair in range(s.mh_steps):
             u = [s.uniform(s.seed, sweep, 4 * pair + i, keys, at) for i in range(4)]
             found = np.searchsorted(cdf, row + u[0], side="right") - row * s.k
-            current = step(current, np.clip(found, 0, s.k - 1), word_q, u[1])
+            found = np.clip(found, 0, s.k - 1)
+            current, density = step(current, density, found, word_q, u[1])
             n = length[d]
             spot = u[2] * (n + s.k * s.alpha)
             own = z[start[d] + np.minimum(spot.astype(np.int64), n - 1)]
             free = np.clip(((spot - n) / s.alpha).astype(np.int64), 0, s.k - 1)
-            current = step(current, np.where(spot < n, own, free), doc_q, u[3])
+            current, density = step(current, density, np.where(spot < n, own, free), doc_q, u[3])
         new[part] = current
     return new
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from topicloom.functions import text as tx
 from topicloom.functions.stem import stem_box
 from topicloom.functions.stopwords import STOP_WORDS
-from topicloom.session import MAX_BROADCAST_ROWS
+from topicloom.session import MAX_BROADCAST_ROWS, broadcast_if_small, keep
 
 # A token whose share of all tokens exceeds 1/MEMO_SHARE is memoised, so the memo
 # holds fewer than MEMO_SHARE rows whatever the corpus.
@@ -75,12 +75,19 @@ def stem_memo(stemmed: DataFrame, share: int = MEMO_SHARE) -> DataFrame:
 def preprocess_tokens(cleaned: DataFrame, stemmed: DataFrame | None = None) -> DataFrame:
     """``(*keys, stem)`` for cleaned tokens, keeping stems of 3 to 14 letters.
 
-    Frequent tokens take their stem from the broadcast memo, the rare rest is
-    stemmed in place.  Neither needs a shuffle of the corpus.
+    The stems of all distinct tokens are broadcast when their counted number allows.
+    Beyond that only frequent tokens take their stem from a bounded memo, and the
+    rare rest is stemmed in place.  Neither way shuffles the corpus.
     """
-    memo = stem_memo(stem_vocabulary(cleaned) if stemmed is None else stemmed)
-    memo = memo.select("token", F.array("stem").alias("memo"))
     keys = [c for c in cleaned.columns if c != "token"]
+    if stemmed is None:
+        stemmed = keep(stem_vocabulary(cleaned))
+    fitting = stemmed.where(tx.stem_length_ok(F.col("stem"))).select("token", "stem")
+    lookup, small = broadcast_if_small(fitting)
+    if small:
+        return cleaned.join(lookup, "token").select(*keys, "stem")
+    lookup.unpersist()
+    memo = stem_memo(stemmed).select("token", F.array("stem").alias("memo"))
     box = F.coalesce("memo", stem_box(F.col("token")))
     return (
         cleaned.join(F.broadcast(memo), "token", "left")
