@@ -42,13 +42,9 @@ def _n(df: DataFrame) -> DataFrame:
     return df.groupBy(*df.columns).agg(F.count("*").alias("n"))
 
 
-def _documents(spark, sf):
-    return q.table(spark, sf, "documents")
-
-
 def _warc_path(spark, sf):
     path = scratch_path(spark, "warc")
-    q.write_pages_as_warc(q.table(spark, sf, "pages"), path)
+    q.write_pages_as_warc(q.pages(spark, sf), path)
     return path
 
 
@@ -74,7 +70,7 @@ def response_pages(spark, sf):
 
 
 def page_text(spark, sf):
-    return pg.page_text(q.table(spark, sf, "pages")).select("page_id", "text")
+    return pg.page_text(q.pages(spark, sf)).select("page_id", "text")
 
 
 def stem_vocabulary(spark, sf):
@@ -125,7 +121,7 @@ def token_totals(spark, sf):
 
 
 def train_test_split(spark, sf):
-    train, test = sm.train_test_split(_documents(spark, sf).select("doc_id"), 0.2, SEED)
+    train, test = sm.train_test_split(q.table(spark, sf, "documents").select("doc_id"), 0.2, SEED)
     return train.withColumn("split", F.lit("train")).union(
         test.withColumn("split", F.lit("test"))
     )
@@ -258,8 +254,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "warc_records_hadoop": warc_records_hadoop,
         "response_pages": response_pages,
         "page_text": page_text,
-        "tokenize": lambda s, d: _n(tk.tokenize(_documents(s, d))),
-        "tokenize_abbrev": lambda s, d: _n(tk.tokenize_abbrev(_documents(s, d))),
+        "tokenize": lambda s, d: _n(tk.tokenize(q.documents(s, d))),
+        "tokenize_abbrev": lambda s, d: _n(tk.tokenize_abbrev(q.documents(s, d))),
         "clean_tokens": lambda s, d: _n(q.cleaned(s, d)),
         "stem_vocabulary": stem_vocabulary,
         "preprocess_tokens": lambda s, d: _n(tk.preprocess_tokens(q.cleaned(s, d))),
@@ -275,10 +271,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "nonempty_docs": lambda s, d: vz.nonempty_docs(q.vectors(s, d)),
         "corpus_size": corpus_size,
         "token_totals": token_totals,
-        "subsample": lambda s, d: sm.subsample(_documents(s, d), 0.8, SEED).select("doc_id"),
+        "subsample": lambda s, d: sm.subsample(q.table(s, d, "documents"), 0.8, SEED).select("doc_id"),
         "train_test_split": train_test_split,
         "force_repartition": force_repartition,
-        "doc_index": lambda s, d: pt.doc_index(_documents(s, d)),
+        "doc_index": lambda s, d: pt.doc_index(q.table(s, d, "documents")),
         "term_blocks": term_blocks,
         "word_topic_counts": word_topic_counts,
         "topic_totals": topic_totals,

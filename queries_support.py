@@ -11,7 +11,7 @@ from topicloom.operators.lda.state import base_state
 from topicloom.operators.tokens import clean_tokens, stem_vocabulary, tokenize
 from topicloom.operators.vectorize import attach_terms, doc_vectors
 from topicloom.operators.vocabulary import term_counts, vocabulary
-from topicloom.session import keep
+from topicloom.session import keep, spread
 
 VOCAB_SIZE = 2000
 K = 5
@@ -24,8 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"), "page_id")
+
+
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_tokens(tokenize(table(spark, sf_dir, "documents")))
+    return clean_tokens(tokenize(documents(spark, sf_dir)))
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from topicloom.operators.pages import page_text, response_pages
 from topicloom.operators.tokens import clean_tokens, stem_vocabulary, tokenize
 from topicloom.operators.vectorize import attach_terms, doc_vectors
 from topicloom.operators.vocabulary import term_counts, vocabulary
-from topicloom.session import keep, scratch_path, table_complete
+from topicloom.session import keep, scratch_path, spread, table_complete
 from topicloom.sources.dictionary import dictionary_complete, read_dictionary
 from topicloom.sources.reuse import load_or_build, load_or_fit_dictionary
 from topicloom.sources.warc import read_warc
@@ -40,7 +40,7 @@ def build_corpus(
     documents: DataFrame, vocab_size: int = 60_000, dictionary: DataFrame | None = None
 ) -> Corpus:
     """Dictionary and vectors of ``(doc_id, text)`` documents."""
-    cleaned = clean_tokens(tokenize(documents))
+    cleaned = clean_tokens(tokenize(spread(documents, "doc_id")))
     stemmed = keep(stem_vocabulary(cleaned))
     if dictionary is None:
         dictionary = keep(vocabulary(term_counts(stemmed), vocab_size))
@@ -62,7 +62,7 @@ def load_corpus(
         return Corpus(
             read_dictionary(spark, dictionary_path, vocab_size), spark.read.parquet(vectors_path)
         )
-    cleaned = clean_tokens(tokenize(documents()))
+    cleaned = clean_tokens(tokenize(spread(documents(), "doc_id")))
     stemmed = keep(stem_vocabulary(cleaned))
     dictionary = keep(
         load_or_fit_dictionary(

@@ -43,6 +43,15 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Repartition by ``key`` an input that is read in fewer tasks than there are cores.
+
+    Larger inputs are worked on where they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Persist and count ``df``; hint a broadcast only when it has at most ``max_rows`` rows."""
     kept = keep(df)
