@@ -119,6 +119,8 @@ def run(
     if c.final_path:
         export_model(probs, c.final_path)
     topics = describe_topics(probs, corpus.dictionary, TOP_TERMS)
+    tokens = _sum_tokens(train)
+    vectors.unpersist()
     return RunSummary(
-        n_docs, width, _sum_tokens(train), model.train_ms, topics, probs, corpus.dictionary, metrics
+        n_docs, width, tokens, model.train_ms, topics, probs, corpus.dictionary, metrics
     )
