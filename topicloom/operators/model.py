@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from topicloom.operators.lda.state import topic_counts
 from topicloom.operators.topk import top_k
 from topicloom.operators.vectorize import long_form
-from topicloom.session import cut_lineage
+from topicloom.session import cut_lineage, keep
 
 PHI_BROADCAST_BYTES = 256 * 2**20
 ROUNDS_PER_CUT = 10
@@ -126,8 +126,14 @@ def _fold_in_docs(vectors: DataFrame, phi, k: int, alpha: float, rounds: int, ke
 
 
 def _fold_in_joined(vectors, phis, k, alpha, rounds, key):
-    """The same for a phi too large to broadcast: one join and one aggregation per round."""
-    entries = cut_lineage(long_form(vectors, key).join(phis, "term_id"))
+    """The same for a phi too large to broadcast: one join and one aggregation per round.
+
+    The entries are placed by document once and persisted, which keeps their placing
+    known to the planner (a checkpoint would not); the rounds work where they lie.
+    """
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = keep(long_form(vectors, key).join(phis, "term_id").repartition(tasks, key))
+    entries.count()
     sizes = entries.groupBy(key).agg(F.sum("tf").alias("_n"))
     thetas = sizes.select(key, "_n", F.array_repeat(F.lit(1.0 / k), k).alias("theta"))
     for done in range(1, rounds + 1):
