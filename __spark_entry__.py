@@ -29,6 +29,14 @@ from topicloom.sources import model_file as mf  # noqa: E402
 from topicloom.sources import warc  # noqa: E402
 from topicloom.sources.reuse import load_or_build, load_or_fit_dictionary  # noqa: E402
 
+try:  # these two may be taken out of the repository together
+    import corpus_pipeline
+    from topicloom.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "topicloom.llm"):
+        raise
+    llm = None
+
 ITERATIONS = 5
 SEED = 42
 
@@ -249,7 +257,8 @@ def heldout_fold_in(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    more = {**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {}
+    return more | {
         "warc_records": warc_records,
         "warc_records_hadoop": warc_records_hadoop,
         "response_pages": response_pages,
@@ -299,4 +308,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql()
+    return (llm.oracle_sql() if llm else {}) | oracle.oracle_sql()
