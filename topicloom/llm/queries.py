@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import decontaminate, simhash, token_count, toxicity
+from topicloom.llm import decontaminate, packing, simhash, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        pieces = packing.pack(table(spark, sf_dir, "documents"), file.read())
+    return pieces.drop("ids")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
@@ -49,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": op3_token_counts,
         "op7_toxicity": op7_toxicity,
+        "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
     }
