@@ -40,7 +40,7 @@ DISCOUNT, CLASS_DISCOUNT = 0.75, 1.5
 #: Shared counts that each class adds to a context.
 SHARED = 2.0
 BUCKETS = 2**21
-#: At most so many labelled documents, drawn by hash of their id, fit the logistic curve.
+#: About so many labelled documents at most, drawn by hash of their id, fit the logistic curve.
 CALIBRATION_ROWS = 100_000
 LABEL_BYTES = 64 * 2**20
 WORD_MEMO = 300_000
@@ -264,16 +264,17 @@ def _features_of(table, kind: str):
     return measure, f"{kind}, features {FEATURES}"
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(id, text, toxic) of the labelled documents."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
+    """(id, text, toxic) of the labelled documents, and the number of labels."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(
         F.max((F.col(label_col) != 0).cast("int")).alias("toxic")
     )
-    if known.count() * 32 <= LABEL_BYTES:
+    count = known.count()
+    if count * 32 <= LABEL_BYTES:
         known = F.broadcast(known)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(known, "id")
+    return texts.join(known, "id"), count
 
 
 def train(
@@ -281,10 +282,10 @@ def train(
     label_col: str = "toxic",
 ) -> Model:
     """Learn from the labelled documents outside fold 0: folds 1 to 3 are counted, fold 4
-    (at most CALIBRATION_ROWS of it) fits the logistic curve."""
+    (about CALIBRATION_ROWS of it at most) fits the logistic curve."""
     spark = docs.sparkSession
     usable = labels.where(fold(id_col) != 0)
-    known = labelled(docs, usable, id_col, text_col, label_col)
+    known, count = labelled(docs, usable, id_col, text_col, label_col)
     counted = known.where(fold("id") != 4).select("text", "toxic").mapInArrow(
         _count_words, "word string, n_ordinary long, n_toxic long"
     )
@@ -299,8 +300,9 @@ def train(
     table = np.full(BUCKETS, np.nan, np.float32)
     table[cells.column("bucket").to_numpy()] = cells.column("ratio").to_numpy()
 
-    held = known.where(fold("id") == 4).select("id", "text", "toxic")
-    held = held.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).select("toxic", "text")
+    part = min(1.0, CALIBRATION_ROWS / max(1, count / 4))
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000)
+    held = known.where((fold("id") == 4) & drawn).select("toxic", "text")
     measure, schema = _features_of(spark.sparkContext.broadcast(table), "toxic int")
     sample = held.mapInArrow(measure, schema).toArrow()
     toxic = np.asarray(sample.column("toxic").to_pylist(), dtype=float)
