@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import decontaminate, packing, phrases, simhash, token_count, toxicity
+from topicloom.llm import ann, decontaminate, packing, phrases, simhash, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("id"))
+    return ann.search_rows(ann.build(vectors), asked, k=20)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_count.token_counts(table(spark, sf_dir, "documents"), path)
@@ -58,6 +64,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": op1_ann,
         "op3_token_counts": op3_token_counts,
         "op6_phrases": op6_phrases,
         "op7_toxicity": op7_toxicity,
