@@ -33,6 +33,8 @@ LENGTH = 2048
 WIDTH, DIMENSIONS, BITS = 64, 3, 16
 WORD_MEMO = 250_000
 
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
 
 def hilbert_keys(places: np.ndarray, bits: int) -> np.ndarray:
     """Position on the Hilbert curve of integer points, after Skilling (2004)."""
@@ -88,10 +90,11 @@ def _tokenizer(definition: str):
 
 
 class Encoder:
-    """Ids of texts by a ``tokenizers`` definition that drops white space.
+    """Ids of texts by a ``tokenizers`` definition that drops white space and case.
 
-    Such a tokenizer works on each part between ASCII white space by itself, so ids of
-    frequent parts are remembered.
+    Such a tokenizer works on each part between ASCII white space by itself, and keeps
+    letters apart from full stops and commas behind them.  Ids of frequent parts are
+    remembered, in lower case.
     """
 
     def __init__(self, definition: str, end_id: int):
@@ -99,21 +102,45 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.end = np.array([end_id], "<u4").tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content.lower().encode() for t in added]
+
+    def _split(self, words) -> list[tuple[bytes, bytes, bytes]]:
+        """(word, word without the stops behind a letter, those stops)."""
+        bare = [w.rstrip(b".,") for w in words]
+        return [
+            (w, b, w[len(b) :]) if b[-1:].isalpha() else (w, w, b"") for w, b in zip(words, bare)
+        ]
+
+    def _learn(self, words: set[bytes]) -> None:
+        parts = self._split(words)
+        needed = {p for _, bare, stops in parts for p in (bare, stops) if p}
+        self._recall(needed)
+        unknown = list(needed.difference(self.known))
         encoded = self.tokenizer.encode_batch_fast(
-            [w.decode() for w in words], add_special_tokens=False
+            [w.decode() for w in unknown], add_special_tokens=False
         )
-        self.known.update(zip(words, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
+        self.known.update(zip(unknown, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
+        for word, bare, stops in parts:
+            if stops:
+                self.known[word] = self.known[bare] + self.known[stops]
+
+    def _lowered(self, text: bytes) -> bytes:
+        """In lower case, unless that could write a special token that was none."""
+        lowered = text.translate(_LOWER)
+        return text if any(s in lowered for s in self.special) else lowered
+
+    def _recall(self, words: set[bytes]) -> None:
+        self.known.update((w, self.before[w]) for w in words.intersection(self.before))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Per text its ids and the end id, as little-endian unsigned 32-bit numbers."""
-        words = [t.split() for t in texts]
+        words = [self._lowered(t).split() for t in texts]
         if len(self.known) > WORD_MEMO:
             self.known, self.before = {}, self.known
         unknown = {w for own in words for w in own}.difference(self.known)
-        self.known.update((w, self.before[w]) for w in unknown.intersection(self.before))
-        if new := list(unknown.difference(self.before)):
+        self._recall(unknown)
+        if new := unknown.difference(self.before):
             self._learn(new)
         return [b"".join(map(self.known.__getitem__, own)) + self.end for own in words]
 
