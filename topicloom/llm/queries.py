@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import ann, decontaminate, packing, phrases, simhash, token_count, toxicity
+from topicloom.llm import ann, decontaminate, packing, phrases, simhash, token_count, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,16 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search_rows(ann.build(vectors), asked, k=20)
 
 
+URL_RULES = [
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+    ("allow", "com/fr/"), ("block", "com/de/"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_count.token_counts(table(spark, sf_dir, "documents"), path)
@@ -65,6 +75,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": op1_ann,
+        "op2_url_filter": op2_url_filter,
         "op3_token_counts": op3_token_counts,
         "op6_phrases": op6_phrases,
         "op7_toxicity": op7_toxicity,
