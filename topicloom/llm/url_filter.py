@@ -3,9 +3,9 @@
 Everything is DataFrame operations.  The urls that rules decide are the labels.  Paths are
 cut into segments; numbers and hashes in them become placeholders, and equal paths of a
 host are counted before anything else, so what follows works on counts.  From the root
-down, a node's children become one wildcard branch where the segment is variable (many
-children with few urls each), and children whose share of blocked urls cannot be told
-from the node's are merged into that branch too.  A template is a path through the merged
+down, a node's rare children become one wildcard branch where the segment is variable
+(there are many of them), and children whose share of blocked urls cannot be told from
+the node's are merged into that branch too.  A template is a path through the merged
 tree; its purity is the share of allowed urls, smoothed towards the purity of the same
 template on all hosts, and that towards the share of all labelled urls.  Templates with a
 purity below one half are blocked.
@@ -30,7 +30,7 @@ from topicloom.llm.common import written
 
 #: Levels of the tree; deeper segments do not tell templates apart.
 DEPTH = 4
-#: A segment is variable with so many children and fewer urls for each.
+#: A segment is variable where so many children have fewer urls than this.
 CHILDREN, URLS_EACH = 8, 4
 #: Labelled urls that a child needs to be compared with its node, and standard errors.
 LABELLED, ERRORS = 10, 2.0
@@ -75,7 +75,7 @@ def _level(tree: DataFrame, depth: int) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in ("n", "n_allow", "n_block")]
     child = tree.where("segment is not null").groupBy(*key, "segment").agg(*sums)
     node = child.groupBy(*key).agg(
-        F.count("*").alias("children"), F.sum("n").alias("urls"),
+        F.count("*").alias("children"), F.count_if(F.col("n") < URLS_EACH).alias("rare"),
         F.sum("n_block").alias("all_block"), F.sum(F.col("n_allow") + F.col("n_block")).alias("labelled"),
     )
     own, all_labels = F.col("n_allow") + F.col("n_block"), F.col("labelled")
@@ -83,7 +83,7 @@ def _level(tree: DataFrame, depth: int) -> DataFrame:
     error = F.sqrt(F.try_divide(share * (1 - share), own))
     apart = F.abs(F.try_divide("n_block", own) - share)
     similar = (F.col("children") > 1) & (own >= LABELLED) & (apart <= ERRORS * error)
-    variable = (F.col("children") >= CHILDREN) & (F.col("urls") < URLS_EACH * F.col("children"))
+    variable = (F.col("rare") >= CHILDREN) & (F.col("n") < URLS_EACH)
     branch = F.when(variable | F.coalesce(similar, F.lit(False)), "*").otherwise(F.col("segment"))
     branches = child.join(node, key).select(*key, "segment", branch.alias("branch"))
     longer = F.concat("template", F.lit("/"), "branch")
