@@ -233,6 +233,8 @@ def _covered(block: Block, starts: np.ndarray) -> np.ndarray:
 def _remove(window: int):
     def remove(table: pa.Table, confirmed: pa.Table) -> pa.Table:
         block = Block(table, window)
+        kind = table.schema.field("row").type
+        row = pa.struct([kind.field(i).with_nullable(True) for i in range(kind.num_fields)])
         covered = _covered(block, _recurring(block, confirmed))
         removed = np.diff(np.concatenate([[0], np.cumsum(covered)])[block.edges])
         kept = []
@@ -241,7 +243,7 @@ def _remove(window: int):
             kept.append(b" ".join(left))
         return pa.Table.from_arrays(
             [
-                block.table.column("row"), block.table.column("text"), pa.array(np.diff(block.edges)),
+                block.table.column("row").cast(row), block.table.column("text"), pa.array(np.diff(block.edges)),
                 pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string()),
             ],
             ["row", "text", "n_words", "n_removed", "kept"],

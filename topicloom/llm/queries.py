@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import ann, decontaminate, packing, phrases, simhash, token_count, toxicity, url_filter
+from topicloom.llm import (
+    ann, decontaminate, packing, phrases, quotes, simhash, sql, token_count, toxicity, url_filter,
+    warc_derive,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +39,39 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), path)
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as responses, and their derivatives without the blocks' contents."""
+    responses = table(spark, sf_dir, "pages").select(
+        warc_derive.urn(F.concat(F.lit("page-"), F.col("page_id").cast("string"))).alias("record_id"),
+        F.col("url").alias("target_uri"), F.lit(None).cast("string").alias("date"),
+        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n").alias("http"), "html",
+    )
+    return warc_derive.derive(responses).drop("source_id", "date", "block")
+
+
+def quoting(messages: DataFrame) -> DataFrame:
+    """Every message with the one before it quoted, and the one before that quoted twice."""
+    texts = messages.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+
+    def quoted(back, mark):
+        lines = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit(mark), x, F.lit("\n")))
+        return texts.select(
+            "conv_id", (F.col("turn") + back).alias("turn"), F.array_join(lines, "").alias(f"quote{back}")
+        )
+
+    joined = messages.select("conv_id", "turn", "text")
+    for back, mark in ((1, "> "), (2, ">> ")):
+        joined = joined.join(quoted(back, mark), ["conv_id", "turn"], "left")
+    parts = [F.coalesce(c, F.lit("")) for c in ("quote2", "quote1", "text")]
+    return joined.select("conv_id", "turn", F.concat(*parts).alias("text"))
+
+
+def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that quote their predecessors, made of the conversations and taken apart again."""
+    found = quotes.reply_order(quoting(table(spark, sf_dir, "conversations")))
+    return found.withColumn("text_md5", F.md5(F.col("text").cast("binary"))).drop("text")
+
+
 def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrases.find_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -77,6 +113,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ann": op1_ann,
         "op2_url_filter": op2_url_filter,
         "op3_token_counts": op3_token_counts,
+        "op4_warc_derivatives": op4_warc_derivatives,
+        "op5_quotes": op5_quotes,
         "op6_phrases": op6_phrases,
         "op7_toxicity": op7_toxicity,
         "op8_packing": op8_packing,
@@ -86,4 +124,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_derivatives": sql.OP4, "op5_quotes": sql.OP5}

@@ -12,7 +12,14 @@ together in arrays.
 A shard reports a star for each group that it links, not the pairs; stars are contracted
 to components by rounds of joins, in tables in the shared folder.  Copies of a text share
 one fingerprint and are never paired.  The trees are not broadcast, since together they
-grow with the corpus: fingerprints travel to the trees instead, ten rows of 16 bytes each.
+grow with the corpus: fingerprints travel to the trees instead, ten small rows each.
+
+``without_near_duplicates`` looks wider: fingerprints have ``WORDS`` times 64 bits, which
+estimate the similarity (Jaccard) of two sets of shingles; links are pairs whose bits
+differ as little as those of the wanted similarity do.  At such distances blocks do not
+help, so shards are the values of sampled bits; their number is chosen so that a pair of
+exactly the wanted similarity shares a shard with probability ``FOUND``, and closer ones
+more surely.
 
 Texts without words (null, empty) have fingerprint zero and are linked like any other.
 Fewer words than a shingle make one shingle of all of them.  Every row gets a result;
@@ -30,10 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import bounds, chunks, with_uid, written
+from topicloom.llm.common import bounds, chunks, mixed, with_uid, written
 
 RADIUS = 3
 SEED = 42
+WORDS, SIMILARITY, FOUND = 4, 0.8, 0.95
 #: Fingerprints that one search works on at once, and pairs of search and node.
 BLOCK_ROWS, BLOCK_PAIRS = 100_000, 2_000_000
 _BIT_ROWS = 2**17
@@ -53,12 +61,9 @@ def shingle_hashes(text: bytes, size: int) -> list[int]:
     return [hashed(joined[a : b - 1], SEED) for a, b in zip(ends, ends[size:])]
 
 
-def fingerprints_of(texts: list[bytes], size: int) -> np.ndarray:
-    """One unsigned 64-bit fingerprint a text."""
-    hashes = [shingle_hashes(t, size) for t in texts]
-    edges = bounds([len(h) for h in hashes])
-    flat = np.fromiter((h for own in hashes for h in own), np.uint64, int(edges[-1]))
-    ones = np.zeros((len(texts), 64), np.int64)
+def _majorities(flat: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The fingerprint of each run of hashes between two ``edges``."""
+    ones = np.zeros((len(edges) - 1, 64), np.int64)
     for a in range(0, len(flat), _BIT_ROWS):
         block = flat[a : a + _BIT_ROWS].astype("<u8")
         bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -69,11 +74,25 @@ def fingerprints_of(texts: list[bytes], size: int) -> np.ndarray:
     return np.packbits(majority, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
+def fingerprints_of(texts: list[bytes], size: int, words: int = 1) -> np.ndarray:
+    """``words`` unsigned 64-bit fingerprints a text, of shape (texts, words).
+
+    The first is that of the shingles' XXH64, the others those of hashes mixed from it.
+    """
+    hashes = [shingle_hashes(t, size) for t in texts]
+    edges = bounds([len(h) for h in hashes])
+    flat = np.fromiter((h for own in hashes for h in own), np.uint64, int(edges[-1]))
+    made = [_majorities(flat, edges)]
+    for n in range(1, words):
+        made.append(_majorities(mixed(mixed(flat + np.uint64(n * 0x9E3779B97F4A7C15 % 2**64))), edges))
+    return np.stack(made, axis=1)
+
+
 def _fingerprint(size: int):
     def fingerprint(batches):
         for batch in batches:
             for part, texts in chunks(batch, "text"):
-                found = fingerprints_of(texts, size).view(np.int64)
+                found = fingerprints_of(texts, size)[:, 0].view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], ["id", "fp"])
 
     return fingerprint
@@ -86,8 +105,17 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
     return rows.mapInArrow(_fingerprint(shingle), f"id {kind}, fp long")
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+#: More than any distance, so that node * _FAR + distance is a key.
+_FAR = 1024
+
+
 class Forest:
-    """BK-trees of several shards: ``shard`` is sorted, values within a shard are distinct."""
+    """BK-trees of several shards: ``shard`` is sorted, values (of shape (n, words)) within
+    a shard are distinct."""
 
     def __init__(self, values: np.ndarray, shard: np.ndarray):
         self.values = values
@@ -98,13 +126,13 @@ class Forest:
             head = np.concatenate([[True], group[1:] != group[:-1]])
             top = np.repeat(nodes[head], np.diff(np.append(np.flatnonzero(head), len(nodes))))
             nodes, top = nodes[~head], top[~head]
-            distance = np.bitwise_count(values[nodes] ^ values[top]).astype(np.int64)
+            distance = _distance(values[nodes], values[top])
             parent[nodes], edge[nodes] = top, distance
-            group = top * 65 + distance
+            group = top * _FAR + distance
             order = np.argsort(group, kind="stable")
             nodes, group = nodes[order], group[order]
         # A node's parent is the last one it was compared with.
-        key = parent * 65 + edge
+        key = parent * _FAR + edge
         child = np.flatnonzero(parent >= 0)
         order = np.argsort(key[child], kind="stable")
         self.children, self.keys = child[order], key[child][order]
@@ -120,12 +148,12 @@ class Forest:
                     half = len(search) // 2
                     waiting += [(search[:half], node[:half]), (search[half:], node[half:])]
                     continue
-                distance = np.bitwise_count(self.values[search] ^ self.values[node]).astype(np.int64)
+                distance = _distance(self.values[search], self.values[node])
                 near = (distance <= radius) & (node < search)
                 if near.any():
                     yield search[near], node[near]
-                low = np.searchsorted(self.keys, node * 65 + np.maximum(distance - radius, 0))
-                high = np.searchsorted(self.keys, node * 65 + np.minimum(distance + radius, 64), "right")
+                low = np.searchsorted(self.keys, node * _FAR + np.maximum(distance - radius, 0))
+                high = np.searchsorted(self.keys, node * _FAR + distance + radius, "right")
                 many = high - low
                 if many.sum():
                     at = np.repeat(low - bounds(many)[:-1], many) + np.arange(many.sum())
@@ -156,28 +184,37 @@ def _smallest_linked(values: np.ndarray, shard: np.ndarray, radius: int) -> np.n
 
 
 def _search_shards(radius: int):
-    """Stars (fp, other) of the linked fingerprints in each shard; input is sorted by shard."""
+    """Stars (node, other) of the linked fingerprints in each shard; input (shard, node,
+    fp) is sorted by shard.  A long or binary fp; links are named by ``node``."""
 
-    def solve(shard, values):
-        label = _smallest_linked(values.view(np.uint64), shard, radius)
+    def solve(shard, nodes, values):
+        label = _smallest_linked(values, shard, radius)
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pa.RecordBatch.from_arrays(
-            [pa.array(values[linked]), pa.array(values[label[linked]])], ["a", "b"]
+            [pa.array(nodes[linked]), pa.array(nodes[label[linked]])], ["a", "b"]
         )
 
+    def arrays(batch):
+        shard, nodes, fp = (batch.column(i) for i in range(3))
+        if pa.types.is_binary(fp.type):
+            values = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(fp), -1)
+        else:
+            values = fp.to_numpy().view(np.uint64).reshape(-1, 1)
+        return shard.to_numpy(), nodes.to_numpy(), values
+
     def search(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        held, size = [], 0
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if batch.num_rows:
+                held.append(arrays(batch))
             size += batch.num_rows
             if size < BLOCK_ROWS:
                 continue
-            shard, values = (np.concatenate(x) for x in zip(*held))
-            last = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
+            columns = [np.concatenate(x) for x in zip(*held)]
+            last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last shard may go on
             if last:
-                yield solve(shard[:last], values[:last])
-            held, size = [(shard[last:], values[last:])], len(shard) - last
+                yield solve(*(c[:last] for c in columns))
+            held, size = [[c[last:] for c in columns]], size - last
         if held:
             yield solve(*(np.concatenate(x) for x in zip(*held)))
 
@@ -197,7 +234,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.lit(n << 2 * width).bitwiseOR(F.shiftleft(blocks[i], width)).bitwiseOR(blocks[j])
         for n, (i, j) in enumerate(combinations(range(count), 2))
     ]
-    dealt = distinct.select(F.explode(F.array(*keys)).alias("shard"), "fp")
+    dealt = distinct.select(F.explode(F.array(*keys)).alias("shard"), F.col("fp").alias("node"), "fp")
     sharded = dealt.repartition("shard").sortWithinPartitions("shard", "fp")
     return sharded.mapInArrow(_search_shards(radius), "a long, b long")
 
@@ -244,3 +281,65 @@ def near_duplicates(
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")
     return found.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def differing(similarity: float) -> float:
+    """The share of fingerprint bits that differ between sets of this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _wide(size: int, keys: list[np.ndarray]):
+    """(uid, fp, shards): long fingerprints and their values at each key's bits."""
+
+    def fingerprint(batches):
+        for batch in batches:
+            for part, texts in chunks(batch, "text"):
+                found = fingerprints_of(texts, size, WORDS).astype("<u8")
+                bits = np.unpackbits(found.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+                shards = np.stack(
+                    [(bits[:, k] << np.arange(len(k))).sum(axis=1) + (n << 40) for n, k in enumerate(keys)], 1
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), pa.array([f.tobytes() for f in found], pa.binary()),
+                        pa.array(shards.tolist(), pa.list_(pa.int64())),
+                    ],
+                    ["uid", "fp", "shards"],
+                )
+
+    return fingerprint
+
+
+def sampled_keys(rows: int, similarity: float) -> list[np.ndarray]:
+    """Bits of each key: enough for small shards, and enough keys to find similar pairs."""
+    size = min(40, max(16, int(np.ceil(np.log2(rows + 1))) - 2))
+    agree = (1 - differing(similarity)) ** size
+    count = int(np.ceil(np.log(1 - FOUND) / np.log(1 - agree)))
+    rng = np.random.default_rng(SEED)
+    return [rng.choice(64 * WORDS, size, replace=False) for _ in range(count)]
+
+
+def without_near_duplicates(
+    docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY
+) -> DataFrame:
+    """The first row of each group of near duplicates, unchanged and with all its columns.
+
+    ``docs`` must be read from files (or a checkpoint): it is read twice, and rows are
+    told apart by their place.
+    """
+    rows = with_uid(docs, text=F.col(text_col).cast("string"))
+    keys = sampled_keys(docs.count(), similarity)
+    radius = int(np.ceil(64 * WORDS * differing(similarity)))
+    found = written(
+        rows.select("uid", "text").mapInArrow(_wide(shingle, keys), "uid long, fp binary, shards array<long>"),
+        "fingerprints",
+    )
+    distinct = found.groupBy("fp").agg(F.min("uid").alias("node"), F.first("shards").alias("shards"))
+    dealt = distinct.select(F.explode("shards").alias("shard"), "node", "fp")
+    sharded = dealt.repartition("shard").sortWithinPartitions("shard", "node")
+    roots = components(sharded.mapInArrow(_search_shards(radius), "a long, b long"))
+    first = roots.groupBy("root").agg(F.min("node").alias("node"))
+    later = roots.select("node").join(first.select("node"), "node", "left_anti")
+    copies = found.join(distinct.select("fp", "node"), "fp").where("uid <> node").select("uid")
+    dropped = later.select(F.col("node").alias("uid")).unionByName(copies)
+    return rows.select("uid", "row").join(written(dropped, "dropped"), "uid", "left_anti").select("row.*")
