@@ -27,7 +27,7 @@ def planted(spark):
 
 
 def counts_of(state, k=K):
-    return sp.block_counts(state, 0, None, k)
+    return sp.block_counts(word_topic_counts(state), 0, V, k)
 
 
 def topics_of(state):
@@ -58,14 +58,14 @@ def test_block_counts_keep_hot_and_tail_rows(cutoff):
 
 
 def slow_gibbs(words, z, keys, totals, nwk, s):
-    """The frozen-count sweep token by token, for one group of positions at a time."""
+    """The frozen-count sweep token by token, for one group of terms at a time."""
     out = [list(x) for x in z]
     for group in range(s.groups):
         frozen = [list(x) for x in out]
         for d, doc in enumerate(words):
             ndk = np.bincount(frozen[d], minlength=s.k)
             for p, w in enumerate(doc):
-                if p % s.groups != group:
+                if w * s.groups // s.vocab_size != group:
                     continue
                 own = np.arange(s.k) == frozen[d][p]
                 weight = (ndk - own + s.alpha) * (nwk[w] - own + s.beta)
@@ -215,7 +215,28 @@ def test_bad_arguments(planted, bad):
 
 def test_power_law_cutoff():
     assert sp.power_law_cutoff(30) == 66_666
-    assert sp.block_terms(30) * 30 * sp.BYTES_PER_CELL <= sp.MODEL_BLOCK_BYTES
+
+
+def test_slices_are_whole_groups_within_the_budget(monkeypatch):
+    monkeypatch.setattr(sp, "MODEL_BLOCK_BYTES", 25 * 30 * sp.BYTES_PER_CELL)
+    s = kn.Settings(30, 0.5, 0.01, 100, groups=10)
+    assert sp.slices(0, 100, s) == [(0, 20), (20, 40), (40, 60), (60, 80), (80, 100)]
+    assert sp.slices(5, 33, s) == [(5, 30), (30, 33)]
+    monkeypatch.setattr(sp, "MODEL_BLOCK_BYTES", 1)
+    assert sp.slices(0, 30, s) == [(0, 10), (10, 20), (20, 30)]
+
+
+@pytest.mark.parametrize("method", ["mh", "naive"])
+def test_the_byte_limit_changes_nothing(spark, planted, monkeypatch, method):
+    whole = topics_of(sp.fit_sampler(planted, V, method, K, 2).state)
+    monkeypatch.setattr(sp, "MODEL_BLOCK_BYTES", 30 * K * sp.BYTES_PER_CELL)
+    assert topics_of(sp.fit_sampler(planted, V, method, K, 2).state) == whole
+
+
+def test_a_checkpoint_of_other_settings_is_refused(spark, planted, tmp_path):
+    sp.fit_sampler(planted, V, "mh", K, 1, checkpoint_save=str(tmp_path / "c"))
+    with pytest.raises(ValueError, match="seed"):
+        sp.fit_sampler(planted, V, "mh", K, 2, seed=7, checkpoint_read=str(tmp_path / "c"))
 
 
 def test_counts_of_state(spark, planted):

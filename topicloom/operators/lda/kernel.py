@@ -1,8 +1,9 @@
 """The draws of one sweep over a batch of documents, in numpy.
 
 Word-topic counts are frozen while a term block is sampled.  Within a document
-the topic counts are refreshed between groups of positions (position modulo
-``groups``).  Each draw depends only on frozen counts and on uniforms keyed by
+the topic counts are refreshed between ``groups`` of neighbouring terms, in the
+order of the terms.  Delivering the counts in slices that end where groups end
+therefore changes no draw.  Each draw depends only on frozen counts and on uniforms keyed by
 (seed, sweep, step, document, position), so neither the batch nor the partition
 a document sits in can change the outcome.
 """
@@ -106,6 +107,10 @@ class Settings:
     groups: int = 8
     uniform: Callable = uniforms
 
+    def group_ends(self) -> list[int]:
+        """The term ids at which groups end, ascending."""
+        return [-(-g * self.vocab_size // self.groups) for g in range(1, self.groups + 1)]
+
 
 def gibbs_draw(s: Settings, sweep, counts, doc, term, old, doc_key, pos, doc_topic, **_):
     """Topics drawn from the full conditional over all K topics."""
@@ -186,9 +191,10 @@ def _documents(draw, s, sweep, counts, words, z, offsets, doc_keys):
     pos = np.arange(len(words)) - start[doc]
     cells = len(length) * s.k
     doc_topic = np.bincount(doc * s.k + z, minlength=cells).reshape(-1, s.k)
-    in_block = (words >= counts.first) & (words < counts.last)
-    for group in range(s.groups):
-        at = np.flatnonzero(in_block & (pos % s.groups == group))
+    inside = np.flatnonzero((words >= counts.first) & (words < counts.last))
+    group = words[inside].astype(np.int64) * s.groups // s.vocab_size
+    inside = inside[np.argsort(group, kind="stable")]
+    for at in np.split(inside, np.flatnonzero(np.diff(np.sort(group))) + 1):
         if not len(at):
             continue
         d, old = doc[at], z[at]

@@ -3,8 +3,8 @@
 The documents never move: a sweep maps each partition of the training state to
 its successor and then counts words per topic, which is the only shuffle (at
 most terms x topics rows per task).  What the tasks need of the model is sent as
-a broadcast of one term block, whose size is bounded before it is collected; a
-model beyond the bound is worked through in several blocks per sweep.
+a broadcast of one slice of the counts, whose size is bounded before it is
+collected; a model beyond the bound is worked through in several slices.
 
 Each state is a table in the shared folder, so a lost executor costs the tasks
 it was running, and neither plans nor lineage grow with the number of sweeps.
@@ -34,6 +34,7 @@ from topicloom.sources import checkpoints
 
 MODEL_BLOCK_BYTES = 256 * 2**20
 BYTES_PER_CELL = 24  # a dense count, its cumulative share, and slack for the collected rows
+GROUP_TERMS = 1000  # terms between two refreshes of the documents' topic counts
 POWER_LAW_CELLS = 2_000_000  # dense cells of the hot terms
 
 
@@ -57,26 +58,38 @@ def power_law_cutoff(k: int) -> int:
     return POWER_LAW_CELLS // k
 
 
-def block_terms(k: int) -> int:
-    """Terms per block such that a full block stays within the broadcast budget."""
-    return max(1, MODEL_BLOCK_BYTES // (k * BYTES_PER_CELL))
-
-
-def block_counts(state: DataFrame, first: int, last: int, k: int) -> BlockCounts:
-    """Collect the counts of one term block; at most (block + 1) x k rows reach the driver."""
-    counted = state
-    if last is not None:
-        # Other terms only add to the totals; -1 stands for all of them.
-        inside = F.transform("words", lambda w: F.when((w >= first) & (w < last), w).otherwise(-1))
-        counted = state.withColumn("words", inside)
-    table = word_topic_counts(counted).toArrow()
-    term_id, topic, n = (table.column(c).to_numpy() for c in ("term_id", "topic", "n"))
-    totals = np.bincount(topic, weights=n, minlength=k)
-    mine = term_id >= 0
-    end = last if last is not None else int(term_id.max(initial=-1)) + 1
-    return BlockCounts.build(
-        first, end, k, power_law_cutoff(k), term_id[mine], topic[mine], n[mine], totals
-    )
+def slices(first: int, last: int, s: Settings) -> list[tuple[int, int]]:
+    """Cut the terms ``first`` to ``last`` into runs of whole groups within the broadcast budget.
+
+    A single group that exceeds the budget is a slice of its own.
+    """
+    most = max(1, MODEL_BLOCK_BYTES // (s.k * BYTES_PER_CELL))
+    ends = sorted({e for e in s.group_ends() if first < e < last} | {last})
+    cut, start, end = [], first, first
+    for e in ends:
+        if e - start > most and end > start:
+            cut.append((start, end))
+            start = end
+        end = e
+    return [*cut, (start, end)]
+
+
+def block_counts(table: DataFrame, first: int, last: int, k: int, totals=None) -> BlockCounts:
+    """Collect the counts of the terms ``first`` to ``last`` from a table of word-topic
+    counts; at most slice x k rows reach the driver."""
+    if totals is None:
+        totals = total_counts(table, k)
+    mine = table.where((F.col("term_id") >= first) & (F.col("term_id") < last)).toArrow()
+    term_id, topic, n = (mine.column(c).to_numpy() for c in ("term_id", "topic", "n"))
+    return BlockCounts.build(first, last, k, power_law_cutoff(k), term_id, topic, n, totals)
+
+
+def total_counts(table: DataFrame, k: int) -> np.ndarray:
+    rows = topic_totals(table).collect()
+    totals = np.zeros(k)
+    for row in rows:
+        totals[row["topic"]] = row["n"]
+    return totals
 
 
 def sample_block(state: DataFrame, counts: BlockCounts, method: str, s: Settings, sweep: int):
@@ -131,9 +144,10 @@ def fit_sampler(
 ) -> TopicModel:
     """Train by ``mh`` (Metropolis-Hastings) or ``naive`` (full conditional) sampling.
 
-    ``block_size`` terms are resampled at a time, with fresh counts for each block;
-    by default as many as the broadcast budget allows.  ``checkpoint_read`` resumes
-    from the latest complete sweep found there.
+    ``block_size`` terms are resampled at a time, with fresh counts for each block; by
+    default a sweep counts once.  The broadcast budget only slices the delivery of counts
+    that stay frozen, so it changes no result.  ``checkpoint_read`` resumes from the latest
+    complete sweep found there, if it was written with the same settings.
     """
     if method not in ("mh", "naive"):
         raise ValueError("method must be 'mh' or 'naive'")
@@ -141,30 +155,40 @@ def fit_sampler(
         raise ValueError("k, alpha, beta, mh_steps and checkpoint_every must be positive")
     began = time.time()
     spark = vectors.sparkSession
-    s = Settings(k, alpha, beta, vocab_size, seed, mh_steps)
+    s = Settings(k, alpha, beta, vocab_size, seed, mh_steps, max(8, -(-vocab_size // GROUP_TERMS)))
+    settings = {
+        "method": method, "k": k, "alpha": alpha, "beta": beta, "vocab_size": vocab_size,
+        "seed": seed, "mh_steps": mh_steps, "block_size": block_size,
+    }
     start, state = 0, None
     scratch = scratch_path(spark, "sweeps")
     if checkpoint_read:
-        start, state = checkpoints.read_latest(spark, checkpoint_read)
+        start, state = checkpoints.read_latest(spark, checkpoint_read, settings)
     if state is None:
         spread = _spread(vectors, partitions, key)
         state = checkpoints.write(initial_state(spread, k, seed, key), f"{scratch}/0")
 
-    blocks = block_count(vocab_size, min(block_size or vocab_size, block_terms(k)))
+    blocks = block_count(vocab_size, block_size or vocab_size)
+    written = 0
     for sweep in range(start, iterations):
         for block in range(blocks):
-            first = -(-block * vocab_size // blocks)
-            last = -(-(block + 1) * vocab_size // blocks)
-            counts = block_counts(state, first, None if blocks == 1 else last, k)
-            sampled, sent = sample_block(state, counts, method, s, sweep)
-            done = sweep + 1
-            path = f"{scratch}/{sweep * blocks + block + 1}"
-            if checkpoint_save and block == blocks - 1:
-                if done % checkpoint_every == 0 or done == iterations:
+            first, last = (-(-b * vocab_size // blocks) for b in (block, block + 1))
+            table = checkpoints.write(word_topic_counts(state), f"{scratch}/counts-{written}")
+            totals, parts = total_counts(table, k), slices(first, last, s)
+            for begin, end in parts:
+                counts = block_counts(table, begin, end, k, totals)
+                sampled, sent = sample_block(state, counts, method, s, sweep)
+                done = sweep + 1
+                path = f"{scratch}/{written + 1}"
+                save = done % checkpoint_every == 0 or done == iterations
+                if checkpoint_save and save and block == blocks - 1 and end == last:
                     path = checkpoints.sweep_path(checkpoint_save, done)
-            state = checkpoints.write(sampled, path)
-            sent.destroy()
-            checkpoints.drop(spark, f"{scratch}/{sweep * blocks + block}")
+                    checkpoints.write_settings(spark, checkpoint_save, settings)
+                state = checkpoints.write(sampled, path)
+                sent.destroy()
+                checkpoints.drop(spark, f"{scratch}/{written}")
+                written += 1
+            checkpoints.drop(spark, f"{scratch}/counts-{written - len(parts)}")
     word_topic = keep(word_topic_counts(state))
     word_topic.count()
     return TopicModel(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 from topicloom.session import path_exists, table_complete
@@ -23,10 +25,26 @@ def drop(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def read_latest(spark: SparkSession, folder: str) -> tuple[int, DataFrame | None]:
-    """The number of sweeps done and the state after them; (0, None) if there is none."""
+def write_settings(spark: SparkSession, folder: str, settings: dict) -> None:
+    """Keep the trainer's settings beside its states."""
+    row = spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string")
+    row.write.mode("overwrite").text(f"{folder.rstrip('/')}/settings")
+
+
+def read_latest(
+    spark: SparkSession, folder: str, settings: dict | None = None
+) -> tuple[int, DataFrame | None]:
+    """The number of sweeps done and the state after them; (0, None) if there is none.
+
+    States written with other ``settings`` are refused.
+    """
     if not path_exists(spark, folder):
         return 0, None
+    if settings is not None and table_complete(spark, f"{folder.rstrip('/')}/settings"):
+        found = json.loads(spark.read.text(f"{folder.rstrip('/')}/settings").first()[0])
+        other = {k for k in settings if found.get(k) != settings[k]}
+        if other:
+            raise ValueError(f"the checkpoint has other settings: {', '.join(sorted(other))}")
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     file_system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [f.getPath().getName() for f in file_system.listStatus(hadoop_path)]
