@@ -74,7 +74,7 @@ def warc_records_hadoop(spark, sf):
 
 def response_pages(spark, sf):
     pages = pg.response_pages(warc.read_warc(spark, _warc_path(spark, sf), "response"))
-    return pages.withColumn("page_id", F.col("page_id").cast("long"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html")
 
 
 def page_text(spark, sf):

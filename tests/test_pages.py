@@ -4,7 +4,8 @@ import time
 import pytest
 
 from topicloom.functions.html import html_to_text
-from topicloom.operators.pages import page_text, response_pages
+from topicloom.operators.pages import damage, page_text, response_pages
+from topicloom.plans.corpus import warc_documents
 from topicloom.sources import warc
 
 
@@ -113,6 +114,25 @@ def test_scheme_dispatch(spark, archive, monkeypatch):
 def test_file_uri_and_glob(spark, archive):
     assert warc.read_warc(spark, f"file://{archive}").count() == 12
     assert warc.read_warc(spark, f"{archive}/*.warc").count() == 6
+    assert warc.read_warc(spark, f"file://{archive}/*.warc").count() == 6
+    assert warc.read_warc(spark, f"file://{archive}/s?[a-b]/*").count() == 6
+    assert warc.read_warc(spark, f"file://{archive}", partitions=1).rdd.getNumPartitions() == 1
+
+
+def test_records_without_ids_stay_apart(spark, tmp_path):
+    bare = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\n<p>x\r\n\r\n"
+    (tmp_path / "bare.warc").write_bytes(bare * 3)
+    pages = response_pages(warc.read_warc(spark, str(tmp_path), "response")).collect()
+    assert sorted(p.page_id.rsplit("/", 1)[1] for p in pages) == [f"bare.warc#{i}" for i in range(3)]
+
+
+def test_a_type_filter_keeps_damage(spark, tmp_path):
+    good = record("response", "d1", b"<p>x")
+    (tmp_path / "cut.warc").write_bytes(good + record("response", "d2", b"y" * 100)[:-60])
+    assert damage(warc.read_warc(spark, str(tmp_path), "response")).count() == 1
+    documents, errors = warc_documents(spark, str(tmp_path))
+    assert [r.text for r in documents.collect()] == ["x"]
+    assert [r.error for r in errors.collect()] == ["record is cut short"]
 
 
 def test_damaged_files_keep_their_good_records(spark, tmp_path):

@@ -138,7 +138,7 @@ def test_stems_equal_a_slow_stemmer(spark, documents):
 @pytest.mark.parametrize("max_rows, share", [(100, 1), (0, 1), (0, 50), (0, 10**9)])
 def test_preprocess_chain(spark, max_rows, share, monkeypatch):
     real = tk.broadcast_if_small
-    monkeypatch.setattr(tk, "broadcast_if_small", lambda df: real(df, max_rows))
+    monkeypatch.setattr(tk, "broadcast_if_small", lambda df: real(df, max_rows * 100))
     monkeypatch.setattr(tk.stem_memo, "__defaults__", (share,))
     df = texts(
         spark, "The running cats", "don t", "news new", "feed", "electroencephalograms", "a" * 33

@@ -29,7 +29,8 @@ def gibbs_sweep(
 ) -> DataFrame:
     """``(doc_id, term_id, pos, topic)`` after one sweep over all tokens of ``state``."""
     word_topic = word_topic_counts(state)
-    words, _ = broadcast_if_small(_by_topic(word_topic, ["term_id"], k, "word_topic"))
+    words = _by_topic(word_topic, ["term_id"], k, "word_topic")
+    words, _ = broadcast_if_small(words, width=64 + 8 * k)
     totals = _by_topic(topic_totals(word_topic).withColumn("all", F.lit(1)), ["all"], k, "totals")
     tokens = (
         state.select("doc_id", topic_counts(F.col("z"), k).alias("doc_topic"), "words", "z")

@@ -15,18 +15,37 @@ HTTP_HEADER = r"(?s)^HTTP/.*?\r?\n\r?\n"
 
 
 def response_pages(records: DataFrame) -> DataFrame:
-    """``(page_id, html)`` of the response records; a record without type is dropped.
+    """``(page_id, html, path, record_no)`` of the response records; a record without type
+    is dropped.
 
-    The page id is the collection's document id, or the record id where that is
-    missing.  A leading HTTP header block is not part of the page.
+    The page id is the collection's document id, the record id where that is missing, or
+    else the record's place, ``path#record_no``: records without ids never become one
+    page.  A leading HTTP header block is not part of the page.
     """
+    return _pages(records.where(F.col("warc_type") == "response"))
+
+
+def _pages(records: DataFrame, *more: str) -> DataFrame:
+    place = F.concat("path", F.lit("#"), F.col("record_no").cast("string"))
     payload = F.make_valid_utf8(F.col("payload").cast("string"))
-    return records.where(F.col("warc_type") == "response").select(
-        F.coalesce("trec_id", "record_id").alias("page_id"),
+    return records.select(
+        F.coalesce("trec_id", "record_id", place).alias("page_id"),
         F.regexp_replace(payload, HTTP_HEADER, "").alias("html"),
+        "path", "record_no", *more,
     )
 
 
+def responses_and_damage(records: DataFrame) -> DataFrame:
+    """``response_pages``, and rows with ``error`` for what could not be read."""
+    wanted = (F.col("warc_type") == "response") | F.col("error").isNotNull()
+    return _pages(records.where(wanted), "error")
+
+
+def damage(records: DataFrame) -> DataFrame:
+    """``(path, record_no, error)`` of what could not be read, whatever type it had."""
+    return records.where(F.col("error").isNotNull()).select("path", "record_no", "error")
+
+
 def page_text(
     pages: DataFrame, keys: Sequence[str] = ("page_id",), html: str = "html"
 ) -> DataFrame:

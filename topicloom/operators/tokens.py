@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from topicloom.functions import text as tx
 from topicloom.functions.stem import stem_box
 from topicloom.functions.stopwords import STOP_WORDS
-from topicloom.session import MAX_BROADCAST_ROWS, broadcast_if_small, keep
+from topicloom.session import broadcast_if_small, keep
 
 # A token whose share of all tokens exceeds 1/MEMO_SHARE is memoised, so the memo
 # holds fewer than MEMO_SHARE rows whatever the corpus.
-MEMO_SHARE = MAX_BROADCAST_ROWS
+MEMO_SHARE = 4_000_000
 
 
 def _explode(df: DataFrame, keys: Sequence[str], tokens) -> DataFrame:

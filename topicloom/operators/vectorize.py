@@ -53,6 +53,13 @@ def long_form(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def limit_terms(vectors: DataFrame, width: int, key: str = "doc_id") -> DataFrame:
+    """Vectors of the terms below ``width`` only, without documents that have none; narrow."""
+    pairs = F.filter(F.arrays_zip("term_ids", "tfs"), lambda x: x["term_ids"] < width)
+    kept = vectors.select(key, pairs.alias("_kept")).where(F.size("_kept") > 0)
+    return kept.select(key, "_kept.term_ids", "_kept.tfs")
+
+
 def nonempty_docs(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
     """``(key, n_terms)`` of the documents with at least one known term."""
     return vectors.select(key, F.size("term_ids").alias("n_terms")).where(F.col("n_terms") > 0)

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.operators.pages import page_text, response_pages
+from topicloom.operators.pages import page_text, responses_and_damage
 from topicloom.operators.tokens import clean_tokens, stem_vocabulary, tokenize
-from topicloom.operators.vectorize import attach_terms, doc_vectors
+from topicloom.operators.vectorize import attach_terms, doc_vectors, limit_terms
 from topicloom.operators.vocabulary import term_counts, vocabulary
 from topicloom.session import keep, scratch_path, spread, table_complete
 from topicloom.sources.dictionary import dictionary_complete, read_dictionary
@@ -23,17 +23,23 @@ class Corpus:
     vectors: DataFrame
 
 
-def warc_documents(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """``(doc_id, text)`` of the response records below ``path``.
+def warc_documents(
+    spark: SparkSession, path: str, partitions: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text)`` of the response records below ``path``, and ``(doc_id, error)`` of
+    what could not be read: damaged records, and pages without a text.
 
     The text is written once to the shared folder: the dictionary and the vectors
     each read it, and parsing the pages again would cost more than storing them.
     """
-    pages = response_pages(read_warc(spark, path, "response", partitions))
-    text = page_text(pages.withColumnRenamed("page_id", "doc_id"), ["doc_id"])
+    records = responses_and_damage(read_warc(spark, path, "response", partitions))
+    named = records.withColumnsRenamed({"page_id": "doc_id", "error": "damage"})
+    text = page_text(named, ["doc_id", "damage"])
     stored = scratch_path(spark, "text")
-    text.select("doc_id", "text").write.parquet(stored)
-    return spark.read.parquet(stored)
+    text.write.parquet(stored)
+    text = spark.read.parquet(stored)
+    errors = text.select("doc_id", F.coalesce("damage", "error").alias("error"))
+    return text.where("damage is null").select("doc_id", "text"), errors.where("error is not null")
 
 
 def build_corpus(
@@ -59,8 +65,10 @@ def load_corpus(
     ``documents`` is a function, called only if the corpus has to be read.
     """
     if table_complete(spark, vectors_path) and dictionary_complete(spark, dictionary_path):
+        # Both may have been saved with more terms than are asked for.
         return Corpus(
-            read_dictionary(spark, dictionary_path, vocab_size), spark.read.parquet(vectors_path)
+            read_dictionary(spark, dictionary_path, vocab_size),
+            limit_terms(spark.read.parquet(vectors_path), vocab_size),
         )
     cleaned = clean_tokens(tokenize(spread(documents(), "doc_id")))
     stemmed = keep(stem_vocabulary(cleaned))

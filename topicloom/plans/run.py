@@ -14,7 +14,7 @@ from topicloom.operators.partitioning import repartition_documents
 from topicloom.operators.sampling import subsample, train_test_split
 from topicloom.operators.vectorize import token_total
 from topicloom.plans.corpus import load_corpus, vocabulary_width, warc_documents
-from topicloom.session import keep
+from topicloom.session import keep, ship_package
 from topicloom.sources.model_file import export_model
 
 # Algorithm names and the number of fold-in rounds in evaluation.
@@ -72,6 +72,7 @@ class RunSummary:
     probs: DataFrame
     dictionary: DataFrame
     metrics: dict[str, float] = field(default_factory=dict)
+    errors: int = 0  # records and pages that could not be read
 
 
 def _sum_tokens(vectors: DataFrame) -> int:
@@ -82,12 +83,19 @@ def run(
     spark: SparkSession, config: RunConfig, documents: DataFrame | None = None
 ) -> RunSummary:
     """Run on the WARC files at ``config.dataset``, or on given ``(doc_id, text)`` documents."""
+    ship_package(spark)
     c = config
-    corpus = load_corpus(
-        spark,
-        lambda: documents if documents is not None else warc_documents(spark, c.dataset),
-        c.vocab_size, c.dictionary_path, c.vectors_path,
-    )
+    errors = 0
+
+    def given() -> DataFrame:
+        nonlocal errors
+        if documents is not None:
+            return documents
+        read, failed = warc_documents(spark, c.dataset, c.partitions)
+        errors = failed.count()
+        return read
+
+    corpus = load_corpus(spark, given, c.vocab_size, c.dictionary_path, c.vectors_path)
     vectors = keep(subsample(corpus.vectors, c.subsample, c.seed))
     n_docs = vectors.count()
     train, test = train_test_split(vectors, c.test_fraction, c.seed)
@@ -96,7 +104,8 @@ def run(
         test = repartition_documents(test, c.partitions)
     width = vocabulary_width(corpus.dictionary)
     metrics: dict[str, float] = {}
-    partitions = c.partitions if c.force_repartition else None
+    # The ML trainers always work on the wanted number of partitions.
+    partitions = c.partitions if c.force_repartition or c.algorithm in ML_TRAINERS else None
     if c.algorithm in SAMPLERS:
         model = fit_sampler(
             train, width, c.algorithm, c.k, c.iterations, c.alpha, c.beta, c.seed, c.mh_steps,
@@ -122,5 +131,5 @@ def run(
     tokens = _sum_tokens(train)
     vectors.unpersist()
     return RunSummary(
-        n_docs, width, tokens, model.train_ms, topics, probs, corpus.dictionary, metrics
+        n_docs, width, tokens, model.train_ms, topics, probs, corpus.dictionary, metrics, errors
     )

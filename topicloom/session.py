@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-# About 300 MB as a hash table of (short string, int) rows on each executor.
-MAX_BROADCAST_ROWS = 4_000_000
+# Bytes of a broadcast side, as its rows are in memory; Spark's own limit is 8 GB.
+MAX_BROADCAST_BYTES = 320 * 2**20
+ROW_OVERHEAD = 24
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, visible to every executor.
 
-    Only where that setting is absent, as in tests, a temporary folder is taken.
+    Only on a local master, as in tests, a temporary folder may take its place.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="topicloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -52,13 +58,48 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Persist and count ``df``; hint a broadcast only when it has at most ``max_rows`` rows."""
+def row_bytes(df: DataFrame, text: int = 16, entries: int = 8) -> int:
+    """An estimate of a row's size from its types: ``text`` bytes a string, ``entries`` a list."""
+
+    def size(kind: T.DataType) -> int:
+        if isinstance(kind, T.ArrayType):
+            return 16 + entries * size(kind.elementType)
+        if isinstance(kind, T.StructType):
+            return 16 + sum(size(f.dataType) for f in kind)
+        return 16 + text if isinstance(kind, (T.StringType, T.BinaryType)) else 8
+
+    return ROW_OVERHEAD + size(df.schema)
+
+
+def broadcast_if_small(
+    df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES, width: int | None = None
+) -> tuple[DataFrame, bool]:
+    """Persist and count ``df``; hint a broadcast only when rows x width stays in ``max_bytes``.
+
+    ``width`` is the size of a row, by default that of its types.
+    """
     kept = keep(df)
-    small = kept.count() <= max_rows
+    small = kept.count() * (width or row_bytes(df)) <= max_bytes
     return (F.broadcast(kept) if small else kept), small
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, wherever they run; once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_topicloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="topicloom-"), "topicloom.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as target:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    target.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._topicloom_shipped = True
+
+
 def path_exists(spark: SparkSession, path: str | None) -> bool:
     """True if ``path`` exists on whatever file system its scheme names; '' does not."""
     if not path:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from topicloom.session import table_complete
 from topicloom.sources.dictionary import (
-    MAX_TERMS,
     dictionary_complete,
     read_dictionary,
     write_dictionary,
@@ -28,7 +27,7 @@ def load_or_build(
 
 
 def load_or_fit_dictionary(
-    spark: SparkSession, path: str | None, fit: Callable[[], DataFrame], n: int = MAX_TERMS
+    spark: SparkSession, path: str | None, fit: Callable[[], DataFrame], n: int | None = None
 ) -> DataFrame:
     """Existing dictionary: read.  Named but missing: fit and write.  Unnamed: fit."""
     if not dictionary_complete(spark, path):

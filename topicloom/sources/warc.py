@@ -12,6 +12,7 @@ import glob
 import gzip
 import io
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from topicloom.session import ship_package
+
 SCHEMA = (
     "path string, record_no long, warc_type string, record_id string, trec_id string, "
     "target_uri string, headers map<string,string>, payload binary, error string"
@@ -91,8 +94,8 @@ def record_batches(path: str, raw, record_type: str | None = None) -> Iterator[p
     for number, (headers, payload, error) in enumerate(parse_records(_open(raw))):
         known = {k.lower(): v for k, v in headers.items()}
         kind = known.get("warc-type")
-        if record_type is not None and kind != record_type:
-            continue
+        if record_type is not None and kind != record_type and error is None:
+            continue  # damage is kept: nobody knows what it would have been
         rows.append(
             {
                 "path": path, "record_no": number, "warc_type": kind,
@@ -114,17 +117,37 @@ def _hidden(path: str) -> bool:
     return os.path.basename(path).startswith(("_", "."))
 
 
+def _segment(part: str) -> str:
+    """A regular expression for one segment of a glob."""
+    wild = {"*": "[^/]*", "?": "[^/]"}
+    pieces = re.split(r"(\*|\?|\[[^\]]+\])", part)
+    return "".join(
+        wild.get(p) or (p.replace("[!", "[^", 1) if p.startswith("[") else re.escape(p))
+        for p in pieces
+    )
+
+
 def list_files(path: str) -> list[str]:
     """Visible files of a file, directory or glob; a URI is listed on its file system."""
     if "://" in path or path.startswith("file:/"):
         from pyarrow import fs
 
-        system, inner = fs.FileSystem.from_uri(path)
-        if system.get_file_info(inner).type == fs.FileType.File:
+        # Without wildcards the pattern is the path itself; what lies below a match counts.
+        parts = path.rstrip("/").split("/")
+        fixed = next((i for i, part in enumerate(parts) if glob.has_magic(part)), len(parts))
+        base = "/".join(parts[:fixed])
+        system, inner = fs.FileSystem.from_uri(base)
+        if fixed == len(parts) and system.get_file_info(inner).type == fs.FileType.File:
             return [path]
-        found = system.get_file_info(fs.FileSelector(inner, recursive=True))
-        scheme = path[: len(path) - len(inner)] if path.endswith(inner) else path.split("://")[0] + "://"
-        return sorted(scheme + f.path for f in found if f.is_file and not _hidden(f.path))
+        scheme = base[: len(base) - len(inner)] if base.endswith(inner) else path.split("://")[0] + "://"
+        segments = [re.escape(inner.rstrip("/")), *map(_segment, parts[fixed:])]
+        pattern = re.compile("/".join(segments) + "(/.*)?")
+        found = system.get_file_info(fs.FileSelector(inner, recursive=True, allow_not_found=True))
+        return sorted(
+            scheme + f.path
+            for f in found
+            if f.is_file and not _hidden(f.path) and pattern.fullmatch(f.path)
+        )
     files = []
     for match in sorted(glob.glob(path)):
         if os.path.isdir(match):
@@ -145,24 +168,27 @@ def _open_raw(path: str):
 
 
 @dataclass
-class WarcFile(InputPartition):
-    path: str
+class WarcFiles(InputPartition):
+    paths: list[str]
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.record_type = options.get("recordtype")
+        self.most = int(options.get("partitions") or 0)
 
     def partitions(self):
         files = list_files(self.path)
         if not files:
             raise FileNotFoundError(f"no WARC files at {self.path}")
-        return [WarcFile(f) for f in files]
+        tasks = min(len(files), self.most or len(files))
+        return [WarcFiles(files[i::tasks]) for i in range(tasks)]
 
     def read(self, partition):
-        with _open_raw(partition.path) as raw:
-            yield from record_batches(partition.path, raw, self.record_type)
+        for path in partition.paths:
+            with _open_raw(path) as raw:
+                yield from record_batches(path, raw, self.record_type)
 
 
 class WarcSource(DataSource):
@@ -179,17 +205,26 @@ class WarcSource(DataSource):
         return WarcReader({k.lower(): v for k, v in self.options.items()})
 
 
-def warc_from_files(spark: SparkSession, path: str, record_type: str | None = None) -> DataFrame:
-    """Stream records from a mounted path or a URI, one task per file."""
+def warc_from_files(
+    spark: SparkSession, path: str, record_type: str | None = None, partitions: int | None = None
+) -> DataFrame:
+    """Stream records from a mounted path or a URI (globs too), one task per file, or in at
+    most ``partitions`` tasks."""
+    ship_package(spark)
     spark.dataSource.register(WarcSource)
     reader = spark.read.format("warc")
+    if partitions:
+        reader = reader.option("partitions", partitions)
     if record_type is not None:
         reader = reader.option("recordType", record_type)
     return reader.load(path)
 
 
-def warc_from_hadoop(spark: SparkSession, path: str, record_type: str | None = None) -> DataFrame:
+def warc_from_hadoop(
+    spark: SparkSession, path: str, record_type: str | None = None, partitions: int | None = None
+) -> DataFrame:
     """Records from any Hadoop file system; each file (up to about 1 GB) is one row on the way."""
+    ship_package(spark)
 
     def split(batches):
         for batch in batches:
@@ -198,6 +233,7 @@ def warc_from_hadoop(spark: SparkSession, path: str, record_type: str | None = N
                 yield from record_batches(batch.column("path")[at].as_py(), content, record_type)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.coalesce(partitions) if partitions else files
     return files.select("path", "content").mapInArrow(split, SCHEMA)
 
 
@@ -206,8 +242,8 @@ def read_warc(
 ) -> DataFrame:
     """All records below ``path``, by the reader that fits its scheme.
 
-    ``record_type`` skips other records at the source, before they reach Spark.
+    ``record_type`` skips other records at the source, before they reach Spark, but not
+    rows with an ``error``.  ``partitions`` deals out files, not records.
     """
     reader = warc_from_hadoop if path.startswith("hdfs://") else warc_from_files
-    records = reader(spark, path, record_type)
-    return records.repartition(partitions) if partitions else records
+    return reader(spark, path, record_type, partitions)
