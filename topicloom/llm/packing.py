@@ -19,6 +19,8 @@ piece.  Extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
 
 import numpy as np
@@ -27,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import Memo, bounds, chunks, written
+from topicloom.llm.common import bounds, chunks, written
+from topicloom.llm.token_count import Merges, byte_letters
 
 LENGTH = 2048
 WIDTH, DIMENSIONS, BITS = 64, 3, 16
@@ -89,6 +92,42 @@ def _tokenizer(definition: str):
     return Tokenizer.from_str(definition)
 
 
+class WordMerges:
+    """Ids of plain words (Latin letters in lower case) by merging all of them at once, for
+    byte-level BPE with word ends; None for other tokenizers."""
+
+    plain = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+
+    @classmethod
+    @functools.lru_cache(maxsize=2)
+    def of(cls, definition: str):
+        whole = json.loads(definition)
+        model, kinds = whole["model"], json.dumps([whole.get("normalizer"), whole.get("pre_tokenizer")])
+        end = model.get("end_of_word_suffix")
+        if not end or "Lowercase" not in kinds or "ByteLevel" not in kinds or "NFC" not in kinds:
+            return None
+        self, vocabulary = cls(), model["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        letters = sorted((b, c) for c, b in byte_letters().items())
+        self.merges = Merges(
+            [vocabulary[c] for _, c in letters],
+            [(vocabulary[a], vocabulary[b], rank, vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)],
+            [],
+        )
+        self.last = np.array([vocabulary[c + end] for _, c in letters], np.int64)
+        return self
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        edges = bounds([len(w) for w in words])
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        symbols = self.merges.symbols[raw]
+        symbols[edges[1:] - 1] = self.last[raw[edges[1:] - 1]]
+        symbols, owner = self.merges.merge(symbols, np.repeat(np.arange(len(words)), np.diff(edges)))
+        cuts = (4 * np.searchsorted(owner, np.arange(len(words) + 1))).tolist()
+        ids = symbols.astype("<u4").tobytes()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 class Encoder:
     """Ids of texts by a ``tokenizers`` definition that drops white space and case.
 
@@ -98,7 +137,7 @@ class Encoder:
     """
 
     def __init__(self, definition: str, end_id: int):
-        self.tokenizer = _tokenizer(definition)
+        self.tokenizer, self.words = _tokenizer(definition), WordMerges.of(definition)
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.end = np.array([end_id], "<u4").tobytes()
@@ -116,7 +155,12 @@ class Encoder:
         parts = self._split(words)
         needed = {p for _, bare, stops in parts for p in (bare, stops) if p}
         self._recall(needed)
-        unknown = list(needed.difference(self.known))
+        unknown = needed.difference(self.known)
+        if self.words:
+            plain = list(filter(self.words.plain, unknown))
+            self.known.update(zip(plain, self.words.encode(plain)))
+            unknown = unknown.difference(plain)
+        unknown = list(unknown)
         encoded = self.tokenizer.encode_batch_fast(
             [w.decode() for w in unknown], add_special_tokens=False
         )

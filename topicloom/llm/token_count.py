@@ -33,7 +33,7 @@ MEMO = 300_000
 NO_RANK = np.iinfo(np.int32).max
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The printable letter that byte-level vocabularies write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -62,7 +62,7 @@ def read_vocabulary(path: str) -> tuple[list[int], list[tuple[int, int, int, int
     merges = [
         (vocabulary[a], vocabulary[b], rank, vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)
     ]
-    letters = {b: vocabulary[c] for c, b in _byte_letters().items()}
+    letters = {b: vocabulary[c] for c, b in byte_letters().items()}
     special = [t["content"] for t in whole.get("added_tokens") or []]
     return [letters[b] for b in range(256)], merges, special
 
@@ -79,29 +79,30 @@ class Merges:
 
     def _rank(self, left, right) -> np.ndarray:
         pair = left << 32 | right
+        if not len(self.pairs):
+            return np.full(len(pair), NO_RANK, np.int32)
         at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         return np.where(self.pairs[at] == pair, self.ranks[at], NO_RANK).astype(np.int32)
 
     def _merge(self, left, right) -> np.ndarray:
         return self.merged[np.searchsorted(self.pairs, left << 32 | right)]
 
-    def count(self, pre_tokens: list[bytes]) -> np.ndarray:
-        """The number of tokens of each (non-empty) pre-token."""
-        sizes = np.fromiter(map(len, pre_tokens), np.int64, len(pre_tokens))
-        left = sizes.copy()
-        symbols = self.symbols[np.frombuffer(b"".join(pre_tokens), np.uint8)]
-        owner = np.repeat(np.arange(len(sizes)), sizes)
+    def merge(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that remain of each ragged row, and their owners, in order.
+
+        ``owner`` is ascending and numbers the rows.
+        """
         rank = np.full(len(symbols), NO_RANK, np.int32)
         inside = np.flatnonzero(owner[1:] == owner[:-1])
-        if not len(self.pairs):
-            return left
         rank[inside] = self._rank(symbols[inside], symbols[inside + 1])
+        done = []
         while len(symbols):
             first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             lowest = np.minimum.reduceat(rank, first)
             width = np.diff(np.append(first, len(symbols)))
             active = np.repeat(lowest < NO_RANK, width)
-            if not active.all():  # finished pre-tokens leave
+            if not active.all():  # finished rows leave
+                done.append((symbols[~active], owner[~active]))
                 symbols, owner, rank = symbols[active], owner[active], rank[active]
                 lowest, width = lowest[lowest < NO_RANK], width[lowest < NO_RANK]
                 if not len(symbols):
@@ -114,7 +115,6 @@ class Merges:
             symbols[at] = self._merge(symbols[at], symbols[at + 1])
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
-            left -= np.bincount(owner[at], minlength=len(left))
             symbols, owner, rank = symbols[keep], owner[keep], rank[keep]
             here = np.cumsum(keep)[at] - 1
             changed = np.zeros(len(symbols) + 1, bool)
@@ -124,7 +124,18 @@ class Merges:
             touched = touched[touched + 1 < len(symbols)]
             touched = touched[owner[touched] == owner[touched + 1]]
             rank[touched] = self._rank(symbols[touched], symbols[touched + 1])
-        return left
+        if not done:
+            return symbols, owner
+        symbols, owner = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(owner, kind="stable")
+        return symbols[order], owner[order]
+
+    def count(self, pre_tokens: list[bytes]) -> np.ndarray:
+        """The number of tokens of each pre-token."""
+        sizes = np.fromiter(map(len, pre_tokens), np.int64, len(pre_tokens))
+        symbols = self.symbols[np.frombuffer(b"".join(pre_tokens), np.uint8)]
+        _, owner = self.merge(symbols, np.repeat(np.arange(len(sizes)), sizes))
+        return np.bincount(owner, minlength=len(sizes))
 
 
 class Counter:
