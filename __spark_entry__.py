@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import sys
 from collections.abc import Callable
@@ -23,6 +24,7 @@ from topicloom.operators.lda import declarative, mllib, sampler  # noqa: E402
 from topicloom.operators.lda import state as st  # noqa: E402
 from topicloom.operators.topk import top_k  # noqa: E402
 from topicloom.operators.vocabulary import term_counts  # noqa: E402
+from topicloom.plans.corpus import load_corpus  # noqa: E402
 from topicloom.session import scratch_path  # noqa: E402
 from topicloom.sources import dictionary as dc  # noqa: E402
 from topicloom.sources import model_file as mf  # noqa: E402
@@ -39,6 +41,8 @@ except ModuleNotFoundError as missing:
 
 ITERATIONS = 5
 SEED = 42
+FOLD_IN_ROUNDS = 3
+SMALLER = 300
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -212,48 +216,93 @@ def gibbs_sweep(spark, sf):
     return swept.groupBy("term_id", "topic").agg(F.count("*").alias("n"))
 
 
-def _trained(spark, sf, method):
-    (dictionary, width), vectors = q.known_terms(spark, sf), q.vectors(spark, sf)
-    if method in ("mh", "naive"):
-        fitted = sampler.fit_sampler(vectors, width, method, q.K, ITERATIONS)
-        probs = md.topic_word_probs(
-            fitted.word_topic, fitted.totals, dictionary, q.K, width, q.BETA
-        )
-    else:
-        probs = mllib.model_from_ml(mllib.fit_ml(vectors, width, method, q.K, ITERATIONS))
-    return md.describe_topics(probs, dictionary, 50).drop("term_id")
+def _term_totals(word_topic):
+    """Every token keeps its term, whatever its topic: a term's topics sum to its frequency."""
+    return word_topic.groupBy("term_id").agg(F.sum("n").alias("n"))
+
+
+def _sampled(spark, sf, method):
+    width, vectors = q.known_terms(spark, sf)[1], q.vectors(spark, sf)
+    return _term_totals(sampler.fit_sampler(vectors, width, method, q.K, ITERATIONS).word_topic)
+
+
+def _fitted(spark, sf, method):
+    width, vectors = q.known_terms(spark, sf)[1], q.vectors(spark, sf)
+    return mllib.fit_ml(vectors, width, method, q.K, ITERATIONS)
+
+
+def lda_em(spark, sf):
+    """Expected counts of a term over all topics: its frequency."""
+    weights = mllib.term_weights(_fitted(spark, sf, "sparkem"))
+    return weights.select("term_id", F.round("weight").cast("long").alias("n"))
+
+
+def _topic_sums(probs):
+    return probs.groupBy("topic").agg(
+        F.count("*").alias("n_terms"), F.round(F.sum("prob"), 6).alias("total")
+    )
 
 
 def train_perplexity(spark, sf):
-    width = q.known_terms(spark, sf)[1]
-    fitted = mllib.fit_ml(q.vectors(spark, sf), width, "sparkem", q.K, ITERATIONS)
-    measured = mllib.train_perplexity(fitted)
-    return spark.createDataFrame(list(measured.items()), "metric string, value double")
+    """The training tokens, and how far the perplexity is from exp(-likelihood / tokens)."""
+    measured = mllib.train_perplexity(_fitted(spark, sf, "sparkem"))
+    tokens, likelihood = measured["train_tokens"], measured["train_log_likelihood"]
+    gap = abs(measured["train_perplexity"] / math.exp(-likelihood / tokens) - 1)
+    return spark.createDataFrame([(int(tokens), round(gap, 6))], "tokens long, gap double")
 
 
 def model_from_ml(spark, sf):
-    width = q.known_terms(spark, sf)[1]
-    return mllib.model_from_ml(
-        mllib.fit_ml(q.vectors(spark, sf), width, "sparkonline", q.K, ITERATIONS)
-    )
+    return _topic_sums(mllib.model_from_ml(_fitted(spark, sf, "sparkem")))
 
 
 def checkpoint_resume(spark, sf):
-    """Two sweeps, then two more from the checkpoint."""
+    """Four sweeps, and two more from a checkpoint of two, term by term."""
     saved, width = scratch_path(spark, "saved"), q.known_terms(spark, sf)[1]
     vectors = q.vectors(spark, sf)
     sampler.fit_sampler(vectors, width, "mh", q.K, 2, checkpoint_save=saved)
-    resumed = sampler.fit_sampler(vectors, width, "mh", q.K, 4, checkpoint_read=saved)
-    return resumed.word_topic
+    resumed = sampler.fit_sampler(vectors, width, "mh", q.K, 4, checkpoint_read=saved).word_topic
+    whole = sampler.fit_sampler(vectors, width, "mh", q.K, 4).word_topic
+    both = whole.join(resumed.withColumnRenamed("n", "again"), ["term_id", "topic"], "full")
+    n, again = (F.coalesce(c, F.lit(0)) for c in ("n", "again"))
+    return both.groupBy("term_id").agg(F.sum(n).alias("n"), F.sum(F.abs(n - again)).alias("gap"))
 
 
 def heldout_fold_in(spark, sf):
-    """Perplexity of the test split under topics sampled on the training split."""
-    dictionary, width = q.known_terms(spark, sf)
-    train, test = sm.train_test_split(q.vectors(spark, sf), 0.2, SEED)
-    fitted = sampler.fit_sampler(train, width, "mh", q.K, ITERATIONS)
-    probs = md.topic_word_probs(fitted.word_topic, fitted.totals, dictionary, q.K, width, q.BETA)
-    return md.perplexity(md.heldout_likelihood(test, probs, q.K, width, q.ALPHA, 20))
+    """Perplexity of documents folded into the model of the deterministic state."""
+    width = q.known_terms(spark, sf)[1]
+    scored = md.heldout_likelihood(
+        q.vectors(spark, sf), _probs(spark, sf), q.K, width, q.ALPHA, FOLD_IN_ROUNDS
+    )
+    return md.perplexity(scored).select(F.round("perplexity", 6).alias("perplexity"))
+
+
+def heldout_fold_in_joined(spark, sf):
+    """The same by the way that models too large to broadcast take."""
+    width = q.known_terms(spark, sf)[1]
+    scored = md.heldout_likelihood(
+        q.vectors(spark, sf), _probs(spark, sf), q.K, width, q.ALPHA, FOLD_IN_ROUNDS, budget=0
+    )
+    return md.perplexity(scored).select(F.round("perplexity", 6).alias("perplexity"))
+
+
+def reuse_smaller_vocabulary(spark, sf):
+    """Both tables saved, then loaded for fewer terms."""
+    words, docs = scratch_path(spark, "dictionary"), scratch_path(spark, "vectors")
+    dc.write_dictionary(q.dictionary(spark, sf), words)
+    q.vectors(spark, sf).write.parquet(docs)
+
+    def never():
+        raise AssertionError("the tables are complete and must be read")
+
+    return vz.long_form(load_corpus(spark, never, SMALLER, words, docs).vectors)
+
+
+def records_without_ids(spark, sf):
+    """Responses without ids: each stays a page of its own."""
+    path = scratch_path(spark, "warc")
+    q.write_pages_as_warc(q.pages(spark, sf), path, with_ids=False)
+    pages = pg.response_pages(warc.read_warc(spark, path, "response"))
+    return pages.groupBy("html").agg(F.countDistinct("page_id").alias("n"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -296,14 +345,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "minibatch_fraction": lambda s, d: mllib.minibatch_fraction(q.vectors(s, d), 100),
         "heldout_perplexity": heldout_perplexity,
         "gibbs_sweep": gibbs_sweep,
-        "lda_mh": lambda s, d: _trained(s, d, "mh"),
-        "lda_gibbs": lambda s, d: _trained(s, d, "naive"),
-        "lda_em": lambda s, d: _trained(s, d, "sparkem"),
-        "lda_online": lambda s, d: _trained(s, d, "sparkonline"),
+        "lda_mh": lambda s, d: _sampled(s, d, "mh"),
+        "lda_gibbs": lambda s, d: _sampled(s, d, "naive"),
+        "lda_em": lda_em,
+        "lda_online": lambda s, d: _topic_sums(mllib.model_from_ml(_fitted(s, d, "sparkonline"))),
         "train_perplexity": train_perplexity,
         "model_from_ml": model_from_ml,
         "checkpoint_resume": checkpoint_resume,
         "heldout_fold_in": heldout_fold_in,
+        "heldout_fold_in_joined": heldout_fold_in_joined,
+        "reuse_smaller_vocabulary": reuse_smaller_vocabulary,
+        "records_without_ids": records_without_ids,
     }
 
 

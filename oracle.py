@@ -176,12 +176,43 @@ def _gibbs() -> str:
     )
 
 
+def _fold_in(rounds: int) -> str:
+    """Fixed-point steps from equal shares, then the perplexity."""
+    a = f"{ALPHA}::double"
+    ctes = [
+        "sizes as (select doc_id, sum(tf) as n from dtf group by doc_id)",
+        f"share0 as (select doc_id, ks.topic, {1 / K}::double as share from sizes cross join ks)",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(
+            f"""mix{r} as (select d.doc_id, d.term_id, any_value(d.tf) as tf, sum(s.share * p.prob) as mix
+                from dtf d join share{r} s using (doc_id) join phi p using (term_id, topic)
+                group by d.doc_id, d.term_id)"""
+        )
+        if r < rounds:
+            ctes.append(
+                f"""share{r + 1} as (select s.doc_id, s.topic,
+                    ({a} + sum(m.tf * s.share * p.prob / m.mix)) / ({K} * {a} + any_value(z.n)) as share
+                    from share{r} s join mix{r} m using (doc_id) join phi p using (term_id, topic)
+                    join sizes z using (doc_id) group by s.doc_id, s.topic)"""
+            )
+    body = f"select round(exp(-sum(tf * ln(mix)) / sum(tf)), 6) as perplexity from mix{rounds}"
+    return _sql(_model_ctes() + ctes, body)
+
+
 def oracle_sql() -> dict[str, str]:
     text, vocab, dtf, model = _text_ctes(), _vocab_ctes(), _dtf_ctes(), _model_ctes()
     listing = _sql(vocab, "select term, term_id, freq from vocab")
     frequencies = _sql(dtf, "select doc_id, term_id, tf from dtf")
     phi = _sql(model, "select term_id, topic, round(prob, 9) as prob from phi")
     split = f"case when {_hash(chr(39) * 2 + ' || doc_id || ' + repr(':42:split'))} < 0.2 * 4294967296 then 'test' else 'train' end"
+    term_totals = _sql(
+        dtf, "select term_id, cast(sum(tf) as bigint) as n from dtf group by term_id"
+    )
+    topic_sums = _sql(
+        _model_ctes(),
+        "select topic, count(*) as n_terms, 1.0::double as total from ks cross join vocab group by topic",
+    )
     sampled = f"{_hash('doc_id || ' + repr(':42'))} < 0.8 * 4294967296"
     return {
         "warc_records": """select page_id, 'response' as warc_type,
@@ -261,4 +292,21 @@ def oracle_sql() -> dict[str, str]:
             "select round(exp(-sum(tf * ln(mix)) / sum(tf)), 6) as perplexity from scored",
         ),
         "gibbs_sweep": _gibbs(),
+        "lda_mh": term_totals,
+        "lda_gibbs": term_totals,
+        "lda_em": term_totals,
+        "lda_online": topic_sums,
+        "model_from_ml": topic_sums,
+        "checkpoint_resume": _sql(
+            dtf, "select term_id, cast(sum(tf) as bigint) as n, 0::bigint as gap from dtf group by term_id"
+        ),
+        "train_perplexity": _sql(
+            dtf, "select cast(sum(tf) as bigint) as tokens, 0.0::double as gap from dtf"
+        ),
+        "heldout_fold_in": _fold_in(3),
+        "heldout_fold_in_joined": _fold_in(3),
+        "reuse_smaller_vocabulary": _sql(
+            dtf, "select doc_id, term_id, tf from dtf where term_id < 300"
+        ),
+        "records_without_ids": "select html, count(*) as n from pages group by html",
     }

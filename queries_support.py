@@ -93,17 +93,18 @@ def _record(headers: list[tuple[str, object]], payload):
     return F.concat(*lines, F.lit("Content-Length: "), size, F.lit("\r\n\r\n"), payload)
 
 
-def write_pages_as_warc(pages: DataFrame, path: str) -> None:
-    """Per page a response, a request and a record without type, in gzipped files.
+def write_pages_as_warc(pages: DataFrame, path: str, with_ids: bool = True) -> None:
+    """Per page a response (with or without id), a request and a record without type, in
+    gzipped files.
 
     A text sink whose line end is the end of a record writes the format as it is,
     in parallel, to any file system.
     """
     page_id = F.col("page_id").cast("string")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), F.col("html"))
+    known = [("WARC-TREC-ID", page_id)] if with_ids else []
     response = _record(
-        [("WARC-Type", "response"), ("WARC-Target-URI", F.col("url")), ("WARC-TREC-ID", page_id)],
-        http,
+        [("WARC-Type", "response"), ("WARC-Target-URI", F.col("url")), *known], http
     )
     request = _record(
         [("WARC-Type", "request"), ("WARC-Record-ID", page_id)],

@@ -12,6 +12,7 @@ from topicloom.operators import vectorize as vz
 from topicloom.operators.topk import top_k
 from topicloom.operators.vocabulary import term_counts, vocabulary
 from topicloom.session import cut_lineage, path_exists, scratch_path, table_complete
+from topicloom.plans.corpus import load_corpus
 from topicloom.sources import dictionary as dc
 from topicloom.sources.reuse import load_or_build, load_or_fit_dictionary
 
@@ -183,3 +184,33 @@ def test_reuse(spark, prepared, tmp_path):
 def test_scratch_lies_in_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert cut_lineage(spark.range(3)).count() == 3
+
+
+def test_saved_tables_of_more_terms_are_narrowed(spark, tmp_path):
+    words, docs = str(tmp_path / "w"), str(tmp_path / "v")
+    terms = spark.createDataFrame([(f"t{i}", i, 9 - i) for i in range(5)], "term string, term_id int, freq long")
+    dc.write_dictionary(terms, words)
+    rows = [(1, [0, 3], [2, 1]), (2, [4], [7])]
+    spark.createDataFrame(rows, "doc_id long, term_ids array<int>, tfs array<int>").write.parquet(docs)
+    corpus = load_corpus(spark, None, 3, words, docs)
+    assert corpus.dictionary.count() == 3
+    assert [tuple(r) for r in corpus.vectors.collect()] == [(1, [0], [2])]
+
+
+def test_incomplete_dictionaries(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    assert not dc.dictionary_complete(spark, str(tmp_path / "empty"))
+    (tmp_path / "two").mkdir()
+    for name in "ab":
+        (tmp_path / "two" / f"{name}.txt").write_text("x\ny\n")
+    with pytest.raises(ValueError):
+        dc.read_terms(spark, str(tmp_path / "two"))
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    from topicloom.session import broadcast_if_small, row_bytes
+
+    frame = spark.range(100)
+    assert row_bytes(frame) == 48
+    assert broadcast_if_small(frame, 4800)[1] and not broadcast_if_small(frame, 4799)[1]
+    assert not broadcast_if_small(frame, 4800, width=1000)[1]

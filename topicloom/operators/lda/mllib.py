@@ -42,14 +42,19 @@ def fit_ml(
     vectors: DataFrame, vocab_size: int, method: str, k: int = 30, iterations: int = 100,
     alpha: float = 0.5, beta: float = 0.01, seed: int = 42,
     partitions: int | None = None, prior_offset: float = PRIOR_OFFSET, key: str = "doc_id",
+    max_cells: int = MAX_DRIVER_CELLS,
 ) -> MlTopicModel:
-    """Train by ``sparkem`` (expectation maximisation) or ``sparkonline`` (online variational)."""
+    """Train by ``sparkem`` (expectation maximisation) or ``sparkonline`` (online variational).
+
+    ``max_cells`` bounds the terms x topics matrix that these trainers keep on the driver;
+    raise it to what the driver's memory holds.
+    """
     if method not in ("sparkem", "sparkonline"):
         raise ValueError("method must be 'sparkem' or 'sparkonline'")
     if k < 1 or alpha <= 0 or beta <= 0 or iterations < 1:
         raise ValueError("k, alpha, beta and iterations must be positive")
-    if vocab_size * k > MAX_DRIVER_CELLS:
-        raise ValueError("model too large for a driver-side matrix; use a sampler")
+    if vocab_size * k > max_cells:
+        raise ValueError("the driver-side matrix exceeds max_cells; raise it or use a sampler")
     spark = vectors.sparkSession
     if partitions:
         vectors = vectors.repartition(partitions, key)
@@ -85,6 +90,13 @@ def model_from_ml(fitted: MlTopicModel) -> DataFrame:
     return fitted.features.sparkSession.createDataFrame(table)
 
 
+def term_weights(fitted: MlTopicModel) -> DataFrame:
+    """``(term_id, weight)``: a term's expected count over all topics, as trained."""
+    weights = fitted.model.topicsMatrix().toArray().sum(axis=1)
+    table = pa.table({"term_id": np.arange(len(weights), dtype=np.int32), "weight": weights})
+    return fitted.features.sparkSession.createDataFrame(table)
+
+
 def train_perplexity(fitted: MlTopicModel) -> dict[str, float]:
     """Tokens, log likelihood and perplexity on the training set."""
     values = F.unwrap_udt("features")["values"]
