@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,20 +38,50 @@ def with_uid(df: DataFrame, **columns) -> DataFrame:
     )
 
 
-def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def chunks(
+    batch: pa.RecordBatch, column: str, field: str | None = None
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch of about CHUNK_BYTES of text, with the text as UTF-8; null is empty.
 
-    A longer text is a slice of its own and is never cut.
+    The text is a column, or the ``field`` of a struct column.  A longer text is a slice of
+    its own and is never cut.
     """
-    at = batch.schema.get_field_index(column)
-    texts = batch.column(at).cast(pa.binary())
-    lengths = np.asarray(texts.fill_null(b"").to_numpy(zero_copy_only=False), dtype=object)
-    sizes = np.fromiter(map(len, lengths), np.int64, len(lengths))
+    texts = batch.column(batch.schema.get_field_index(column))
+    if field is not None:
+        texts = pc.struct_field(texts, field)
+    texts = texts.cast(pa.binary())
+    sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64)
     group = np.cumsum(sizes) // CHUNK_BYTES
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
-            yield batch.slice(a, b - a), lengths[a:b].tolist()
+            yield batch.slice(a, b - a), [t or b"" for t in texts.slice(a, b - a).to_pylist()]
+
+
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda pad: 0
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers outlive the tasks that needed it."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def released(function):
+    """A function of batches that ends with ``release``."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
 
 
 class Memo(dict):
@@ -68,7 +100,7 @@ class Memo(dict):
 
 @functools.cache
 def _word_hashes() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest, 400_000)
+    return Memo(xxhash.xxh3_64_intdigest, 150_000)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from topicloom.llm.common import bounds, chunks, with_uid
+from topicloom.llm.common import bounds, chunks, released, with_uid
 
 WINDOW = 13
 #: A document is contaminated if one in so many of its words is hit, or more.
@@ -167,14 +168,20 @@ _SCHEMA = (
 )
 
 
-def _search(shard):
-    """Per row: the number of words, hit spans (in words) and the items that occur."""
+def _search(shard, column: str, field: str | None):
+    """Per row: the number of words, hit spans (in words) and the items that occur; the
+    text goes, unless it is a field of a struct."""
 
+    @released
     def search(batches):
         automaton = shard.value
         number = automaton.number
         for batch in batches:
-            for part, texts in chunks(batch, "text"):
+            for part, texts in chunks(batch, column, field):
+                rest = [
+                    (n, c) for n, c in zip(part.schema.names[1:], part.columns[1:])
+                    if n != column or field is not None
+                ]
                 words = [normal_words(t) for t in texts]
                 edges = bounds([len(w) for w in words])
                 flat = (number.get(w, 0) for doc in words for w in doc)
@@ -204,9 +211,9 @@ def _search(shard):
                         pa.array(span_starts, pa.list_(pa.int64())),
                         pa.array(span_ends, pa.list_(pa.int64())),
                         pa.array([sorted(i) for i in items], pa.list_(pa.string())),
-                        *part.columns[2:],
+                        *[c for _, c in rest],
                     ],
-                    ["uid", "n_words", "hit_starts", "hit_ends", "items", *part.schema.names[2:]],
+                    ["uid", "n_words", "hit_starts", "hit_ends", "items", *[n for n, _ in rest]],
                 )
 
     return search
@@ -227,11 +234,13 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_words: int
         yield Automaton(held)
 
 
-def _found(docs: DataFrame, benchmark, item_col, text_col, shard_words, extra: str = ""):
-    """Search results of the rows of ``docs`` (uid, text, then the columns that ``extra`` types)."""
+def _found(docs: DataFrame, benchmark, item_col, text_col, shard_words, extra, column="text", field=None):
+    """Search results of the rows of ``docs``: uid, text and the column ``extra``, or uid
+    and the struct column ``extra`` with the text as its ``field``."""
     send = docs.sparkSession.sparkContext.broadcast
+    schema = T.StructType([*T.StructType.fromDDL(_SCHEMA), extra])
     parts = [
-        docs.mapInArrow(_search(send(automaton)), _SCHEMA + extra)
+        docs.mapInArrow(_search(send(automaton), column, field), schema)
         for automaton in _shards(benchmark, item_col, text_col, shard_words)
     ]
     if len(parts) == 1:
@@ -290,8 +299,7 @@ def find_contamination(
         F.monotonically_increasing_id().alias("uid"), F.col(text_col).cast("string").alias("text"),
         F.col(id_col).alias("id"),
     )
-    kind = narrow.schema["id"].dataType.simpleString()
-    found = _found(narrow, benchmark, item_col, item_text_col, shard_words, f", id {kind}")
+    found = _found(narrow, benchmark, item_col, item_text_col, shard_words, narrow.schema["id"])
     return _judged(found).select(
         F.col("id").alias(id_col), "n_words", "hit_starts", "hit_ends",
         F.array_sort("items").alias("items"), "n_hit", "contaminated",
@@ -302,8 +310,11 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, unchanged and with all their columns."""
-    rows = with_uid(docs, text=F.col(text_col).cast("string")).select("uid", "text", "row")
-    kind = rows.schema["row"].dataType.simpleString()
-    found = _found(rows, benchmark, item_col, item_text_col, shard_words, f", row {kind}")
+    """The rows of ``docs`` that are not contaminated, unchanged and with all their columns.
+
+    ``text_col`` must be a string column.
+    """
+    rows = with_uid(docs)
+    kind = rows.schema["row"]
+    found = _found(rows, benchmark, item_col, item_text_col, shard_words, kind, "row", text_col)
     return _judged(found).where(~F.col("contaminated")).select("row.*")

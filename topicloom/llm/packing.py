@@ -29,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import bounds, chunks, written
+from topicloom.llm.common import bounds, chunks, released, written
 from topicloom.llm.token_count import Merges, byte_letters
 
 LENGTH = 2048
 WIDTH, DIMENSIONS, BITS = 64, 3, 16
-WORD_MEMO = 250_000
+WORD_MEMO = 200_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -195,6 +195,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, definition: str, end_
     narrow = max(vocabulary, end_id) < 2**16
     send = docs.sparkSession.sparkContext.broadcast(definition)
 
+    @released
     def encode(batches):
         encoder = Encoder(send.value, end_id)
         for batch in batches:
@@ -252,6 +253,7 @@ def places(rows: DataFrame) -> DataFrame:
 
 
 def _cut(length: int):
+    @released
     def cut(batches):
         for batch in batches:
             n, stop = (batch.column(c).to_numpy() for c in ("n", "stop"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import bounds, mixed, window_hashes, word_hashes
+from topicloom.llm.common import bounds, mixed, release, window_hashes, word_hashes
 
 WINDOW, PHRASE = 35, 12
 BLOCK_BYTES = 4 * 2**20
@@ -144,6 +144,7 @@ def _anchor_report(window: int, phrase: int, buckets: int):
         value, place = Block(table, window).anchors(phrase)
         new = np.concatenate([[True], place[1:] != place[:-1]])[: len(place)]
         value = value[new]
+        release()
         return _report(_number(table), value, np.zeros(len(value), np.uint64), buckets)
 
     return report
@@ -157,6 +158,7 @@ def _window_report(window: int, phrase: int, buckets: int):
         known = np.sort(_joined(candidates.column("high"), np.uint64))
         value, _ = block.anchors(phrase)
         at = np.minimum(np.searchsorted(known, value), len(known) - 1)
+        release()
         return _report(_number(table), *block.keys(block.starts[known[at] == value]), buckets)
 
     return report
@@ -241,6 +243,7 @@ def _remove(window: int):
         for words, a, n in zip(block.words, block.edges.tolist(), removed.tolist()):
             left = words if not n else [w for w, c in zip(words, covered[a : a + len(words)]) if not c]
             kept.append(b" ".join(left))
+        release()
         return pa.Table.from_arrays(
             [
                 block.table.column("row").cast(row), block.table.column("text"), pa.array(np.diff(block.edges)),

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import bounds, chunks, mixed, with_uid, written
+from topicloom.llm.common import bounds, chunks, mixed, released, with_uid, written
 
 RADIUS = 3
 SEED = 42
@@ -89,6 +89,7 @@ def fingerprints_of(texts: list[bytes], size: int, words: int = 1) -> np.ndarray
 
 
 def _fingerprint(size: int):
+    @released
     def fingerprint(batches):
         for batch in batches:
             for part, texts in chunks(batch, "text"):
@@ -202,6 +203,7 @@ def _search_shards(radius: int):
             values = fp.to_numpy().view(np.uint64).reshape(-1, 1)
         return shard.to_numpy(), nodes.to_numpy(), values
 
+    @released
     def search(batches):
         held, size = [], 0
         for batch in batches:
@@ -291,6 +293,7 @@ def differing(similarity: float) -> float:
 def _wide(size: int, keys: list[np.ndarray]):
     """(uid, fp, shards): long fingerprints and their values at each key's bits."""
 
+    @released
     def fingerprint(batches):
         for batch in batches:
             for part, texts in chunks(batch, "text"):

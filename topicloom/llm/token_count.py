@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import bounds, chunks
+from topicloom.llm.common import bounds, chunks, released
 
 #: White space, and the pattern that splits text for these vocabularies.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -188,6 +188,7 @@ def token_counts(
     """Per row: id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens)."""
     merges = docs.sparkSession.sparkContext.broadcast(Merges(*read_vocabulary(vocabulary_path)))
 
+    @released
     def count(batches):
         counter = Counter(merges.value)
         for batch in batches:

@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from topicloom.llm.common import bounds, chunks, mixed, window_hashes, with_uid, written
+from topicloom.llm.common import bounds, chunks, mixed, released, window_hashes, written
 
 ORDER = 6
 #: Absolute discounts: of continuation and pooled counts, and of a class's own counts, so
@@ -43,7 +44,7 @@ BUCKETS = 2**21
 #: About so many labelled documents at most, drawn by hash of their id, fit the logistic curve.
 CALIBRATION_ROWS = 100_000
 LABEL_BYTES = 64 * 2**20
-WORD_MEMO = 300_000
+WORD_MEMO = 200_000
 
 _START, _END = "\x01", "\x02"
 _LETTERS = bytes(
@@ -51,7 +52,6 @@ _LETTERS = bytes(
 )
 #: Evidence of a word beyond this many nats counts as an expression of its class.
 STRONG = 3.0
-FEATURES = "array<double>"
 
 
 def letter_words(text: bytes) -> list[bytes]:
@@ -63,6 +63,7 @@ def fold(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
 
 
+@released
 def _count_words(batches):
     """Partial counts of (word, class); words are written with one character a byte."""
     for batch in batches:
@@ -248,20 +249,23 @@ def _fit(features: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return weights
 
 
-def _features_of(table, kind: str):
+def _features_of(table, rest: T.StructType, column: str = "text", field: str | None = None):
+    """Evidence beside the other columns; the text goes, unless it is a field of a struct."""
+
+    @released
     def measure(batches):
         ratios = WordRatios(table.value)
         for batch in batches:
-            for part, texts in chunks(batch, "text"):
+            for part, texts in chunks(batch, column, field):
                 values = ratios.features(texts)
-                at = part.schema.get_field_index("text")
-                rest = [i for i in range(part.num_columns) if i != at]
+                at = part.schema.get_field_index(column)
+                kept = [i for i in range(part.num_columns) if i != at or field is not None]
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(i) for i in rest], pa.array(values.tolist(), pa.list_(pa.float64()))],
-                    [*[part.schema.names[i] for i in rest], "features"],
+                    [*[part.column(i) for i in kept], pa.array(values.tolist(), pa.list_(pa.float64()))],
+                    [*[part.schema.names[i] for i in kept], "features"],
                 )
 
-    return measure, f"{kind}, features {FEATURES}"
+    return measure, T.StructType([*rest, T.StructField("features", T.ArrayType(T.DoubleType()))])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
@@ -303,7 +307,9 @@ def train(
     part = min(1.0, CALIBRATION_ROWS / max(1, count / 4))
     drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000)
     held = known.where((fold("id") == 4) & drawn).select("toxic", "text")
-    measure, schema = _features_of(spark.sparkContext.broadcast(table), "toxic int")
+    measure, schema = _features_of(
+        spark.sparkContext.broadcast(table), T.StructType([T.StructField("toxic", T.IntegerType())])
+    )
     sample = held.mapInArrow(measure, schema).toArrow()
     toxic = np.asarray(sample.column("toxic").to_pylist(), dtype=float)
     if not len(toxic) or toxic.min() == toxic.max():
@@ -316,12 +322,12 @@ def train(
     return Model(table, _fit(features, toxic))
 
 
-def _scored(rows: DataFrame, model: Model) -> DataFrame:
-    """``rows`` without text, with evidence and score."""
+def _scored(rows: DataFrame, model: Model, column: str, field: str | None = None) -> DataFrame:
+    """``rows`` with evidence and score, without the text unless it is a struct's field."""
     spark = rows.sparkSession
-    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
-    measure, schema = _features_of(spark.sparkContext.broadcast(model.table), ", ".join(rest))
-    measured = rows.mapInArrow(measure, schema)
+    rest = T.StructType([f for f in rows.schema if f.name != column or field is not None])
+    sent = spark.sparkContext.broadcast(model.table)
+    measured = rows.mapInArrow(*_features_of(sent, rest, column, field))
     a, b, c = (float(w) for w in model.weights)
     mean, strong = F.col("features")[0], F.col("features")[1]
     z = F.lit(a) + F.lit(b) * mean + F.lit(c) * F.sqrt(strong)
@@ -334,10 +340,13 @@ def score_documents(
 ) -> DataFrame:
     """Per document: id, evidence (nats a word, positive: toxic) and score (0 to 1)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return _scored(rows, model).select(F.col("id").alias(id_col), "evidence", "score")
+    return _scored(rows, model, "text").select(F.col("id").alias(id_col), "evidence", "score")
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a score below one half, unchanged and with all their columns."""
-    rows = with_uid(docs, text=F.col(text_col).cast("string")).select("row", "text")
-    return _scored(rows, model).where("score < 0.5").select("row.*")
+    """The rows of ``docs`` with a score below one half, unchanged and with all their columns.
+
+    ``text_col`` must be a string column.
+    """
+    rows = docs.select(F.struct("*").alias("row"))
+    return _scored(rows, model, "row", text_col).where("score < 0.5").select("row.*")
