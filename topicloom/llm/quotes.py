@@ -81,19 +81,29 @@ def replies(links: DataFrame) -> DataFrame:
 
 
 def threads(answers: DataFrame) -> DataFrame:
-    """(conv, turn, thread, depth) of the messages that answer another one."""
-    ways = written(answers.select("conv", "turn", F.col("reply_to").alias("up"), F.lit(1).cast("long").alias("depth")), "ways")
+    """(conv, turn, thread, depth) of the messages that answer another one.
+
+    A message that has arrived at its thread's first one takes no part in later rounds,
+    but those that still climb may pass it.
+    """
+    one = F.lit(1).cast("long").alias("depth")
+    ways = written(answers.select("conv", "turn", F.col("reply_to").alias("up"), one), "ways")
+    climbing, arrived = ways, []
     while True:
         above = ways.select("conv", F.col("turn").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"))
-        longer = ways.join(above, ["conv", "up"], "left").select(
+        longer = climbing.join(above, ["conv", "up"], "left").select(
             "conv", "turn", F.coalesce("top", "up").alias("up"),
             (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
             F.col("top").isNotNull().alias("moved"),
         )
-        ways = written(longer, "ways")
-        if ways.where("moved").isEmpty():
+        longer = written(longer, "ways")
+        arrived.append(longer.where("not moved").drop("moved"))
+        climbing = longer.where("moved").drop("moved")
+        ways = climbing
+        for done in arrived:
+            ways = ways.unionByName(done)
+        if climbing.isEmpty():
             return ways.select("conv", "turn", F.col("up").alias("thread"), "depth")
-        ways = ways.drop("moved")
 
 
 def reply_order(
