@@ -21,7 +21,7 @@ def frame(spark, rows, extra="'x' AS id, 'y' AS row, 1 AS uid, 2 AS block, 3 AS
     return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *extra.split(", "))
 
 
-@pytest.mark.parametrize("name", ["op4_warc_derivatives", "op5_quotes"])
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, sf_dir, name):
     sql = queries.oracle_sql()[name]
     count, problem = compare(spark, duck(sf_dir), sf_dir, queries.queries()[name], sql)

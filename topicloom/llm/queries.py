@@ -124,4 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_derivatives": sql.OP4, "op5_quotes": sql.OP5}
+    return {
+        "op4_warc_derivatives": sql.OP4, "op5_quotes": sql.OP5, "op6_phrases": sql.OP6,
+        "op10_decontaminate": sql.OP10,
+    }

@@ -98,3 +98,48 @@ from mail m
 left join answers a on a.conv_id = m.conv_id and a.turn = m.turn
 left join threads t on t.conv_id = m.conv_id and t.turn = m.turn
 """
+
+OP6 = r"""
+with texts as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+words as (
+    select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from texts),
+windows as (
+    select doc_id, i, array_to_string(w[i : i + 34], ' ') as win
+    from (select doc_id, w, unnest(range(1, len(w) - 33)) as i from texts)),
+recurring as (
+    select doc_id, i from (select doc_id, i, count(*) over (partition by win) as n from windows) where n > 1),
+covered as (select distinct doc_id, unnest(range(i, i + 35)) as p from recurring),
+kept as (
+    select doc_id, string_agg(word, ' ' order by p) as text, count(*) as n
+    from words anti join covered using (doc_id, p) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
+    sha256(coalesce(kept.text, '')) as kept_sha256
+from texts left join kept using (doc_id)
+"""
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP10 = f"""
+with texts as (select doc_id, {_WORDS} as w from documents),
+items as (select item_id, {_WORDS} as w from benchmark),
+item_windows as (
+    select distinct item_id, n, array_to_string(w[i : i + n - 1], ' ') as win
+    from (select item_id, w, least(13, len(w)) as n, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i
+        from items where len(w) > 0)),
+windows as (
+    select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as win
+    from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i
+        from texts cross join (select distinct n from item_windows))),
+found as (select doc_id, i, n, item_id from windows join item_windows using (n, win)),
+hits as (
+    select doc_id, count(distinct p) as n_hit
+    from (select doc_id, unnest(range(i, i + n)) as p from found) group by doc_id),
+named as (
+    select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names
+    from (select distinct doc_id, cast(item_id as varchar) as item from found) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(names, '')) as items_sha256, coalesce(20 * n_hit >= len(w), false) as contaminated
+from texts left join hits using (doc_id) left join named using (doc_id)
+"""
