@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 import zlib
 
@@ -87,6 +88,8 @@ def curve_keys(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 @functools.lru_cache(maxsize=2)
 def _tokenizer(definition: str):
+    # Spark's tasks share out the cores; threads of each worker would only contend for them.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_str(definition)
