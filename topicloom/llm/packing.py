@@ -26,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,6 @@ LENGTH = 2048
 WIDTH, DIMENSIONS, BITS = 64, 3, 16
 WORD_MEMO = 200_000
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def hilbert_keys(places: np.ndarray, bits: int) -> np.ndarray:
@@ -145,51 +145,61 @@ class Encoder:
         self.before: dict[bytes, bytes] = {}
         self.end = np.array([end_id], "<u4").tobytes()
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = [t.content.lower().encode() for t in added]
-
-    def _split(self, words) -> list[tuple[bytes, bytes, bytes]]:
-        """(word, word without the stops behind a letter, those stops)."""
-        bare = [w.rstrip(b".,") for w in words]
-        return [
-            (w, b, w[len(b) :]) if b[-1:].isalpha() else (w, w, b"") for w, b in zip(words, bare)
-        ]
+        self.special = [t.content.lower() for t in added]
 
     def _learn(self, words: set[bytes]) -> None:
-        parts = self._split(words)
-        needed = {p for _, bare, stops in parts for p in (bare, stops) if p}
-        self._recall(needed)
-        unknown = needed.difference(self.known)
         if self.words:
-            plain = list(filter(self.words.plain, unknown))
+            plain = list(filter(self.words.plain, words))
             self.known.update(zip(plain, self.words.encode(plain)))
-            unknown = unknown.difference(plain)
-        unknown = list(unknown)
+            words = words.difference(plain)
+        rest = list(words)
         encoded = self.tokenizer.encode_batch_fast(
-            [w.decode() for w in unknown], add_special_tokens=False
+            [w.decode() for w in rest], add_special_tokens=False
         )
-        self.known.update(zip(unknown, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
-        for word, bare, stops in parts:
-            if stops:
-                self.known[word] = self.known[bare] + self.known[stops]
-
-    def _lowered(self, text: bytes) -> bytes:
-        """In lower case, unless that could write a special token that was none."""
-        lowered = text.translate(_LOWER)
-        return text if any(s in lowered for s in self.special) else lowered
+        self.known.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
 
     def _recall(self, words: set[bytes]) -> None:
         self.known.update((w, self.before[w]) for w in words.intersection(self.before))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Per text its ids and the end id, as little-endian unsigned 32-bit numbers."""
-        words = [self._lowered(t).split() for t in texts]
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
         if len(self.known) > WORD_MEMO:
             self.known, self.before = {}, self.known
-        unknown = {w for own in words for w in own}.difference(self.known)
+        unknown = set(words).difference(self.known)
         self._recall(unknown)
         if new := unknown.difference(self.before):
             self._learn(new)
-        return [b"".join(map(self.known.__getitem__, own)) + self.end for own in words]
+        return list(map(self.known.__getitem__, words))
+
+    def _prepared(self, texts: pa.Array) -> pa.Array:
+        """In lower case, unless that could write a special token that was none, and with a
+        space between a letter and a stop or comma, where tokens never go on."""
+        lowered = pc.ascii_lower(texts)
+        for special in self.special:
+            lowered = pc.if_else(pc.match_substring(lowered, special), texts, lowered)
+        return pc.replace_substring_regex(lowered, r"(\pL)([.,])", r"\1 \2")
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one behind the other, each text's with the end id, and where texts end.
+
+        Words are numbered by Arrow, so that only distinct ones are looked up.
+        """
+        array = self._prepared(pa.array(texts, pa.binary()).cast(pa.string()))
+        lists = pc.ascii_split_whitespace(array)
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_pylist()
+        filled = [w for w in distinct if w]
+        found = iter(self._each(filled))
+        each = [next(found) if w else b"" for w in distinct] + [self.end]
+        ends = bounds(pc.list_value_length(lists).to_numpy())[1:]
+        number = np.insert(words.indices.to_numpy().astype(np.int64), ends, len(distinct))
+        ends = ends + np.arange(1, len(ends) + 1)
+        size = np.fromiter((len(e) // 4 for e in each), np.int64, len(each))
+        start, table = bounds(size), np.frombuffer(b"".join(each), "<u4")
+        many = size[number]
+        places = bounds(many)
+        ids = table[np.repeat(start[number] - places[:-1], many) + np.arange(places[-1])]
+        return ids, np.concatenate([[0], places[ends]])
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, definition: str, end_id: int) -> DataFrame:
@@ -203,12 +213,10 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, definition: str, end_
         encoder = Encoder(send.value, end_id)
         for batch in batches:
             for part, texts in chunks(batch, "text"):
-                each = encoder.encode(texts)
-                edges = bounds([len(e) // 4 for e in each])
-                ids = np.frombuffer(b"".join(each), "<u4")
-                if narrow:
-                    short = ids.astype("<u2").tobytes()
-                    each = [short[2 * a : 2 * b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
+                ids, edges = encoder.encode(texts)
+                width = 2 if narrow else 4
+                raw, cuts = ids.astype(f"<u{width}").tobytes(), (width * edges).tolist()
+                each = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array(curve_keys(ids, edges)),
