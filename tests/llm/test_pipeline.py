@@ -102,3 +102,20 @@ def test_passages_of_over_fifty_words_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in phrases.without_repeats(docs).collect()}
     assert got == {i: f"{own[i]} tail{i}" if i < 3 else rows[i][1] for i in range(6)}
+
+
+def near_kept(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = written(docs.repartition(3), "near")
+    return {r.doc_id for r in simhash.without_near_duplicates(docs).select("doc_id").collect()}
+
+
+def test_a_shared_repeated_line_is_no_near_copy(spark):
+    """Documents that share one line, however often repeated, have little else in common."""
+    line = "terms apply to all offers"
+    texts = []
+    for g, (times, own) in enumerate([(40, 800), (100, 500), (20, 400)]):
+        for side in "ab":
+            texts += [" ".join([line] * times + [f"w{g}{side}{i}" for i in range(own)])]
+        assert similarity(*texts[-2:]) < 0.02
+    assert near_kept(spark, texts) == set(range(6))

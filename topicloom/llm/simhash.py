@@ -14,12 +14,12 @@ to components by rounds of joins, in tables in the shared folder.  Copies of a t
 one fingerprint and are never paired.  The trees are not broadcast, since together they
 grow with the corpus: fingerprints travel to the trees instead, ten small rows each.
 
-``without_near_duplicates`` looks wider: fingerprints have ``WORDS`` times 64 bits, which
-estimate the similarity (Jaccard) of two sets of shingles; links are pairs whose bits
-differ as little as those of the wanted similarity do.  At such distances blocks do not
-help, so shards are the values of sampled bits; their number is chosen so that a pair of
-exactly the wanted similarity shares a shard with probability ``FOUND``, and closer ones
-more surely.
+``without_near_duplicates`` judges by the Jaccard similarity of the sets of distinct
+shingles itself.  Texts of equal sets are copies.  Of the others, MinHash finds pairs to
+look at: ``BANDS`` keys of ``BAND_ROWS`` smallest hashes each, whatever the size of the
+table, so that a pair of the wanted similarity is missed about once in 400 million times
+(0.67 ** 50).  A pair is a link only if its two sets, read and compared whole, have that
+similarity.
 
 Texts without words (null, empty) have fingerprint zero and are linked like any other.
 Fewer words than a shingle make one shingle of all of them.  Every row gets a result;
@@ -41,7 +41,9 @@ from topicloom.llm.common import bounds, chunks, mixed, released, with_uid, writ
 
 RADIUS = 3
 SEED = 42
-WORDS, SIMILARITY, FOUND = 4, 0.8, 0.95
+SIMILARITY = 0.8
+#: A pair at a similarity of 0.8 shares none of the keys once in 400 million times.
+BANDS, BAND_ROWS = 50, 5
 #: Fingerprints that one search works on at once, and pairs of search and node.
 BLOCK_ROWS, BLOCK_PAIRS = 100_000, 2_000_000
 _BIT_ROWS = 2**17
@@ -186,7 +188,7 @@ def _smallest_linked(values: np.ndarray, shard: np.ndarray, radius: int) -> np.n
 
 def _search_shards(radius: int):
     """Stars (node, other) of the linked fingerprints in each shard; input (shard, node,
-    fp) is sorted by shard.  A long or binary fp; links are named by ``node``."""
+    fp) is sorted by shard; links are named by ``node``."""
 
     def solve(shard, nodes, values):
         label = _smallest_linked(values, shard, radius)
@@ -197,11 +199,7 @@ def _search_shards(radius: int):
 
     def arrays(batch):
         shard, nodes, fp = (batch.column(i) for i in range(3))
-        if pa.types.is_binary(fp.type):
-            values = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(fp), -1)
-        else:
-            values = fp.to_numpy().view(np.uint64).reshape(-1, 1)
-        return shard.to_numpy(), nodes.to_numpy(), values
+        return shard.to_numpy(), nodes.to_numpy(), fp.to_numpy().view(np.uint64).reshape(-1, 1)
 
     @released
     def search(batches):
@@ -285,41 +283,100 @@ def near_duplicates(
     return found.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def differing(similarity: float) -> float:
-    """The share of fingerprint bits that differ between sets of this Jaccard similarity."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
 
 
-def _wide(size: int, keys: list[np.ndarray]):
-    """(uid, fp, shards): long fingerprints and their values at each key's bits."""
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """Keys of shape (sets, BANDS): two sets share one of a band if their ``BAND_ROWS``
+    smallest members under that band's hash functions agree.  No set is empty."""
+    keys = np.zeros((len(sets), BANDS), np.uint64)
+    if not sets:
+        return keys
+    rng = np.random.default_rng(SEED)
+    masks, odds = rng.integers(0, 2**64, (2, BANDS, BAND_ROWS), np.uint64)
+    flat, starts = np.concatenate(sets), bounds([len(s) for s in sets])[:-1]
+    hashed = np.empty_like(flat)
+    for band in range(BANDS):
+        key = np.full(len(sets), band, np.uint64)
+        for mask, odd in zip(masks[band], odds[band] | np.uint64(1)):
+            np.bitwise_xor(flat, mask, out=hashed)
+            np.multiply(hashed, odd, out=hashed)
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(hashed, starts))
+        keys[:, band] = key
+    return keys
+
+
+def _signed(size: int):
+    """(uid, n, same, keys): size and digest of the shingle set, and its band keys."""
 
     @released
-    def fingerprint(batches):
+    def sign(batches):
         for batch in batches:
             for part, texts in chunks(batch, "text"):
-                found = fingerprints_of(texts, size, WORDS).astype("<u8")
-                bits = np.unpackbits(found.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-                shards = np.stack(
-                    [(bits[:, k] << np.arange(len(k))).sum(axis=1) + (n << 40) for n, k in enumerate(keys)], 1
-                )
+                sets = [shingle_set(t, size) for t in texts]
+                full = np.array([len(s) > 0 for s in sets], bool)
+                keys = iter(band_keys([s for s in sets if len(s)]).view(np.int64).tolist())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), pa.array([f.tobytes() for f in found], pa.binary()),
-                        pa.array(shards.tolist(), pa.list_(pa.int64())),
+                        part.column(0), pa.array([len(s) for s in sets], pa.int32()),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                        pa.array([next(keys) if f else [] for f in full], pa.list_(pa.int64())),
                     ],
-                    ["uid", "fp", "shards"],
+                    ["uid", "n", "same", "keys"],
                 )
 
-    return fingerprint
+    return sign
 
 
-def sampled_keys(rows: int, similarity: float) -> list[np.ndarray]:
-    """Bits of each key: enough for small shards, and enough keys to find similar pairs."""
-    size = min(40, max(16, int(np.ceil(np.log2(rows + 1))) - 2))
-    agree = (1 - differing(similarity)) ** size
-    count = int(np.ceil(np.log(1 - FOUND) / np.log(1 - agree)))
-    rng = np.random.default_rng(SEED)
-    return [rng.choice(64 * WORDS, size, replace=False) for _ in range(count)]
+def _shingled(size: int):
+    """(node, shingles): the sorted set, eight bytes a member."""
+
+    @released
+    def shingle(batches):
+        for batch in batches:
+            for part, texts in chunks(batch, "text"):
+                sets = [shingle_set(t, size).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["node", "shingles"]
+                )
+
+    return shingle
+
+
+def _confirm(similarity: float):
+    """The pairs (a, b) whose sets x and y have this Jaccard similarity at least."""
+
+    @released
+    def confirm(batches):
+        for batch in batches:
+            near = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near[i] = both / (len(x) + len(y) - both) >= similarity
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return confirm
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose ``sets`` (node, shingles) are similar."""
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(
+        _confirm(similarity), "a long, b long"
+    )
+
+
+def similar_groups(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): components of the confirmed pairs within ``buckets`` (key, node, n)."""
+    one = buckets.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"))
+    other = buckets.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
+    alike = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
+    pairs = one.join(other, "key").where((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
+    return components(confirmed(written(pairs, "pairs"), sets, similarity))
 
 
 def without_near_duplicates(
@@ -327,22 +384,28 @@ def without_near_duplicates(
 ) -> DataFrame:
     """The first row of each group of near duplicates, unchanged and with all its columns.
 
-    ``docs`` must be read from files (or a checkpoint): it is read twice, and rows are
-    told apart by their place.
+    ``docs`` must be read from files (or a checkpoint): it is read three times, and rows
+    are told apart by their place.
     """
     rows = with_uid(docs, text=F.col(text_col).cast("string"))
-    keys = sampled_keys(docs.count(), similarity)
-    radius = int(np.ceil(64 * WORDS * differing(similarity)))
+    texts = rows.select("uid", "text")
     found = written(
-        rows.select("uid", "text").mapInArrow(_wide(shingle, keys), "uid long, fp binary, shards array<long>"),
-        "fingerprints",
+        texts.mapInArrow(_signed(shingle), "uid long, n int, same binary, keys array<long>"), "signatures"
+    )
+    firsts = written(found.groupBy("same").agg(F.min("uid").alias("node")), "firsts")
+    dealt = found.join(firsts.select(F.col("node").alias("uid")), "uid", "left_semi").select(
+        F.explode("keys").alias("key"), F.col("uid").alias("node"), "n"
+    )
+    shared = dealt.groupBy("key").count().where("count > 1").select("key")
+    buckets = written(dealt.join(shared, "key").select("key", "node", "n"), "buckets")
+    wanted = buckets.select(F.col("node").alias("uid")).distinct()
+    sets = written(
+        texts.join(wanted, "uid", "left_semi").mapInArrow(_shingled(shingle), "node long, shingles binary"),
+        "shingles",
     )
-    distinct = found.groupBy("fp").agg(F.min("uid").alias("node"), F.first("shards").alias("shards"))
-    dealt = distinct.select(F.explode("shards").alias("shard"), "node", "fp")
-    sharded = dealt.repartition("shard").sortWithinPartitions("shard", "node")
-    roots = components(sharded.mapInArrow(_search_shards(radius), "a long, b long"))
+    roots = similar_groups(buckets, sets, similarity)
     first = roots.groupBy("root").agg(F.min("node").alias("node"))
     later = roots.select("node").join(first.select("node"), "node", "left_anti")
-    copies = found.join(distinct.select("fp", "node"), "fp").where("uid <> node").select("uid")
+    copies = found.select("uid").join(firsts.select(F.col("node").alias("uid")), "uid", "left_anti")
     dropped = later.select(F.col("node").alias("uid")).unionByName(copies)
     return rows.select("uid", "row").join(written(dropped, "dropped"), "uid", "left_anti").select("row.*")
