@@ -119,3 +119,29 @@ def test_a_shared_repeated_line_is_no_near_copy(spark):
             texts += [" ".join([line] * times + [f"w{g}{side}{i}" for i in range(own)])]
         assert similarity(*texts[-2:]) < 0.02
     assert near_kept(spark, texts) == set(range(6))
+
+
+def edited(rng, words, similar):
+    """The words with single ones changed, so that their shingles have this similarity."""
+    runs = len(words) - 4
+    lost, out = round(runs - 2 * runs * similar / (1 + similar)), list(words)
+    for nth in range(lost // 5):
+        out[5 + 10 * nth] = f"x{rng.random()}"
+    return out
+
+
+def test_the_threshold_holds_for_isolated_pairs(spark):
+    """Against brute force: pairs on either side of 0.8, in tables of any size."""
+    rng, texts = random.Random(4), []
+    for similar in (0.72, 0.75, 0.78, 0.8, 0.82, 0.85, 0.9):
+        for _ in range(12):
+            base = [f"w{rng.random()}" for _ in range(400)]
+            texts += [" ".join(base), " ".join(edited(rng, base, similar))]
+    want = set(range(len(texts)))
+    want -= {b for b in range(1, len(texts), 2) if similarity(texts[b - 1], texts[b]) >= 0.8}
+    assert len(texts) - 60 <= len(want) <= len(texts) - 36
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for shown in (docs, docs.where("doc_id >= 48")):
+        shown = written(shown.orderBy("doc_id").coalesce(1), "pairs")
+        kept = {r.doc_id for r in simhash.without_near_duplicates(shown).select("doc_id").collect()}
+        assert kept == want & {r.doc_id for r in shown.select("doc_id").collect()}
