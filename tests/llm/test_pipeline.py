@@ -145,3 +145,30 @@ def test_the_threshold_holds_for_isolated_pairs(spark):
         shown = written(shown.orderBy("doc_id").coalesce(1), "pairs")
         kept = {r.doc_id for r in simhash.without_near_duplicates(shown).select("doc_id").collect()}
         assert kept == want & {r.doc_id for r in shown.select("doc_id").collect()}
+
+
+@pytest.mark.parametrize("each", [8, 0])
+def test_a_hot_group_of_edited_copies(spark, monkeypatch, each):
+    """A third of all rows are edits of one text: chains and strangers in the same buckets,
+    and no task sees a whole bucket."""
+    rng = random.Random(8)
+    base = [f"w{rng.random()}" for _ in range(300)]
+    texts = [" ".join(edited(rng, base, rng.choice([0.6, 0.75, 0.85, 0.95]))) for _ in range(60)]
+    chain = list(base)
+    for step in range(12):  # each is near the last, the ends are not
+        chain = chain[:20 * step] + [f"c{rng.random()}" for _ in range(10)] + chain[20 * step + 10:]
+        texts.append(" ".join(chain))
+    texts += [" ".join(f"o{rng.random()}" for _ in range(300)) for _ in range(40)]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if root[a] != root[b] and similarity(texts[a], texts[b]) >= 0.8:
+                root = [root[a] if r == root[b] else r for r in root]
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    monkeypatch.setattr(simhash, "PAIRS_EACH", each)
+    turns, shown = [], simhash._leader_pairs
+    monkeypatch.setattr(simhash, "_leader_pairs", lambda *a: turns.append(a) or shown(*a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = written(docs.orderBy("doc_id").coalesce(1), "hot")
+    kept = {r.doc_id for r in simhash.without_near_duplicates(docs).select("doc_id").collect()}
+    assert kept == {root.index(r) for r in set(root)} and turns

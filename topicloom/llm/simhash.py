@@ -19,7 +19,8 @@ shingles itself.  Texts of equal sets are copies.  Of the others, MinHash finds
 look at: ``BANDS`` keys of ``BAND_ROWS`` smallest hashes each, whatever the size of the
 table, so that a pair of the wanted similarity is missed about once in 400 million times
 (0.67 ** 50).  A pair is a link only if its two sets, read and compared whole, have that
-similarity.
+similarity.  Large buckets are contracted through leaders first; what stays open in them
+is compared block by block.
 
 Texts without words (null, empty) have fingerprint zero and are linked like any other.
 Fewer words than a shingle make one shingle of all of them.  Every row gets a result;
@@ -44,6 +45,8 @@ SEED = 42
 SIMILARITY = 0.8
 #: A pair at a similarity of 0.8 shares none of the keys once in 400 million times.
 BANDS, BAND_ROWS = 50, 5
+#: Rows of a bucket that meet at once, and open pairs a node that are compared without leaders.
+BLOCK, PAIRS_EACH = 256, 8
 #: Fingerprints that one search works on at once, and pairs of search and node.
 BLOCK_ROWS, BLOCK_PAIRS = 100_000, 2_000_000
 _BIT_ROWS = 2**17
@@ -371,12 +374,81 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def similar_groups(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, root): components of the confirmed pairs within ``buckets`` (key, node, n)."""
-    one = buckets.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"))
-    other = buckets.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
-    alike = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    pairs = one.join(other, "key").where((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
-    return components(confirmed(written(pairs, "pairs"), sets, similarity))
+    """(node, root): components of the confirmed pairs within ``buckets`` (key, node, n).
+
+    A round confirms one pair for each node, with a leader of one of its buckets, so that
+    groups of near copies become components at linear cost.  What is then left open, pairs
+    of different components in a bucket, is compared whole.
+    """
+    found, roots, before, turn = None, None, None, 0
+    most = PAIRS_EACH * buckets.select("node").distinct().count()
+    while True:
+        named = buckets.withColumn("root", F.col("node"))
+        if roots is not None:
+            named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = written(named.select("key", "node", "n", "root"), "named")
+        members = named.groupBy("key", "root").agg(F.count("*").alias("m"))
+        sizes = members.groupBy("key").agg(
+            F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("within"),
+            F.max("m").alias("largest"), F.max_by("root", F.struct("m", "root")).alias("main"),
+        )
+        sizes = written(sizes.where("largest < size"), "sizes")
+        left = sizes.agg(F.sum((F.col("size") * F.col("size") - F.col("within")) / 2)).first()[0] or 0
+        last = left <= most or (before is not None and left > 0.9 * before)
+        pairs = _open_pairs(named, sizes) if last else _leader_pairs(named, sizes, turn)
+        alike = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
+        pairs = written(pairs.where(alike).select("a", "b").distinct(), "pairs")
+        links = written(confirmed(pairs, sets, similarity), "links")
+        found = links if found is None else found.unionByName(links)
+        roots = written(components(found), "roots")
+        if last:
+            return roots
+        before, turn = left, turn + 1
+
+
+def _leader_pairs(named: DataFrame, sizes: DataFrame, turn: int) -> DataFrame:
+    """(a, n_a, b, n_b): each node with one leader of another component, if it meets any.
+
+    The leader of a bucket is its smallest node, in another order each turn.
+    """
+    mask = F.lit(int(np.random.default_rng(turn).integers(2**62)) if turn else 0)
+    ranked = named.join(sizes.select("key"), "key").withColumn("rank", F.col("node").bitwiseXOR(mask))
+    known = ranked.select(
+        F.col("rank").alias("leader"), F.col("n").alias("n_b"), F.col("root").alias("root_b")
+    ).distinct()
+    leaders = ranked.groupBy("key").agg(F.min("rank").alias("leader")).join(known, "leader")
+    met = ranked.join(leaders, "key").where("root <> root_b").groupBy("node", "n").agg(
+        F.min("leader").alias("leader"), F.min_by("n_b", "leader").alias("n_b")
+    )
+    return met.select(
+        F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("leader").bitwiseXOR(mask).alias("b"), "n_b"
+    )
+
+
+def _open_pairs(named: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, n_a, b, n_b): all pairs of different components that share a bucket.
+
+    One of a pair is outside the largest component of its bucket.  Those outside meet the
+    whole bucket block by block, so that no task holds a large bucket.
+    """
+    def blocks(count):
+        return F.ceil(F.col(count) / BLOCK).cast("int")
+
+    def block_of(count):
+        return F.pmod(F.xxhash64("node"), blocks(count)).cast("int")
+
+    rows = named.join(sizes.withColumn("outside", F.col("size") - F.col("largest")), "key")
+    a = rows.where("root <> main").select(
+        "key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"),
+        block_of("outside").alias("i"), F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("j"),
+    )
+    b = rows.select(
+        "key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), "main",
+        block_of("size").alias("j"), F.explode(F.sequence(F.lit(0), blocks("outside") - 1)).alias("i"),
+    )
+    once = (F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    pairs = a.join(b, ["key", "i", "j"]).where((F.col("root_a") != F.col("root_b")) & once)
+    return pairs.select("a", "n_a", "b", "n_b")
 
 
 def without_near_duplicates(
