@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 
@@ -94,6 +95,28 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score_documents(docs, toxicity.train(docs, labels.where("false"))).count() == 80
 
 
+def test_every_ngram_keeps_its_own_ratio(spark):
+    """Words of many n-grams score as the sums of their own log-ratios."""
+    rng, counts, rows = random.Random(6), {}, []
+    for i in range(200):
+        words = {"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(60)}
+        rows.append((i, " ".join(words), i % 2))
+        if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3):
+            for w in words:
+                counts.setdefault(w, [0, 0])[i % 2] += 1
+    frame = spark.createDataFrame([(w, *n) for w, n in counts.items()], "word string, n_ordinary long, n_toxic long")
+    exact = {r.gram: r.ratio for r in toxicity._log_ratios(toxicity._grams(frame)).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.drop("toxic"), docs.drop("text"))
+    size = toxicity.ORDER
+    asked = sorted({w for _, text, _ in rows for w in text.split()})
+    got = toxicity.WordRatios(model.table).features([w.encode() for w in asked])[:, 0]
+    for word, value in zip(asked, got):
+        padded = "\x01" * (size - 1) + word + "\x02"
+        grams = [padded[i : i + size] for i in range(len(word) + 1)]
+        assert value == pytest.approx(sum(exact.get(g, exact.get(g[:-1], 0.0)) for g in grams), abs=1e-4)
+
+
 def test_passages_of_over_fifty_words_go(spark):
     rng = random.Random(2)
     passage = " ".join(f"p{rng.randrange(999)}" for _ in range(55))

@@ -9,8 +9,9 @@ the difference of its two log-likelihoods, divided by its length; a logistic cur
 on labelled documents whose words were not counted, turns it into a score.
 
 Counting covers every labelled training document and is combined before each shuffle.
-Models are built by joins over the n-grams.  What tasks get is a table of ``BUCKETS``
-hashed log-ratios (16 MB at any corpus size); texts are scored where they are read.  Labels
+Models are built by joins over the n-grams.  What tasks get is a table of all counted
+n-grams and contexts by their exact letters (12 bytes each; distinct n-grams of letters
+grow far slower than the text); texts are scored where they are read.  Labels
 are broadcast below ``LABEL_BYTES``, else joined by a shuffle of the labelled texts.
 
 Null, empty and wordless texts have no evidence and get the score of evidence 0.  Every
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.llm.common import bounds, chunks, mixed, released, window_hashes, written
+from topicloom.llm.common import bounds, chunks, released, written
 
 ORDER = 6
 #: Absolute discounts: of continuation and pooled counts, and of a class's own counts, so
@@ -40,7 +41,6 @@ ORDER = 6
 DISCOUNT, CLASS_DISCOUNT = 0.75, 1.5
 #: Shared counts that each class adds to a context.
 SHARED = 2.0
-BUCKETS = 2**21
 #: About so many labelled documents at most, drawn by hash of their id, fit the logistic curve.
 CALIBRATION_ROWS = 100_000
 LABEL_BYTES = 64 * 2**20
@@ -120,7 +120,7 @@ def _continuations(grams: DataFrame) -> DataFrame:
 
 
 def _log_ratios(grams: DataFrame) -> DataFrame:
-    """(gram, ratio, weight) of seen grams, and of contexts for the grams not seen after them.
+    """(gram, ratio) of seen grams, and of contexts for the grams not seen after them.
 
     A gram unseen in both classes has the shared estimate in both models: only the
     weights of backing off from its context differ.
@@ -151,39 +151,49 @@ def _log_ratios(grams: DataFrame) -> DataFrame:
     lower = _continuations(grams).withColumnRenamed("gram", "suffix")
     seen = grams.withColumn("context", context).withColumn("suffix", F.expr("substring(gram, 2)"))
     seen = seen.join(totals, "context").join(lower, "suffix")
-    return seen.select(
-        "gram", ratio(True), (F.col("n_ordinary") + F.col("n_toxic")).cast("double").alias("weight")
-    ).unionByName(
-        totals.select(
-            F.col("context").alias("gram"), ratio(False),
-            (F.col("total_n_ordinary") + F.col("total_n_toxic")).cast("double").alias("weight"),
-        )
-    )
+    return seen.select("gram", ratio(True)).unionByName(totals.select(F.col("context").alias("gram"), ratio(False)))
 
 
-def _gram_buckets(letters: np.ndarray, width: int) -> np.ndarray:
-    hashes = mixed(window_hashes(letters.astype(np.uint64) + np.uint64(width << 8), width, width))
-    return (hashes % np.uint64(BUCKETS)).astype(np.int64)
+def _gram_keys(letters: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` letters from each place on as one number, with the width above them."""
+    n = max(len(letters) - width + 1, 0)
+    keys = np.full(n, width << 8 * ORDER, np.int64)
+    for i in range(width):
+        keys |= letters[i : i + n].astype(np.int64) << 8 * i
+    return keys
 
 
-def _to_buckets(batches):
+def _to_keys(batches):
     for batch in batches:
         grams = batch.column("gram").to_pylist()
-        at = np.zeros(len(grams), np.int64)
+        keys = np.zeros(len(grams), np.int64)
         for width in (ORDER, ORDER - 1):
             mine = np.array([i for i, g in enumerate(grams) if len(g) == width], np.int64)
             letters = np.frombuffer("".join(grams[i] for i in mine).encode("latin-1"), np.uint8)
             if len(mine):
-                at[mine] = _gram_buckets(letters, width)[::width]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at), batch.column("ratio"), batch.column("weight")], ["bucket", "ratio", "weight"]
-        )
+                keys[mine] = _gram_keys(letters, width)[::width]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("ratio")], ["key", "ratio"])
+
+
+class RatioTable:
+    """The log-ratio of each n-gram and context, by key."""
+
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.ratios = keys[order], ratios[order]
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        """Log-ratios of ``keys``, NaN where an n-gram or context was not seen."""
+        if not len(self.keys):
+            return np.full(len(keys), np.nan, np.float32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.ratios[at], np.float32(np.nan))
 
 
 class WordRatios:
     """Log-ratios of words: sums of those of their n-grams, remembered for frequent words."""
 
-    def __init__(self, table: np.ndarray):
+    def __init__(self, table: RatioTable):
         self.table, self.known = table, {}
 
     def _learn(self, words: list[bytes]) -> None:
@@ -192,8 +202,8 @@ class WordRatios:
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         first = bounds(size + ORDER - 1)[:-1]
         place = np.arange(size.sum()) - np.repeat(bounds(size)[:-1], size) + np.repeat(first, size)
-        ratio = self.table[_gram_buckets(letters, ORDER)[place]]
-        backed = self.table[_gram_buckets(letters, ORDER - 1)[place]]
+        ratio = self.table[_gram_keys(letters, ORDER)[place]]
+        backed = self.table[_gram_keys(letters, ORDER - 1)[place]]
         ratio = np.where(np.isnan(ratio), np.nan_to_num(backed), ratio)
         self.known.update(zip(words, np.add.reduceat(ratio, bounds(size)[:-1]).tolist()))
 
@@ -219,9 +229,9 @@ class WordRatios:
 
 @dataclass
 class Model:
-    """Hashed log-ratios (NaN: not seen) and the logistic curve."""
+    """Log-ratios and the logistic curve."""
 
-    table: np.ndarray
+    table: RatioTable
     weights: np.ndarray
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -297,12 +307,9 @@ def train(
         F.sum("n_ordinary").alias("n_ordinary"), F.sum("n_toxic").alias("n_toxic")
     )
     grams = written(_grams(words), "toxicity-grams")
-    buckets = _log_ratios(grams).mapInArrow(_to_buckets, "bucket long, ratio double, weight double")
-    cells = buckets.groupBy("bucket").agg(
-        (F.sum(F.col("ratio") * F.col("weight")) / F.sum("weight")).cast("float").alias("ratio")
-    ).toArrow()  # at most BUCKETS rows
-    table = np.full(BUCKETS, np.nan, np.float32)
-    table[cells.column("bucket").to_numpy()] = cells.column("ratio").to_numpy()
+    found = _log_ratios(grams).select("gram", F.col("ratio").cast("float").alias("ratio"))
+    cells = found.mapInArrow(_to_keys, "key long, ratio float").toArrow()
+    table = RatioTable(cells.column("key").to_numpy(), cells.column("ratio").to_numpy())
 
     part = min(1.0, CALIBRATION_ROWS / max(1, count / 4))
     drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000)
