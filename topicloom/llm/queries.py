@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm import (
-    ann, decontaminate, packing, phrases, quotes, simhash, sql, token_count, toxicity, url_filter,
-    warc_derive,
+    ann, decontaminate, filter_audit, packing, phrases, quotes, simhash, spelling, sql, token_count,
+    toxicity, url_filter, warc_derive,
 )
 
 
@@ -108,6 +108,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": op1_ann,
@@ -120,11 +128,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_warc_derivatives": sql.OP4, "op5_quotes": sql.OP5, "op6_phrases": sql.OP6,
-        "op10_decontaminate": sql.OP10,
+        "op10_decontaminate": sql.OP10, "op13_filter_audit": sql.OP13,
     }

@@ -143,3 +143,46 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, c
     sha256(coalesce(names, '')) as items_sha256, coalesce(20 * n_hit >= len(w), false) as contaminated
 from texts left join hits using (doc_id) left join named using (doc_id)
 """
+
+
+_SPACE = r"[^\x20\x09-\x0D]+"
+
+OP13 = rf"""
+with texts as (
+    select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+        regexp_extract_all(coalesce(text, ''), '{_SPACE}') as w from documents),
+firsts as (select text, min(doc_id) as first from texts group by text),
+known as (select doc_id, max(cast(quality = 1 as int)) as good, max(cast(toxic = 1 as int)) as bad
+    from labels group by doc_id),
+judged as (
+    select part, coalesce(good, 0) as good, coalesce(bad, 0) as bad,
+        cast(len(w) < 200 as int)
+        + 2 * cast(100 * len(list_distinct(w)) < 50 * len(w) as int)
+        + 4 * cast(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) as int)
+        + 8 * cast(regexp_matches(text, '[#$%&*|]') as int)
+        + 16 * cast(doc_id > first as int) as failed
+    from texts join firsts using (text) left join known using (doc_id)),
+patterns as (
+    select part, failed, count(*) as n, sum(good) as good, sum(bad) as bad from judged group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as c, unnest([1, 2, 4, 8, 16]) as bit),
+orders as (
+    select a.c || b.c || c.c || d.c || e.c as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+    from letters a, letters b, letters c, letters d, letters e
+    where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps as (
+    select filter_order, step, bits[step] as bit, list_sum([0] || bits[1 : step - 1]) as before
+    from orders, (select unnest(range(1, 6)) as step)),
+done as (
+    select part, filter_order, step, bit,
+        sum(case when failed & (before | bit) = 0 then n else 0 end) as kept,
+        sum(case when failed & bit > 0 and failed & before = 0 then n else 0 end) as removed,
+        sum(case when failed & bit > 0 and failed & before > 0 then n else 0 end) as redundant,
+        sum(case when failed = bit then n else 0 end) as unique_fails,
+        sum(case when failed & bit > 0 and failed & before = 0 then good else 0 end) as good_lost,
+        sum(case when failed & bit > 0 and failed & before = 0 then bad else 0 end) as toxic_lost
+    from patterns, (select filter_order, step, bit, cast(before as int) as before from steps) group by all)
+select part, filter_order, cast(step as int) as step, {", ".join(f"cast({c} as bigint) as {c}" for c in
+    "kept removed redundant unique_fails good_lost toxic_lost".split())},
+    cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+from done
+"""
