@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm import (
-    ann, decontaminate, filter_audit, packing, phrases, quotes, simhash, spelling, sql, token_count,
-    toxicity, url_filter, warc_derive,
+    ann, cover_tree, decontaminate, filter_audit, packing, phrases, quotes, simhash, spelling, sql,
+    token_count, toxicity, url_filter, warc_derive,
 )
 
 
@@ -108,6 +108,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -128,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
+        "op11_cover_tree": op11_cover_tree,
         "op12_spelling_variants": op12_spelling_variants,
         "op13_filter_audit": op13_filter_audit,
     }
@@ -136,5 +141,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_warc_derivatives": sql.OP4, "op5_quotes": sql.OP5, "op6_phrases": sql.OP6,
-        "op10_decontaminate": sql.OP10, "op13_filter_audit": sql.OP13,
+        "op10_decontaminate": sql.OP10, "op11_cover_tree": sql.OP11, "op13_filter_audit": sql.OP13,
     }

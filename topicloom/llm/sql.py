@@ -145,6 +145,26 @@ from texts left join hits using (doc_id) left join named using (doc_id)
 """
 
 
+OP11 = """
+with recursive vectors as (
+    select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
+    where embedding is not null and label is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+    select a.vec_id as a, b.vec_id as b
+    from vectors a join vectors b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+    where list_cosine_similarity(a.v, b.v) >= 0.93),
+reach as (
+    select vec_id as a, vec_id as b from embeddings
+    union
+    select r.a, l.b from reach r join links l on l.a = r.b),
+named as (select a as vec_id, min(b) as component_id from reach group by a),
+counted as (select a as vec_id, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from named left join counted using (vec_id)
+"""
+
 _SPACE = r"[^\x20\x09-\x0D]+"
 
 OP13 = rf"""
