@@ -3,6 +3,7 @@ import pytest
 
 from topicloom.operators import model as md
 from topicloom.operators.lda import kernel as kn
+from topicloom.operators.lda import meeting
 from topicloom.operators.lda import sampler as sp
 from topicloom.operators.lda.declarative import gibbs_sweep
 from topicloom.operators.lda.mllib import fit_ml, minibatch_fraction, model_from_ml, train_perplexity
@@ -217,20 +218,61 @@ def test_power_law_cutoff():
     assert sp.power_law_cutoff(30) == 66_666
 
 
-def test_slices_are_whole_groups_within_the_budget(monkeypatch):
-    monkeypatch.setattr(sp, "MODEL_BLOCK_BYTES", 25 * 30 * sp.BYTES_PER_CELL)
-    s = kn.Settings(30, 0.5, 0.01, 100, groups=10)
-    assert sp.slices(0, 100, s) == [(0, 20), (20, 40), (40, 60), (60, 80), (80, 100)]
-    assert sp.slices(5, 33, s) == [(5, 30), (30, 33)]
-    monkeypatch.setattr(sp, "MODEL_BLOCK_BYTES", 1)
-    assert sp.slices(0, 30, s) == [(0, 10), (10, 20), (20, 30)]
+@pytest.mark.parametrize("method", ["mh", "naive"])
+@pytest.mark.parametrize("block_size", [None, 25])
+def test_counts_that_meet_documents_change_nothing(spark, planted, monkeypatch, method, block_size):
+    """Broadcast or joined, in few or many parts, with dense rows or without: the same draws."""
+    args = dict(method=method, k=K, iterations=2, block_size=block_size)
+    whole = topics_of(sp.fit_sampler(planted, V, **args).state)
+    assert topics_of(sp.fit_sampler(planted, V, **args, model_bytes=0).state) == whole
+    monkeypatch.setattr(meeting, "PART_TOKENS", 500)
+    monkeypatch.setattr(sp, "POWER_LAW_CELLS", 20 * K)
+    assert topics_of(sp.fit_sampler(planted, V, **args, model_bytes=0).state) == whole
+
+
+def test_a_joined_sweep_moves_no_model_with_the_corpus(spark, planted):
+    """One read of the state; the rows of its parts come by a join on the term."""
+    state = initial_state(planted, K).cache()
+    table = word_topic_counts(state)
+    uses = meeting.term_uses(state, "doc_key", "words", 5)
+    assert uses.groupBy("term_id").count().agg({"count": "max"}).first()[0] <= 5
+    s = kn.Settings(K, 0.5, 0.01, V)
+    swept = sp.sample_block_met(state, uses, 5, table, sp.total_counts(table, K), 0, V, "mh", s, 0)
+    plan = swept._jdf.queryExecution().optimizedPlan().toString()
+    assert swept.columns == state.columns and "FlatMapCoGroupsInArrow" in plan
+    assert swept.count() == 240
 
 
-@pytest.mark.parametrize("method", ["mh", "naive"])
-def test_the_byte_limit_changes_nothing(spark, planted, monkeypatch, method):
-    whole = topics_of(sp.fit_sampler(planted, V, method, K, 2).state)
-    monkeypatch.setattr(sp, "MODEL_BLOCK_BYTES", 30 * K * sp.BYTES_PER_CELL)
-    assert topics_of(sp.fit_sampler(planted, V, method, K, 2).state) == whole
+def test_alias_tables_give_the_weights_back():
+    rng = np.random.default_rng(0)
+    lengths = np.concatenate([[0, 1, 2, 500], rng.integers(0, 30, 200)])
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    weights = rng.gamma(0.3, 1, starts[-1]) + 1e-9
+    share, other, mass = kn.alias_tables(starts, weights)
+    given = np.zeros(len(weights))
+    np.add.at(given, np.arange(len(weights)), share)
+    np.add.at(given, other, 1 - share)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    assert np.allclose(given * mass[row] / lengths[row], weights)
+    assert (row[other] == row).all() and share.min() >= 0 and share.max() <= 1
+
+
+def test_word_proposals_follow_their_density():
+    """Chi-square of sparse draws against (count + beta) / (total + V beta)."""
+    rng = np.random.default_rng(4)
+    k, rows, n = 50, 4, 200_000
+    full = rng.integers(1, 40, (rows, k)) * (rng.random((rows, k)) < 0.2)
+    totals = full.sum(0) + rng.integers(50, 900, k).astype(float)
+    term, topic = np.nonzero(full)
+    s = kn.Settings(k, 0.5, 0.3, 100)
+    counts = kn.BlockCounts.build(0, rows, k, 0, term, topic, full[term, topic], totals).prepare(s)
+    for row in range(rows):
+        drawn = np.bincount(counts.propose(np.full(n, row), rng.random(n)), minlength=k)
+        q = (full[row] + 0.3) / (totals + 30)
+        want = n * q / q.sum()
+        assert ((drawn - want) ** 2 / want).sum() < 49 + 5 * np.sqrt(2 * 49)
+    pairs = rng.integers(0, rows, 500), rng.integers(0, k, 500)
+    assert (counts.at(*pairs) == full[pairs]).all()
 
 
 def test_a_checkpoint_of_other_settings_is_refused(spark, planted, tmp_path):
