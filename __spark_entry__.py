@@ -20,8 +20,9 @@ from topicloom.operators import partitioning as pt  # noqa: E402
 from topicloom.operators import sampling as sm  # noqa: E402
 from topicloom.operators import tokens as tk  # noqa: E402
 from topicloom.operators import vectorize as vz  # noqa: E402
-from topicloom.operators.lda import declarative, mllib, sampler  # noqa: E402
+from topicloom.operators.lda import declarative, em, mllib, sampler  # noqa: E402
 from topicloom.operators.lda import state as st  # noqa: E402
+from topicloom.operators.lda.kernel import md5_uniforms  # noqa: E402
 from topicloom.operators.topk import top_k  # noqa: E402
 from topicloom.operators.vocabulary import term_counts  # noqa: E402
 from topicloom.plans.corpus import load_corpus  # noqa: E402
@@ -31,15 +32,14 @@ from topicloom.sources import model_file as mf  # noqa: E402
 from topicloom.sources import warc  # noqa: E402
 from topicloom.sources.reuse import load_or_build, load_or_fit_dictionary  # noqa: E402
 
-try:  # these two may be taken out of the repository together
+try:  # these two may be taken out of the repository together, or lack a library
     import corpus_pipeline
     from topicloom.llm import queries as llm
-except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "topicloom.llm"):
-        raise
+except ImportError:
     llm = None
 
 ITERATIONS = 5
+ML_ITERATIONS = 10
 SEED = 42
 FOLD_IN_ROUNDS = 3
 SMALLER = 300
@@ -216,43 +216,99 @@ def gibbs_sweep(spark, sf):
     return swept.groupBy("term_id", "topic").agg(F.count("*").alias("n"))
 
 
-def _term_totals(word_topic):
-    """Every token keeps its term, whatever its topic: a term's topics sum to its frequency."""
-    return word_topic.groupBy("term_id").agg(F.sum("n").alias("n"))
+def _below_start(vectors, width, before, after):
+    """Whether training lowered the perplexity of the documents, folded in, by a hundredth."""
+    start, end = (md.heldout_perplexity(vectors, p, q.K, width, q.ALPHA, 20) for p in (before, after))
+    return end < 0.99 * start
 
 
-def _sampled(spark, sf, method):
+def lda_mh(spark, sf):
+    """Every token keeps its term, and the model explains the documents better than at the start."""
+    (dictionary, width), vectors = q.known_terms(spark, sf), q.vectors(spark, sf)
+
+    def trained(iterations):
+        model = sampler.fit_sampler(vectors, width, "mh", q.K, iterations)
+        probs = md.topic_word_probs(model.word_topic, model.totals, dictionary, q.K, width, q.BETA)
+        return model, probs
+
+    (_, before), (model, after) = trained(0), trained(ITERATIONS)
+    better = _below_start(vectors, width, before, after)
+    return model.word_topic.groupBy("term_id").agg(F.sum("n").alias("n"), F.lit(better).alias("better"))
+
+
+def lda_gibbs(spark, sf):
+    """Two sweeps with counts refreshed between them, drawn by a uniform that SQL computes."""
     width, vectors = q.known_terms(spark, sf)[1], q.vectors(spark, sf)
-    return _term_totals(sampler.fit_sampler(vectors, width, method, q.K, ITERATIONS).word_topic)
+    begin = q.assigned(spark, sf).withColumn("doc_key", F.col("doc_id").cast("long"))
+    model = sampler.fit_sampler(
+        vectors, width, "naive", q.K, 2, q.ALPHA, q.BETA, SEED, begin=begin, groups=1, uniform=md5_uniforms
+    )
+    return model.word_topic
 
 
-def _fitted(spark, sf, method):
+def lda_gibbs_joined(spark, sf):
+    """The same where documents meet the counts that they use, part by part."""
     width, vectors = q.known_terms(spark, sf)[1], q.vectors(spark, sf)
-    return mllib.fit_ml(vectors, width, method, q.K, ITERATIONS)
+    begin = q.assigned(spark, sf).withColumn("doc_key", F.col("doc_id").cast("long"))
+    model = sampler.fit_sampler(
+        vectors, width, "naive", q.K, 2, q.ALPHA, q.BETA, SEED, begin=begin, groups=1,
+        uniform=md5_uniforms, model_bytes=0,
+    )
+    return model.word_topic
+
+
+def _em(spark, sf):
+    """Two iterations of expectation maximisation from the deterministic state."""
+    width, vectors, state = q.known_terms(spark, sf)[1], q.vectors(spark, sf), q.assigned(spark, sf)
+    counts = F.transform(st.topic_counts(F.col("z"), q.K), lambda n: n.cast("double"))
+    docs = vectors.select("doc_id", F.xxhash64("doc_id").alias("doc_key"), "term_ids", "tfs")
+    begin = docs.join(state.select("doc_id", counts.alias("shares")), "doc_id")
+    return em.fit_em(
+        vectors, width, q.K, 2, q.ALPHA + 1, q.BETA + 1, begin=(begin, st.word_topic_counts(state))
+    )
 
 
 def lda_em(spark, sf):
-    """Expected counts of a term over all topics: its frequency."""
-    weights = mllib.term_weights(_fitted(spark, sf, "sparkem"))
-    return weights.select("term_id", F.round("weight").cast("long").alias("n"))
+    """Expected counts of each term and topic."""
+    return _em(spark, sf).word_topic.select("term_id", "topic", F.round("n", 6).alias("n"))
 
 
-def _topic_sums(probs):
+def train_perplexity(spark, sf):
+    """Of the training tokens, under the model before the last step."""
+    model = _em(spark, sf)
+    value = round(math.exp(-model.likelihood / model.tokens), 6)
+    return spark.createDataFrame([(model.tokens, value)], "tokens long, perplexity double")
+
+
+def _ml_topics(spark, sf, method):
+    """Topics of a Spark ML model as the engine's own: terms, total, and whether it is better
+    than a model with one topic for all."""
+    (dictionary, width), vectors = q.known_terms(spark, sf), q.vectors(spark, sf)
+    probs = mllib.model_from_ml(mllib.fit_ml(vectors, width, method, q.K, ML_ITERATIONS))
+    flat = dictionary.select("term_id", F.explode(F.sequence(F.lit(0), F.lit(q.K - 1))).alias("topic"))
+    better = _below_start(vectors, width, flat.withColumn("prob", F.lit(1.0 / width)), probs)
     return probs.groupBy("topic").agg(
-        F.count("*").alias("n_terms"), F.round(F.sum("prob"), 6).alias("total")
+        F.count("*").alias("n_terms"), F.round(F.sum("prob"), 6).alias("total"), F.lit(better).alias("better")
     )
 
 
-def train_perplexity(spark, sf):
-    """The training tokens, and how far the perplexity is from exp(-likelihood / tokens)."""
-    measured = mllib.train_perplexity(_fitted(spark, sf, "sparkem"))
-    tokens, likelihood = measured["train_tokens"], measured["train_log_likelihood"]
-    gap = abs(measured["train_perplexity"] / math.exp(-likelihood / tokens) - 1)
-    return spark.createDataFrame([(int(tokens), round(gap, 6))], "tokens long, gap double")
+def model_from_ml(spark, sf):
+    return _ml_topics(spark, sf, "sparkem")
 
 
-def model_from_ml(spark, sf):
-    return _topic_sums(mllib.model_from_ml(_fitted(spark, sf, "sparkem")))
+def lda_online(spark, sf):
+    return _ml_topics(spark, sf, "sparkonline")
+
+
+def heldout_left_to_right(spark, sf):
+    """Perplexity of tokens predicted from those before them, by two particles whose uniforms
+    SQL computes."""
+    width = q.known_terms(spark, sf)[1]
+    scored = md.left_to_right_likelihood(
+        q.vectors(spark, sf), _probs(spark, sf), q.K, width, q.ALPHA, particles=2, moves=0,
+        seed=SEED, uniform=md5_uniforms, doc_key=F.col("doc_id").cast("long"),
+    )
+    return md.perplexity(scored).select(F.round("perplexity", 6).alias("perplexity"))
 
 
 def checkpoint_resume(spark, sf):
@@ -345,15 +401,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "minibatch_fraction": lambda s, d: mllib.minibatch_fraction(q.vectors(s, d), 100),
         "heldout_perplexity": heldout_perplexity,
         "gibbs_sweep": gibbs_sweep,
-        "lda_mh": lambda s, d: _sampled(s, d, "mh"),
-        "lda_gibbs": lambda s, d: _sampled(s, d, "naive"),
+        "lda_mh": lda_mh,
+        "lda_gibbs": lda_gibbs,
+        "lda_gibbs_joined": lda_gibbs_joined,
         "lda_em": lda_em,
-        "lda_online": lambda s, d: _topic_sums(mllib.model_from_ml(_fitted(s, d, "sparkonline"))),
+        "lda_online": lda_online,
         "train_perplexity": train_perplexity,
         "model_from_ml": model_from_ml,
         "checkpoint_resume": checkpoint_resume,
         "heldout_fold_in": heldout_fold_in,
         "heldout_fold_in_joined": heldout_fold_in_joined,
+        "heldout_left_to_right": heldout_left_to_right,
         "reuse_smaller_vocabulary": reuse_smaller_vocabulary,
         "records_without_ids": records_without_ids,
     }

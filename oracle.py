@@ -176,6 +176,91 @@ def _gibbs() -> str:
     )
 
 
+def _gibbs_sweeps(sweeps: int) -> str:
+    """Sweeps with counts frozen within each and refreshed between them."""
+    a, b = f"{ALPHA}::double", f"{BETA}::double"
+    ctes = [
+        """tokens0 as materialized (select doc_id, term_id, topic as z, row_number() over
+            (partition by doc_id order by term_id, p) - 1 as pos from occ)"""
+    ]
+    for r in range(sweeps):
+        ctes += [
+            f"nwk{r} as materialized (select term_id, z as topic, count(*) as n from tokens{r} group by all)",
+            f"nk{r} as materialized (select z as topic, count(*) as n from tokens{r} group by all)",
+            f"ndk{r} as materialized (select doc_id, z as topic, count(*) as n from tokens{r} group by all)",
+            f"""weights{r} as (select t.doc_id, t.pos, t.term_id, ks.topic,
+                (coalesce(d.n, 0) - (ks.topic = t.z)::int + {a}) * (coalesce(w.n, 0) - (ks.topic = t.z)::int + {b})
+                / (coalesce(n.n, 0) - (ks.topic = t.z)::int + v * {b}) as weight
+                from tokens{r} t cross join ks cross join width
+                left join ndk{r} d on d.doc_id = t.doc_id and d.topic = ks.topic
+                left join nwk{r} w on w.term_id = t.term_id and w.topic = ks.topic
+                left join nk{r} n on n.topic = ks.topic)""",
+            f"""running{r} as (select *, sum(weight) over (partition by doc_id, pos order by topic) as c,
+                sum(weight) over (partition by doc_id, pos) as total from weights{r})""",
+            f"""tokens{r + 1} as materialized (select doc_id, pos, any_value(term_id) as term_id,
+                cast(least(count(*) filter (where c < total
+                    * ({_hash(f"'42:{r}:0:' || doc_id || ':' || pos")} / 4294967296.0::double)), {K - 1}) as integer)
+                as z from running{r} group by doc_id, pos)""",
+        ]
+    body = f"select term_id, z as topic, count(*) as n from tokens{sweeps} group by all"
+    return _sql(_model_ctes() + ctes, body)
+
+
+def _em_ctes(iterations: int) -> list[str]:
+    """Expectation maximisation from the counts of the deterministic state."""
+    a, b = f"{ALPHA}::double", f"{BETA}::double"
+    ctes = [
+        "sizes as (select doc_id, sum(tf)::double as n from dtf group by doc_id)",
+        """share0 as materialized (select d.doc_id, ks.topic, coalesce(x.n, 0)::double as n from sizes d cross join ks
+            left join ndk x on x.doc_id = d.doc_id and x.topic = ks.topic)""",
+        """word0 as materialized (select t.term_id, ks.topic, coalesce(x.n, 0)::double as n from vocab t cross join ks
+            left join nwk x on x.term_id = t.term_id and x.topic = ks.topic)""",
+    ]
+    for r in range(iterations):
+        ctes += [
+            f"total{r} as (select topic, sum(n) as n from word{r} group by topic)",
+            f"""mass{r} as materialized (select d.doc_id, d.term_id, d.tf, w.topic,
+                (w.n + {b}) / (t.n + v * {b}) * (s.n + {a}) / (z.n + {K} * {a}) as mass
+                from dtf d join word{r} w using (term_id) join total{r} t on t.topic = w.topic
+                join share{r} s on s.doc_id = d.doc_id and s.topic = w.topic
+                join sizes z on z.doc_id = d.doc_id cross join width)""",
+            f"""mix{r} as materialized (select doc_id, term_id, any_value(tf) as tf, sum(mass) as mix
+                from mass{r} group by all)""",
+            f"""part{r} as materialized (select m.doc_id, m.term_id, m.topic, m.tf * m.mass / x.mix as n
+                from mass{r} m join mix{r} x using (doc_id, term_id))""",
+            f"share{r + 1} as materialized (select doc_id, topic, sum(n) as n from part{r} group by all)",
+            f"word{r + 1} as materialized (select term_id, topic, sum(n) as n from part{r} group by all)",
+        ]
+    return _model_ctes() + ctes
+
+
+def _left_to_right(particles: int) -> str:
+    a = f"{ALPHA}::double"
+    return "with recursive " + ",\n".join(
+        _model_ctes() + [
+            """tokens as materialized (select doc_id, term_id, row_number() over
+                (partition by doc_id order by term_id, p) - 1 as n from occ)""",
+            "lists as materialized (select term_id, list(prob order by topic) as p from phi group by term_id)",
+            f"""walk as (
+                select doc_id, r, 0::bigint as n, [{", ".join(["0.0::double"] * K)}] as counts, 0.0::double as seen
+                from (select distinct doc_id from tokens), (select unnest(range({particles})) as r)
+                union all
+                select doc_id, r, n + 1,
+                    list_transform(counts, lambda x, i: x + (case when i = z + 1 then 1 else 0 end)), seen
+                from (
+                    select doc_id, r, n, counts, sums[{K}] / (n + {K} * {a}) as seen,
+                        least(len(list_filter(sums, lambda c: c < sums[{K}]
+                            * ({_hash(f"'42:0:1:' || doc_id || ':' || (r + {particles} * n)")} / 4294967296.0::double))), {K - 1}) as z
+                    from (
+                        select w.doc_id, r, w.n, counts, list_transform(range(1, {K + 1}), lambda k:
+                            list_sum(list_transform(range(1, k + 1), lambda j: p[j] * (counts[j] + {a})))) as sums
+                        from walk w join tokens t on t.doc_id = w.doc_id and t.n = w.n join lists using (term_id))))""",
+        ]
+    ) + """
+    select round(exp(-sum(ln(seen)) / count(*)), 6) as perplexity
+    from (select doc_id, n, avg(seen) as seen from walk where n > 0 group by all)"""
+
+
 def _fold_in(rounds: int) -> str:
     """Fixed-point steps from equal shares, then the perplexity."""
     a = f"{ALPHA}::double"
@@ -206,12 +291,9 @@ def oracle_sql() -> dict[str, str]:
     frequencies = _sql(dtf, "select doc_id, term_id, tf from dtf")
     phi = _sql(model, "select term_id, topic, round(prob, 9) as prob from phi")
     split = f"case when {_hash(chr(39) * 2 + ' || doc_id || ' + repr(':42:split'))} < 0.2 * 4294967296 then 'test' else 'train' end"
-    term_totals = _sql(
-        dtf, "select term_id, cast(sum(tf) as bigint) as n from dtf group by term_id"
-    )
     topic_sums = _sql(
         _model_ctes(),
-        "select topic, count(*) as n_terms, 1.0::double as total from ks cross join vocab group by topic",
+        "select topic, count(*) as n_terms, 1.0::double as total, true as better from ks cross join vocab group by topic",
     )
     sampled = f"{_hash('doc_id || ' + repr(':42'))} < 0.8 * 4294967296"
     return {
@@ -292,17 +374,23 @@ def oracle_sql() -> dict[str, str]:
             "select round(exp(-sum(tf * ln(mix)) / sum(tf)), 6) as perplexity from scored",
         ),
         "gibbs_sweep": _gibbs(),
-        "lda_mh": term_totals,
-        "lda_gibbs": term_totals,
-        "lda_em": term_totals,
+        "lda_mh": _sql(
+            dtf, "select term_id, cast(sum(tf) as bigint) as n, true as better from dtf group by term_id"
+        ),
+        "lda_gibbs": _gibbs_sweeps(2),
+        "lda_gibbs_joined": _gibbs_sweeps(2),
+        "lda_em": _sql(_em_ctes(2), "select term_id, topic, round(n, 6) as n from word2"),
         "lda_online": topic_sums,
         "model_from_ml": topic_sums,
         "checkpoint_resume": _sql(
             dtf, "select term_id, cast(sum(tf) as bigint) as n, 0::bigint as gap from dtf group by term_id"
         ),
         "train_perplexity": _sql(
-            dtf, "select cast(sum(tf) as bigint) as tokens, 0.0::double as gap from dtf"
+            _em_ctes(2),
+            """select cast(sum(tf) as bigint) as tokens, round(exp(-sum(tf * ln(mix)) / sum(tf)), 6) as perplexity
+            from mix1""",
         ),
+        "heldout_left_to_right": _left_to_right(2),
         "heldout_fold_in": _fold_in(3),
         "heldout_fold_in_joined": _fold_in(3),
         "reuse_smaller_vocabulary": _sql(

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from topicloom.operators import model as md
+from topicloom.operators.lda import em, heldout
 from topicloom.operators.lda import kernel as kn
 from topicloom.operators.lda import meeting
 from topicloom.operators.lda import sampler as sp
@@ -179,20 +180,128 @@ def test_perplexity_falls_and_both_fold_ins_agree(spark, planted):
     assert near.log_likelihood == pytest.approx(far.log_likelihood, rel=1e-9)
 
 
-def test_large_fold_in_places_entries_once(spark, planted, monkeypatch):
-    """The rounds must not shuffle the entries again: only the final scoring may."""
-    plans = []
-    real = md.log_likelihood
+def test_a_large_phi_meets_documents_once(spark, planted, monkeypatch):
+    """No row of the corpus carries a phi: one cogroup, in as many parts as the limit asks for."""
+    probs = spark.range(V).selectExpr("cast(id as int) term_id", "explode(array(0, 1, 2)) topic")
+    probs = probs.selectExpr("term_id", "topic", f"1.0D / {V} as prob")
+    docs = planted.selectExpr("doc_id AS doc_key", "term_ids", "tfs")
+    few = heldout._parts_that_fit(docs, K)[0]
+    monkeypatch.setattr(heldout, "PHI_PART_BYTES", 58 * K * 8)
+    parts, uses = heldout._parts_that_fit(docs, K)
+    assert parts > few and uses.groupBy("part").count().agg({"count": "max"}).first()[0] <= 58
+    scored = md.heldout_likelihood(planted, probs, K, V, 0.1, 2, budget=0)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "explode" not in plan.split("FlatMapCoGroupsInArrow")[0]
+    assert scored.first().tokens == 240 * 50
+    assert scored.first().log_likelihood == pytest.approx(240 * 50 * np.log(1 / V))
+
+
+def particles_by_hand(words, key, phi, alpha, particles, moves, seed):
+    """Left to right, a document, a particle and a token at a time."""
+    k, total = phi.shape[1], 0.0
+    z = [[] for _ in range(particles)]
+
+    def u(sweep, step, pos):
+        return float(kn.uniforms(seed, sweep, step, np.array([key]), np.array([pos]))[0])
+
+    def draw(weights, step, pos):
+        c = np.cumsum(weights)
+        return min(int((c < u(0, step, pos) * c[-1]).sum()), k - 1)
+
+    for n, w in enumerate(words):
+        seen = 0.0
+        for r in range(particles):
+            for move in range(moves if n else 0):
+                at = min(int(u(1, move, n) * n), n - 1)
+                rest = np.bincount([t for i, t in enumerate(z[r]) if i != at], minlength=k)
+                z[r][at] = draw(phi[words[at]] * (rest + alpha), 2 + move, r + particles * n)
+            weights = phi[w] * (np.bincount(z[r], minlength=k) + alpha)
+            seen += weights.sum() / (n + k * alpha) / particles
+            z[r].append(draw(weights, 1, r + particles * n))
+        total += np.log(seen)
+    return total
+
+
+@pytest.mark.parametrize("moves", [0, 3])
+def test_left_to_right_equals_token_by_token(monkeypatch, moves):
+    monkeypatch.setattr(heldout, "CHUNK_CELLS", 2 * 4 * 3)  # two documents at a time
+    rng = np.random.default_rng(moves)
+    phi = rng.dirichlet([0.3] * 9, 3).T
+    rows = [rng.integers(0, 9, n) for n in (0, 1, 7, 30, 12)]
+    keys = np.array([5, -9, 2**62, 3, 11])
+    got = heldout.left_to_right(rows, keys, phi, 0.4, 4, moves, 42)
+    want = [particles_by_hand(r.tolist(), int(key), phi, 0.4, 4, moves, 42) for r, key in zip(rows, keys)]
+    assert np.allclose(got, want)
+
+
+def test_left_to_right_estimates_the_probability():
+    """With enough moves the mean is the sum over all assignments; few are a little too high."""
+    from itertools import product
+    from math import lgamma
+
+    phi = np.array([[0.7, 0.1], [0.2, 0.3], [0.1, 0.6]])
+    words, alpha = [0, 2, 0, 1], 0.5
+    exact = 0.0
+    for z in product(range(2), repeat=4):
+        n = np.bincount(z, minlength=2)
+        prior = lgamma(1.0) - lgamma(5.0) + sum(lgamma(x + alpha) - lgamma(alpha) for x in n)
+        exact += np.exp(prior) * np.prod([phi[w, t] for w, t in zip(words, z)])
+    docs, off = [np.array(words)] * 20_000, []
+    for moves in (0, 3, 30):
+        found = heldout.left_to_right(docs, np.arange(20_000), phi, alpha, 5, moves, 1)
+        off.append(abs(np.exp(found).mean() / exact - 1))
+    assert off[0] > off[1] > off[2] and off[0] < 0.1 and off[2] < 0.01
+
+
+def test_left_to_right_on_tables(spark, planted):
+    """Broadcast and joined agree, and a token is harder to foresee than to fit."""
+    terms = spark.range(V).selectExpr("cast(id as int) as term_id")
+    fitted = sp.fit_sampler(planted, V, "naive", K, 10, alpha=0.1)
+    probs = md.topic_word_probs(fitted.word_topic, fitted.totals, terms, K, V, 0.01).cache()
+    near = md.left_to_right_likelihood(planted, probs, K, V, 0.1, 3).first()
+    far = md.left_to_right_likelihood(planted.repartition(3), probs, K, V, 0.1, 3, budget=0).first()
+    assert near.tokens == far.tokens == 240 * 50
+    assert near.log_likelihood == pytest.approx(far.log_likelihood, rel=1e-9)
+    assert near.log_likelihood < md.heldout_likelihood(planted, probs, K, V, 0.1).first().log_likelihood
+    empty = md.left_to_right_likelihood(planted.where("false"), probs, K, V, 0.1).first()
+    assert empty.tokens is None
 
-    def record(vectors, thetas, phis, key):
-        plans.append(thetas._jdf.queryExecution().executedPlan().toString())
-        return real(vectors, thetas, phis, key)
 
-    monkeypatch.setattr(md, "log_likelihood", record)
-    phi = spark.range(V).selectExpr("cast(id as int) term_id", "explode(array(0, 1, 2)) topic")
-    probs = phi.selectExpr("term_id", "topic", f"1.0D / {V} as prob")
-    near = md.heldout_likelihood(planted, probs, K, V, 0.1, 2, budget=0).first()
-    assert near.tokens == 240 * 50 and "Exchange hashpartitioning" not in plans[0].split("InMemoryRelation")[0]
+def test_expectation_maximisation(spark, planted):
+    """Parts change nothing, the likelihood rises, planted topics are found."""
+    one = em.fit_em(planted, V, K, 1)
+    many = em.fit_em(planted.repartition(7), V, K, 25, 1.1, 1.01)
+    assert many.likelihood > one.likelihood and many.tokens == 240 * 50
+    n = np.zeros((V, K))
+    for r in many.word_topic.collect():
+        n[r.term_id, r.topic] = r.n
+    assert n.sum() == pytest.approx(240 * 50)
+    blocks = n.reshape(K, 20, K).sum(axis=1)
+    assert sorted(blocks.argmax(axis=1)) == list(range(K)) and blocks.max(axis=1).sum() > 0.9 * n.sum()
+    shares = {r.doc_id: sum(r.shares) for r in many.docs.collect()}
+    assert len(shares) == 240 and all(s == pytest.approx(50) for s in shares.values())
+    with pytest.raises(ValueError):
+        em.fit_em(planted, V, K, 1, alpha=1.0)
+
+
+def test_an_em_step_equals_numpy(spark, planted, monkeypatch):
+    monkeypatch.setattr(meeting, "PART_TOKENS", 700)
+    monkeypatch.setattr(em, "CHUNK_CELLS", 40)
+    docs, word_topic = em.start(planted, K)
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    model = np.zeros((V, K))
+    for r in word_topic.collect():
+        model[r.term_id, r.topic] = r.n
+    new, total = np.zeros((V, K)), 0.0
+    for r in rows:
+        share = np.array(r.shares)
+        p = (model[r.term_ids] + 0.01) / (model.sum(0) + V * 0.01) * (share + 0.5) / (share.sum() + K * 0.5)
+        total += np.array(r.tfs) @ np.log(p.sum(1))
+        np.add.at(new, r.term_ids, p / p.sum(1, keepdims=True) * np.array(r.tfs)[:, None])
+    got = em.fit_em(planted, V, K, 1)
+    assert got.likelihood == pytest.approx(total)
+    for r in got.word_topic.collect():
+        assert r.n == pytest.approx(new[r.term_id, r.topic])
 
 
 def test_spark_ml_trainers(spark, planted):

@@ -12,7 +12,7 @@ def archive(spark, sf_dir, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("algorithm", ["mh", "naive", "sparkem", "sparkonline"])
+@pytest.mark.parametrize("algorithm", ["mh", "naive", "sparkem", "sparkonline", "em"])
 def test_archive_to_topics(spark, archive, tmp_path, algorithm):
     config = RunConfig(
         archive, algorithm, str(tmp_path / "words"), str(tmp_path / "vectors"),
@@ -25,7 +25,7 @@ def test_archive_to_topics(spark, archive, tmp_path, algorithm):
     assert {(r.topic, r["rank"]) for r in topics} == {(t, n) for t in range(4) for n in range(1, 51)}
     assert all(r.term for r in topics)
     assert first.metrics["test_perplexity"] > 1 and first.metrics["test_tokens"] > 0
-    assert ("train_perplexity" in first.metrics) == (algorithm == "sparkem")
+    assert ("train_perplexity" in first.metrics) == (algorithm in ("sparkem", "em"))
     model = import_model(spark, config.final_path, check=True)
     assert model_probs(model).count() == 300 * 4
     # The second run must not need the archive.

@@ -14,6 +14,7 @@ number of topics.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -42,6 +43,12 @@ def uniforms(seed: int, sweep: int, step: int, doc_key: np.ndarray, pos: np.ndar
     return (bits >> np.uint64(11)) * 2.0**-53
 
 
+def md5_uniforms(seed: int, sweep: int, step: int, doc_key: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The same from MD5, which SQL can compute: slower, for checks."""
+    texts = (f"{seed}:{sweep}:{step}:{k}:{p}" for k, p in zip(doc_key.tolist(), pos.tolist(), strict=True))
+    return np.fromiter((int(hashlib.md5(t.encode()).hexdigest()[:8], 16) for t in texts), float, len(pos)) / 2**32
+
+
 def alias_tables(starts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Alias tables (Walker 1977, Vose 1991) of all rows: (share, other, mass).
 

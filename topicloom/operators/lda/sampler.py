@@ -13,6 +13,7 @@ it was running, and neither plans nor lineage grow with the number of sweeps.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.operators.lda.kernel import BlockCounts, Settings, sweep_documents
+from topicloom.operators.lda.kernel import BlockCounts, Settings, sweep_documents, uniforms
 from topicloom.operators.lda.meeting import meet, part_count, term_uses
 from topicloom.operators.lda.state import (
     TOKENS_PER_PARTITION,
@@ -158,13 +159,18 @@ def fit_sampler(
     checkpoint_every: int = 1,
     key: str = "doc_id",
     model_bytes: int | None = None,
+    begin: DataFrame | None = None,
+    groups: int | None = None,
+    uniform: Callable = uniforms,
 ) -> TopicModel:
     """Train by ``mh`` (Metropolis-Hastings) or ``naive`` (full conditional) sampling.
 
     ``block_size`` terms are resampled at a time, with fresh counts for each block; by
     default a sweep counts once.  ``model_bytes`` decides how counts reach the documents, by
     broadcast or by a join, and changes no result.  ``checkpoint_read`` resumes from the
-    latest complete sweep found there, if it was written with the same settings.
+    latest complete sweep found there, if it was written with the same settings.  ``begin`` is
+    a state to start from instead of random topics; documents refresh their topic counts
+    between ``groups`` of terms; ``uniform`` makes the draws.
     """
     if method not in ("mh", "naive"):
         raise ValueError("method must be 'mh' or 'naive'")
@@ -173,7 +179,8 @@ def fit_sampler(
     began = time.time()
     spark = vectors.sparkSession
     ship_package(spark)
-    s = Settings(k, alpha, beta, vocab_size, seed, mh_steps, max(8, -(-vocab_size // GROUP_TERMS)))
+    groups = groups or max(8, -(-vocab_size // GROUP_TERMS))
+    s = Settings(k, alpha, beta, vocab_size, seed, mh_steps, groups, uniform)
     settings = {
         "method": method, "k": k, "alpha": alpha, "beta": beta, "vocab_size": vocab_size,
         "seed": seed, "mh_steps": mh_steps, "block_size": block_size,
@@ -182,6 +189,8 @@ def fit_sampler(
     scratch = scratch_path(spark, "sweeps")
     if checkpoint_read:
         start, state = checkpoints.read_latest(spark, checkpoint_read, settings)
+    if state is None and begin is not None:
+        state = checkpoints.write(begin, f"{scratch}/0")
     if state is None:
         spread = _spread(vectors, partitions, key)
         state = checkpoints.write(initial_state(spread, k, seed, key), f"{scratch}/0")

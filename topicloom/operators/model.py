@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from topicloom.operators.lda import heldout
+from topicloom.operators.lda.heldout import PHI_BROADCAST_BYTES, phi_rows  # noqa: F401
+from topicloom.operators.lda.kernel import uniforms
 from topicloom.operators.lda.state import topic_counts
 from topicloom.operators.topk import top_k
-from topicloom.operators.vectorize import long_form
-from topicloom.session import cut_lineage, keep
-
-PHI_BROADCAST_BYTES = 256 * 2**20
-ROUNDS_PER_CUT = 10
 
 
 def _topics(k: int):
@@ -65,12 +61,6 @@ def describe_topics(probs: DataFrame, dictionary: DataFrame, k: int = 50) -> Dat
     )
 
 
-def phi_rows(probs: DataFrame) -> DataFrame:
-    """``(term_id, phi)``: probabilities by topic as one array per term."""
-    pairs = F.array_sort(F.collect_list(F.struct("topic", "prob")))
-    return probs.groupBy("term_id").agg(F.transform(pairs, lambda x: x["prob"]).alias("phi"))
-
-
 def _mixture(theta_, phi):
     return F.aggregate(F.zip_with(theta_, phi, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
@@ -96,64 +86,6 @@ def perplexity(likelihood: DataFrame) -> DataFrame:
     return likelihood.select(value.alias("perplexity"))
 
 
-def _fold_in_docs(vectors: DataFrame, phi, k: int, alpha: float, rounds: int, key: str):
-    """(tokens, log_likelihood) per batch of documents; phi is broadcast, documents stay put."""
-    sent = vectors.sparkSession.sparkContext.broadcast(phi)
-
-    def fold(batches):
-        for batch in batches:
-            lists, counts = batch.column("term_ids"), batch.column("tfs")
-            offsets = lists.offsets.to_numpy()
-            terms = lists.flatten().to_numpy()
-            tfs = counts.flatten().to_numpy().astype(float)
-            tokens, ll, base = 0.0, 0.0, offsets[0]
-            for lo, hi in zip(offsets[:-1] - base, offsets[1:] - base, strict=True):
-                tf, p = tfs[lo:hi], sent.value[terms[lo:hi]]
-                share, n = np.full(k, 1.0 / k), tf.sum()
-                for _ in range(rounds):
-                    weight = p * share
-                    weight *= (tf / weight.sum(axis=1))[:, None]
-                    share = (alpha + weight.sum(axis=0)) / (k * alpha + n)
-                tokens += n
-                ll += float(tf @ np.log(p @ share))
-            yield pa.RecordBatch.from_pydict({"tokens": [tokens], "log_likelihood": [ll]})
-
-    schema = T.StructType().add("tokens", "double").add("log_likelihood", "double")
-    parts = vectors.select("term_ids", "tfs").mapInArrow(fold, schema)
-    return parts.agg(
-        F.sum("tokens").cast("long").alias("tokens"), F.sum("log_likelihood").alias("log_likelihood")
-    )
-
-
-def _fold_in_joined(vectors, phis, k, alpha, rounds, key):
-    """The same for a phi too large to broadcast: one join and one aggregation per round.
-
-    The entries are placed by document once and persisted, which keeps their placing
-    known to the planner (a checkpoint would not); the rounds work where they lie.
-    """
-    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = keep(long_form(vectors, key).join(phis, "term_id").repartition(tasks, key))
-    entries.count()
-    sizes = entries.groupBy(key).agg(F.sum("tf").alias("_n"))
-    thetas = sizes.select(key, "_n", F.array_repeat(F.lit(1.0 / k), k).alias("theta"))
-    for done in range(1, rounds + 1):
-        weights = entries.join(thetas, key).select(
-            key, "_n", "tf", "theta", "phi", _mixture("theta", "phi").alias("_mix")
-        )
-        mass = [
-            F.sum(
-                F.col("tf") * F.get("theta", F.lit(t)) * F.get("phi", F.lit(t)) / F.col("_mix")
-            ).alias(f"_t{t}")
-            for t in range(k)
-        ]
-        summed = weights.groupBy(key, "_n").agg(*mass)
-        shares = F.array(*[(F.col(f"_t{t}") + alpha) / (F.col("_n") + k * alpha) for t in range(k)])
-        thetas = summed.select(key, "_n", shares.alias("theta"))
-        if done % ROUNDS_PER_CUT == 0:
-            thetas = cut_lineage(thetas)
-    return log_likelihood(vectors, thetas.select(F.col(key).alias("doc_id"), "theta"), phis, key)
-
-
 def heldout_likelihood(
     vectors: DataFrame, probs: DataFrame, k: int, vocab_size: int, alpha: float,
     rounds: int = 50, key: str = "doc_id", budget: int = PHI_BROADCAST_BYTES,
@@ -163,13 +95,26 @@ def heldout_likelihood(
     Folding in starts from equal shares and takes ``rounds`` fixed-point steps.  It
     scores the tokens it has folded in, so it compares models rather than predicts.
     """
-    if vocab_size * k * 8 > budget:
-        return _fold_in_joined(vectors, phi_rows(probs), k, alpha, rounds, key)
-    table = probs.select("term_id", "topic", "prob").toArrow()
-    phi = np.zeros((vocab_size, k))
-    term_id, topic = table.column("term_id").to_numpy(), table.column("topic").to_numpy()
-    phi[term_id, topic] = table.column("prob").to_numpy()
-    return _fold_in_docs(vectors, phi, k, alpha, rounds, key)
+    options = {"alpha": alpha, "rounds": rounds}
+    return heldout.likelihood(vectors, probs, k, vocab_size, "fold_in", options, key, budget)
+
+
+def left_to_right_likelihood(
+    vectors: DataFrame, probs: DataFrame, k: int, vocab_size: int, alpha: float,
+    particles: int = 10, moves: int = 1, seed: int = 42, key: str = "doc_id",
+    budget: int = PHI_BROADCAST_BYTES, uniform: Callable = uniforms, doc_key=None,
+) -> DataFrame:
+    """One row ``(tokens, log_likelihood)``: each token predicted from those before it only.
+
+    ``moves`` earlier tokens are redrawn before each token by each of the ``particles``.
+    Uniforms are keyed by document, so the result depends on no partitioning.
+    """
+    if particles < 1 or moves < 0:
+        raise ValueError("particles must be positive and moves not negative")
+    options = {"alpha": alpha, "particles": particles, "moves": moves, "seed": seed, "uniform": uniform}
+    return heldout.likelihood(
+        vectors, probs, k, vocab_size, "left_to_right", options, key, budget, doc_key
+    )
 
 
 def heldout_perplexity(*args, **kwargs) -> float:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.operators.lda.mllib import fit_ml, model_from_ml, train_perplexity
+from topicloom.operators.lda.em import fit_em
+from topicloom.operators.lda.mllib import PRIOR_OFFSET, fit_ml, model_from_ml, train_perplexity
 from topicloom.operators.lda.sampler import fit_sampler
 from topicloom.operators.model import describe_topics, heldout_perplexity, topic_word_probs
 from topicloom.operators.partitioning import repartition_documents
@@ -20,6 +22,8 @@ from topicloom.sources.model_file import export_model
 # Algorithm names and the number of fold-in rounds in evaluation.
 SAMPLERS = {"mh": 50, "naive": 50}
 ML_TRAINERS = {"sparkem": 20, "sparkonline": 20}
+#: Expectation maximisation whose model stays a table, for any number of terms and topics.
+TABLE_TRAINERS = {"em": 20}
 TOP_TERMS = 50
 
 
@@ -49,8 +53,8 @@ class RunConfig:
     checkpoint_every: int = 1
 
     def __post_init__(self):
-        if self.algorithm not in SAMPLERS | ML_TRAINERS:
-            raise ValueError("algorithm must be sparkonline, sparkem, mh or naive")
+        if self.algorithm not in SAMPLERS | ML_TRAINERS | TABLE_TRAINERS:
+            raise ValueError("algorithm must be sparkonline, sparkem, em, mh or naive")
         for name in ("iterations", "mh_steps", "partitions", "k", "vocab_size", "checkpoint_every"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
@@ -113,6 +117,15 @@ def run(
         )
         terms = corpus.dictionary.select("term_id")
         probs = topic_word_probs(model.word_topic, model.totals, terms, c.k, width, c.beta)
+    elif c.algorithm in TABLE_TRAINERS:
+        model = fit_em(
+            train, width, c.k, c.iterations, c.alpha + PRIOR_OFFSET, c.beta + PRIOR_OFFSET, c.seed
+        )
+        totals = model.word_topic.groupBy("topic").agg(F.sum("n").alias("n"))
+        terms = corpus.dictionary.select("term_id")
+        probs = topic_word_probs(model.word_topic, totals, terms, c.k, width, c.beta)
+        if model.tokens:
+            metrics["train_perplexity"] = math.exp(-model.likelihood / model.tokens)
     else:
         model = fit_ml(
             train, width, c.algorithm, c.k, c.iterations, c.alpha, c.beta, c.seed, partitions
@@ -122,7 +135,7 @@ def run(
             metrics.update(train_perplexity(model))
     probs = keep(probs)
     if c.test_fraction > 0:
-        rounds = (SAMPLERS | ML_TRAINERS)[c.algorithm]
+        rounds = (SAMPLERS | ML_TRAINERS | TABLE_TRAINERS)[c.algorithm]
         metrics["test_tokens"] = _sum_tokens(test)
         metrics["test_perplexity"] = heldout_perplexity(test, probs, c.k, width, c.alpha, rounds)
     if c.final_path:
