@@ -15,11 +15,15 @@ one fingerprint and are never paired.  The trees are not broadcast, since togeth
 grow with the corpus: fingerprints travel to the trees instead, ten small rows each.
 
 ``without_near_duplicates`` judges by the Jaccard similarity of the sets of distinct
-shingles itself.  Texts of equal sets are copies.  Of the others, MinHash finds pairs to
-look at: ``BANDS`` keys of ``BAND_ROWS`` smallest hashes each, whatever the size of the
-table, so that a pair of the wanted similarity is missed about once in 400 million times
-(0.67 ** 50).  A pair is a link only if its two sets, read and compared whole, have that
-similarity.  Large buckets are contracted through leaders first; what stays open in them
+shingles itself, and finds every pair.  Texts of equal sets are copies.  In any one order of
+all shingles, two sets of the wanted similarity t share one of the first n - ceil(t n) + 1 of
+their n members; those are the keys of a text.  The order puts frequent shingles last, by
+counters of all documents (``CELLS``, whatever the size of the table): a line or passage that
+many documents share is a key only where it is most of the text.  The counters shape the
+order alone, so that collisions cost time and lose nothing.  Where a key stands in its
+set bounds how much can follow it, which drops most of the remaining pairs unseen.  A pair is
+a link only if its two sets, read and compared whole, have that similarity.  Buckets are
+contracted through leaders first, those that have the key earliest; what stays open in them
 is compared block by block.
 
 Texts without words (null, empty) have fingerprint zero and are linked like any other.
@@ -39,12 +43,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import bounds, chunks, mixed, released, with_uid, written
+from topicloom.llm.contract import components
 
 RADIUS = 3
 SEED = 42
 SIMILARITY = 0.8
-#: A pair at a similarity of 0.8 shares none of the keys once in 400 million times.
-BANDS, BAND_ROWS = 50, 5
+#: Counters of shingles, by the top bits of their hashes; in chunks for the shuffle.
+CELL_BITS, CHUNK_BITS = 20, 16
+CELLS = 2**CELL_BITS
 #: Rows of a bucket that meet at once, and open pairs a node that are compared without leaders.
 BLOCK, PAIRS_EACH = 256, 8
 #: Fingerprints that one search works on at once, and pairs of search and node.
@@ -242,34 +248,6 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return sharded.mapInArrow(_search_shards(radius), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b): equal roots, same component.
-
-    In a round every node moves to its smallest neighbour if that is smaller, and edges
-    follow; what no edge touches any more is finished.
-    """
-    steps = []
-    edges = written(edges.where("a <> b").distinct(), "edges")
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
-        step = written(step.select("node", F.least("node", "to").alias("to")), "step")
-        steps.append(step)
-        for end in ("a", "b"):
-            moved = edges.join(step, edges[end] == step["node"])
-            edges = moved.select(*[F.col("to").alias(c) if c == end else c for c in ("a", "b")])
-        edges = written(edges.where("a <> b").distinct(), "edges")
-    if not steps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = steps[0].select("node", F.col("to").alias("root"))
-    for step in steps[1:]:
-        later = step.select(F.col("node").alias("root"), "to")
-        roots = roots.join(later, "root", "left").select(
-            "node", F.coalesce("to", "root").alias("root")
-        )
-    return roots
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
     radius: int = RADIUS,
@@ -291,48 +269,103 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, size), np.uint64))
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """Keys of shape (sets, BANDS): two sets share one of a band if their ``BAND_ROWS``
-    smallest members under that band's hash functions agree.  No set is empty."""
-    keys = np.zeros((len(sets), BANDS), np.uint64)
-    if not sets:
-        return keys
-    rng = np.random.default_rng(SEED)
-    masks, odds = rng.integers(0, 2**64, (2, BANDS, BAND_ROWS), np.uint64)
-    flat, starts = np.concatenate(sets), bounds([len(s) for s in sets])[:-1]
-    hashed = np.empty_like(flat)
-    for band in range(BANDS):
-        key = np.full(len(sets), band, np.uint64)
-        for mask, odd in zip(masks[band], odds[band] | np.uint64(1)):
-            np.bitwise_xor(flat, mask, out=hashed)
-            np.multiply(hashed, odd, out=hashed)
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(hashed, starts))
-        keys[:, band] = key
-    return keys
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def _signed(size: int):
-    """(uid, n, same, keys): size and digest of the shingle set, and its band keys."""
+    """(uid, n, same): size and digest of the shingle set; and, without uid, the task's
+    counters (chunk, counts), two bytes each: larger counts stop there, which leaves them last."""
 
     @released
     def sign(batches):
+        counts, seen = np.zeros(CELLS, np.int64), False
         for batch in batches:
             for part, texts in chunks(batch, "text"):
                 sets = [shingle_set(t, size) for t in texts]
-                full = np.array([len(s) > 0 for s in sets], bool)
-                keys = iter(band_keys([s for s in sets if len(s)]).view(np.int64).tolist())
+                counts += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS)
+                seen = True
+                none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                        pa.array([next(keys) if f else [] for f in full], pa.list_(pa.int64())),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), *none,
                     ],
-                    ["uid", "n", "same", "keys"],
+                    ["uid", "n", "same", "chunk", "counts"],
                 )
+        if seen:
+            told = np.minimum(counts, 2**16 - 1).astype("<u2").reshape(-1, 2**CHUNK_BITS)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.nulls(len(told), pa.int64()), pa.nulls(len(told), pa.int32()),
+                    pa.nulls(len(told), pa.binary()), pa.array(np.arange(len(told), dtype=np.int32)),
+                    pa.array([t.tobytes() for t in told], pa.binary()),
+                ],
+                ["uid", "n", "same", "chunk", "counts"],
+            )
 
     return sign
 
 
+@released
+def _added(batches):
+    """The sums of the counters of each chunk; a task holds the sums alone."""
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+            total = totals.setdefault(chunk, np.zeros(2**CHUNK_BITS, np.int64))
+            total += np.frombuffer(counts, "<u2")
+    told = [np.minimum(t, 2**32 - 1).astype("<u4").tobytes() for t in totals.values()]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(totals.keys(), pa.int32()), pa.array(told, pa.binary())], ["chunk", "counts"]
+    )
+
+
+def _counters(signed: DataFrame) -> np.ndarray:
+    """All counters: four megabytes, whatever the input."""
+    told = signed.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk")
+    counts = np.zeros((CELLS >> CHUNK_BITS, 2**CHUNK_BITS), np.uint32)
+    for row in told.mapInArrow(_added, "chunk int, counts binary").toArrow().to_pylist():
+        counts[row["chunk"]] = np.frombuffer(row["counts"], "<u4")
+    return counts.ravel()
+
+
+def prefix_keys(members: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first members of a set, rare ones first, one of which any similar set shares."""
+    size = len(members) - int(np.ceil(similarity * len(members) - 1e-9)) + 1
+    order = np.lexsort((members, counts[_cells(members)]))
+    return members[order[:size]]
+
+
+def _keyed(size: int, similarity: float, counters):
+    """(node, n, keys): the keys of each text with words; one that no other has is left out,
+    as a null, where its counter tells so."""
+
+    @released
+    def key(batches):
+        counts = counters.value
+        for batch in batches:
+            for part, texts in chunks(batch, "text"):
+                sets = [shingle_set(t, size) for t in texts]
+                kept = np.array([len(s) > 0 for s in sets], bool)
+                found = [prefix_keys(s, counts, similarity) for s in sets if len(s)]
+                flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+                shared = counts[_cells(flat)] > 1
+                lists = pa.ListArray.from_arrays(
+                    pa.array(bounds([len(f) for f in found]).astype(np.int32)),
+                    pa.array(flat.view(np.int64), mask=~shared),
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).filter(pa.array(kept)),
+                        pa.array([len(s) for s in sets if len(s)], pa.int32()), lists,
+                    ],
+                    ["node", "n", "keys"],
+                )
+
+    return key
+
+
 def _shingled(size: int):
     """(node, shingles): the sorted set, eight bytes a member."""
 
@@ -373,8 +406,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     )
 
 
+def _may_be_similar(n_a, pos_a, n_b, pos_b, similarity: float):
+    """Whether two sets of these sizes can be similar if the first key that they share stands
+    at these positions: what may follow it bounds what they have in common."""
+    needed = F.ceil((n_a + n_b) * (similarity / (1 + similarity)) - 1e-9)
+    sizes = F.least(n_a, n_b) >= similarity * F.greatest(n_a, n_b) - 1e-9
+    return sizes & (F.least(n_a - pos_a, n_b - pos_b) >= needed)
+
+
+def _shared_keys(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Rows (key, node, n, pos) of keys that several nodes have, but for rows that can have no
+    similar one in their bucket: for the size of a partner there is an upper bound."""
+    partner = (F.col("n") - F.col("pos")) * ((1 + similarity) / similarity) - F.col("n") + 1e-6
+    for _ in range(2):
+        kept = dealt.groupBy("key").agg(F.count("*").alias("count"), F.min("n").alias("least"))
+        kept = kept.where("count > 1").select("key", "least")
+        dealt = dealt.join(kept, "key").where(partner >= F.col("least")).select("key", "node", "n", "pos")
+        dealt = written(dealt, "buckets")
+    return dealt
+
+
 def similar_groups(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, root): components of the confirmed pairs within ``buckets`` (key, node, n).
+    """(node, root): components of the confirmed pairs within ``buckets`` (key, node, n, pos).
 
     A round confirms one pair for each node, with a leader of one of its buckets, so that
     groups of near copies become components at linear cost.  What is then left open, pairs
@@ -386,7 +439,7 @@ def similar_groups(buckets: DataFrame, sets: DataFrame, similarity: float) -> Da
         named = buckets.withColumn("root", F.col("node"))
         if roots is not None:
             named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        named = written(named.select("key", "node", "n", "root"), "named")
+        named = written(named.select("key", "node", "n", "pos", "root"), "named")
         members = named.groupBy("key", "root").agg(F.count("*").alias("m"))
         sizes = members.groupBy("key").agg(
             F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("within"),
@@ -394,10 +447,9 @@ def similar_groups(buckets: DataFrame, sets: DataFrame, similarity: float) -> Da
         )
         sizes = written(sizes.where("largest < size"), "sizes")
         left = sizes.agg(F.sum((F.col("size") * F.col("size") - F.col("within")) / 2)).first()[0] or 0
-        last = left <= most or (before is not None and left > 0.9 * before)
-        pairs = _open_pairs(named, sizes) if last else _leader_pairs(named, sizes, turn)
-        alike = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-        pairs = written(pairs.where(alike).select("a", "b").distinct(), "pairs")
+        last = turn > 0 and (left <= most or left > 0.9 * before)
+        pairs = _open_pairs(named, sizes, similarity) if last else _leader_pairs(named, sizes, turn, similarity)
+        pairs = written(pairs.select("a", "b").distinct(), "pairs")
         links = written(confirmed(pairs, sets, similarity), "links")
         found = links if found is None else found.unionByName(links)
         roots = written(components(found), "roots")
@@ -406,27 +458,29 @@ def similar_groups(buckets: DataFrame, sets: DataFrame, similarity: float) -> Da
         before, turn = left, turn + 1
 
 
-def _leader_pairs(named: DataFrame, sizes: DataFrame, turn: int) -> DataFrame:
-    """(a, n_a, b, n_b): each node with one leader of another component, if it meets any.
+def _leader_pairs(named: DataFrame, sizes: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """(a, b): each node with one leader of another component, if it meets any.
 
-    The leader of a bucket is its smallest node, in another order each turn.
+    At first the leader of a bucket is the node that has the key earliest, which has the
+    least of its own; later the smallest, in another order each turn.
     """
     mask = F.lit(int(np.random.default_rng(turn).integers(2**62)) if turn else 0)
-    ranked = named.join(sizes.select("key"), "key").withColumn("rank", F.col("node").bitwiseXOR(mask))
-    known = ranked.select(
-        F.col("rank").alias("leader"), F.col("n").alias("n_b"), F.col("root").alias("root_b")
-    ).distinct()
-    leaders = ranked.groupBy("key").agg(F.min("rank").alias("leader")).join(known, "leader")
-    met = ranked.join(leaders, "key").where("root <> root_b").groupBy("node", "n").agg(
-        F.min("leader").alias("leader"), F.min_by("n_b", "leader").alias("n_b")
+    first = F.lit(0) if turn else F.col("pos")
+    ranked = named.join(sizes.select("key"), "key").withColumn(
+        "rank", F.struct(first.alias("first"), F.col("node").bitwiseXOR(mask).alias("mixed"), "node", "n", "pos", "root")
+    )
+    leaders = ranked.groupBy("key").agg(F.min("rank").alias("leader"))
+    x = F.col("leader")
+    met = ranked.join(leaders, "key").where(
+        (F.col("root") != x["root"]) & _may_be_similar(F.col("n"), F.col("pos"), x["n"], x["pos"], similarity)
     )
-    return met.select(
-        F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("leader").bitwiseXOR(mask).alias("b"), "n_b"
+    return met.groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("leader")).select(
+        "a", F.col("leader.node").alias("b")
     )
 
 
-def _open_pairs(named: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, n_a, b, n_b): all pairs of different components that share a bucket.
+def _open_pairs(named: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of different components that share a bucket and may be similar.
 
     One of a pair is outside the largest component of its bucket.  Those outside meet the
     whole bucket block by block, so that no task holds a large bucket.
@@ -439,16 +493,17 @@ def _open_pairs(named: DataFrame, sizes: DataFrame) -> DataFrame:
 
     rows = named.join(sizes.withColumn("outside", F.col("size") - F.col("largest")), "key")
     a = rows.where("root <> main").select(
-        "key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"),
+        "key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("root").alias("root_a"),
         block_of("outside").alias("i"), F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("j"),
     )
     b = rows.select(
-        "key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), "main",
+        "key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("root").alias("root_b"), "main",
         block_of("size").alias("j"), F.explode(F.sequence(F.lit(0), blocks("outside") - 1)).alias("i"),
     )
     once = (F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b"))
-    pairs = a.join(b, ["key", "i", "j"]).where((F.col("root_a") != F.col("root_b")) & once)
-    return pairs.select("a", "n_a", "b", "n_b")
+    alike = _may_be_similar(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), similarity)
+    pairs = a.join(b, ["key", "i", "j"]).where((F.col("root_a") != F.col("root_b")) & once & alike)
+    return pairs.select("a", "b")
 
 
 def without_near_duplicates(
@@ -461,15 +516,17 @@ def without_near_duplicates(
     """
     rows = with_uid(docs, text=F.col(text_col).cast("string"))
     texts = rows.select("uid", "text")
-    found = written(
-        texts.mapInArrow(_signed(shingle), "uid long, n int, same binary, keys array<long>"), "signatures"
+    signed = written(
+        texts.mapInArrow(_signed(shingle), "uid long, n int, same binary, chunk int, counts binary"), "signatures"
     )
+    found = signed.where("uid IS NOT NULL").select("uid", "same")
     firsts = written(found.groupBy("same").agg(F.min("uid").alias("node")), "firsts")
-    dealt = found.join(firsts.select(F.col("node").alias("uid")), "uid", "left_semi").select(
-        F.explode("keys").alias("key"), F.col("uid").alias("node"), "n"
+    counters = docs.sparkSession.sparkContext.broadcast(_counters(signed))
+    dealt = texts.join(firsts.select(F.col("node").alias("uid")), "uid", "left_semi").mapInArrow(
+        _keyed(shingle, similarity, counters), "node long, n int, keys array<long>"
     )
-    shared = dealt.groupBy("key").count().where("count > 1").select("key")
-    buckets = written(dealt.join(shared, "key").select("key", "node", "n"), "buckets")
+    dealt = dealt.select(F.posexplode("keys").alias("pos", "key"), "node", "n").where("key IS NOT NULL")
+    buckets = _shared_keys(written(dealt, "keys"), similarity)
     wanted = buckets.select(F.col("node").alias("uid")).distinct()
     sets = written(
         texts.join(wanted, "uid", "left_semi").mapInArrow(_shingled(shingle), "node long, shingles binary"),
