@@ -186,6 +186,28 @@ def test_neighbours(spark, sf_dir):
     assert sorted(r.vec_id for r in outside) == [20, 9000, 9001, 9002, 9003]
 
 
+@pytest.mark.parametrize("cosine", [0.9993, 0.9926])
+def test_neighbours_in_a_dense_group(spark, cosine):
+    """A group of near copies beside strangers: recall against brute force in both."""
+    rng = np.random.default_rng(0)
+    spread = np.sqrt((1 / cosine - 1) / 64)
+    centre = rng.normal(size=64)
+    x = np.concatenate([
+        rng.normal(size=(700, 64)), centre / np.linalg.norm(centre) + spread * rng.normal(size=(1000, 64))
+    ])
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).astype(float)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(set)
+    for r in ann.search_rows(ann.build(vectors, leaf=256), spark.range(0, 1700, 20).toDF("id"), 20).collect():
+        found[r.query_id].add(r.vec_id)
+        assert r.score == pytest.approx(float(x[r.query_id] @ x[r.vec_id]), abs=1e-12)
+    products = x @ x.T
+    np.fill_diagonal(products, -9)
+    for rows in (range(0, 700, 20), range(700, 1700, 20)):
+        recall = [len(set(np.argsort(-products[q], kind="stable")[:20]) & found[q]) / 20 for q in rows]
+        assert np.mean(recall) >= 0.97
+
+
 def test_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 1.0])], schema)

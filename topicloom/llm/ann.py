@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: an NN-descent graph and greedy search in it.
 
 Nearness is the inner product.  Equal vectors are one node.  For the graph a node carries
-its vector in one byte a component (with a scale), so that it can travel; answers are
-scored again on the original vectors in double precision.
+its vector in two bytes a component (with a scale), so that it can travel.  What the codes
+can be wrong by is known: every node of the final beam that may be among the answers, by
+that bound, is scored again on the original vectors in double precision.
 
 *Graph.*  ``TREES`` times the nodes are range-sorted by the signs of their projections on
 random directions, and every stretch of ``LEAF`` nodes is compared within itself.  Then
@@ -34,9 +35,10 @@ from pyspark.storagelevel import StorageLevel
 from topicloom.llm.common import bounds, written
 
 DEGREE, TREES, LEAF = 24, 2, 2048
-ROUNDS, ENOUGH = 4, 0.02
-BEAM, RESCORED, ENTRIES = 400, 64, 256
-MOST_HOPS = 64
+ROUNDS, ENOUGH = 12, 0.002
+BEAM, ENTRIES = 400, 256
+#: The largest code; a component is off by half a code at most.
+TOP_CODE = 32767
 
 _PAIRS = "array<struct<w:bigint,s:float>>"
 _POOL = "array<struct<w:bigint,s:float,done:boolean>>"
@@ -60,13 +62,13 @@ def _coded(trees: int, d: int):
         planes = np.random.default_rng(7).standard_normal((trees * 40, d)).astype(np.float32)
         for batch in batches:
             x = batch.column("x").flatten().to_numpy().reshape(-1, d)
-            scale = np.abs(x).max(axis=1) / 127
-            codes = np.rint(x / scale[:, None]).astype(np.int8)
+            scale = np.abs(x).max(axis=1) / TOP_CODE
+            codes = np.rint(x / scale[:, None]).astype("<i2")
             signs = (x.astype(np.float32) @ planes.T > 0).reshape(-1, trees, 40)
             keys = (signs * (1 << np.arange(39, -1, -1))).sum(axis=2)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("node"), pa.array(list(map(bytes, codes)), pa.binary()),
+                    batch.column("node"), pa.array([c.tobytes() for c in codes], pa.binary()),
                     pa.array(scale.astype(np.float32)), pa.array(keys.tolist(), pa.list_(pa.int64())),
                 ],
                 ["node", "code", "scale", "keys"],
@@ -77,7 +79,7 @@ def _coded(trees: int, d: int):
 
 def _vectors(codes, scales, d: int) -> np.ndarray:
     raw = b"".join(codes.to_pylist())
-    return np.frombuffer(raw, np.int8).reshape(-1, d) * scales.to_numpy()[:, None].astype(np.float32)
+    return np.frombuffer(raw, "<i2").reshape(-1, d) * scales.to_numpy()[:, None].astype(np.float32)
 
 
 def _lists(offsets, fields: dict) -> pa.ListArray:
@@ -299,7 +301,7 @@ def _search(index: Index, start: DataFrame, beam: int) -> DataFrame:
     graph = written(_adjacency(index.lists, coded), "graph")
     graph = graph.repartition(parts, "at").persist(StorageLevel.MEMORY_AND_DISK)
     state = written(start, "search")
-    for _ in range(MOST_HOPS):
+    while True:  # a beam never takes a worse node, and ends when all of it is visited
         todo = F.filter("pool", lambda p: ~p["done"])
         visits = state.select(
             "q", "own", "code", "scale", F.explode(todo["w"]).alias("at"),
@@ -342,7 +344,7 @@ def _start_at_entries(index: Index, queries: DataFrame) -> DataFrame:
     entries = index.nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("node", "code", "scale")
     rows = entries.collect()
     nodes = np.array([r["node"] for r in rows], np.int64)
-    y = np.array([np.frombuffer(r["code"], np.int8) * r["scale"] for r in rows], np.float32).reshape(-1, d)
+    y = np.array([np.frombuffer(r["code"], "<i2") * r["scale"] for r in rows], np.float32).reshape(-1, d)
 
     def start(batches):
         for batch in batches:
@@ -371,8 +373,15 @@ def _answers(index: Index, state: DataFrame, asked: DataFrame, most: int, own: b
     All rows that share a found node's vector count, and with ``own`` those of the node
     that asks.
     """
-    near = F.slice(F.col("pool.w"), 1, max(RESCORED, most))  # pools are sorted, best first
-    nodes = F.array_union(near, F.array("own")) if own else near
+    # A code is off by sqrt(d) / (2 TOP_CODE) of the norm at most, for either vector.
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda t, v: t + v * v))
+    longest = index.nodes.agg(F.max(norm)).first()[0] or 0.0
+    off = 2 * (index.d ** 0.5 / TOP_CODE + 1e-6) * longest
+    lengths = asked.select("q", (norm * off).alias("margin"))
+    last = F.get("pool.s", F.lit(most - 1)).cast("double")
+    close = F.filter("pool", lambda p: last.isNull() | (p["s"].cast("double") >= last - F.col("margin")))["w"]
+    state = state.join(lengths, "q").withColumn("close", close)
+    nodes = F.array_union("close", F.array("own")) if own else F.col("close")
     pairs = state.select("q", F.explode(nodes).alias("node"))
     scored = pairs.join(index.nodes.select("node", "x"), "node").join(
         asked.select("q", F.col("x").alias("qx")), "q"
