@@ -1,3 +1,5 @@
+import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -70,3 +72,21 @@ def test_curve_neighbours_are_near():
     keys = packing.hilbert_keys(grid, 3)
     assert sorted(keys.tolist()) == list(range(512))
     assert np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(axis=1).max() == 1
+
+
+def test_every_letter_before_stops(spark):
+    """All assigned letters, marks and numbers before and after full stops and commas."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, definition = Tokenizer.from_file(path), open(path, encoding="utf-8").read()
+    encoder = packing.Encoder(definition, 1)
+    texts = [
+        f"ab{c}. {c}, c{c}.d {c}' T.{c}." for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] in "LMN"
+    ]
+    rng = random.Random(1)
+    pool = "İaZé.,' \u0958\u09dc\u09a2\u09bc\u0b5cŉǰßﬁ①2ﬀ가\u1100\u1161\u0301\u0327"
+    texts += ["T.C. İ.Ö. 500"] + ["".join(rng.choices(pool, k=rng.randint(1, 30))) for _ in range(20_000)]
+    for a in range(0, len(texts), 8192):
+        part = texts[a : a + 8192]
+        ids, ends = encoder.encode([t.encode() for t in part])
+        for i, want in enumerate(tokenizer.encode_batch(part, add_special_tokens=False)):
+            assert ids[ends[i] : ends[i + 1]].tolist() == want.ids + [1], part[i]

@@ -22,6 +22,7 @@ import functools
 import json
 import os
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -95,6 +96,41 @@ def _tokenizer(definition: str):
     return Tokenizer.from_str(definition)
 
 
+@functools.lru_cache(maxsize=2)
+def split_letters(definition: str) -> str:
+    """A character class of the letters that the tokenizer parts from a stop or comma behind.
+
+    Letters that its normaliser takes apart end in a mark, which goes with the stop; asked of
+    the tokenizer itself, letter by letter.
+    """
+    tokenizer = _tokenizer(definition)
+    normal, parts = tokenizer.normalizer, tokenizer.pre_tokenizer
+
+    def pieces(text):
+        text = normal.normalize_str(text) if normal else text
+        return [p for p, _ in parts.pre_tokenize_str(text)] if parts else [text]
+
+    def parted(letters):
+        """Those of the letters, asked all at once and by halves where one is not parted."""
+        alone = pieces(" ".join(letters))
+        for stop in ".,":
+            found, own = pieces(" ".join(x + stop for x in letters)), pieces(stop)
+            if [p for p in found if p not in own] != alone or len(found) != len(alone) + len(letters):
+                half = len(letters) // 2
+                return parted(letters[:half]) + parted(letters[half:]) if half else []
+        return letters
+
+    every = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L"]
+    ranges: list[list[int]] = []
+    for a in range(0, len(every), 1024):
+        for code in map(ord, parted(every[a : a + 1024])):
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]" if ranges else ""
+
+
 class WordMerges:
     """Ids of plain words (Latin letters in lower case) by merging all of them at once, for
     byte-level BPE with word ends; None for other tokenizers."""
@@ -135,11 +171,12 @@ class Encoder:
     """Ids of texts by a ``tokenizers`` definition that drops white space and case.
 
     Such a tokenizer works on each part between ASCII white space by itself, and keeps
-    letters apart from full stops and commas behind them.  Ids of frequent parts are
-    remembered, in lower case.
+    most letters (``letters``, of ``split_letters``) apart from full stops and commas behind
+    them.  Ids of frequent parts are remembered, in lower case.
     """
 
-    def __init__(self, definition: str, end_id: int):
+    def __init__(self, definition: str, end_id: int, letters: str | None = None):
+        self.letters = split_letters(definition) if letters is None else letters
         self.tokenizer, self.words = _tokenizer(definition), WordMerges.of(definition)
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
@@ -177,7 +214,9 @@ class Encoder:
         lowered = pc.ascii_lower(texts)
         for special in self.special:
             lowered = pc.if_else(pc.match_substring(lowered, special), texts, lowered)
-        return pc.replace_substring_regex(lowered, r"(\pL)([.,])", r"\1 \2")
+        if not self.letters:
+            return lowered
+        return pc.replace_substring_regex(lowered, f"({self.letters})([.,])", r"\1 \2")
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one behind the other, each text's with the end id, and where texts end.
@@ -206,11 +245,12 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, definition: str, end_
     """(uid, id, key, n, ids): ids as little-endian numbers of 16 bits, or 32 if need be."""
     vocabulary = max(_tokenizer(definition).get_vocab(with_added_tokens=True).values(), default=0)
     narrow = max(vocabulary, end_id) < 2**16
-    send = docs.sparkSession.sparkContext.broadcast(definition)
+    send = docs.sparkSession.sparkContext.broadcast((definition, split_letters(definition)))
 
     @released
     def encode(batches):
-        encoder = Encoder(send.value, end_id)
+        known, letters = send.value
+        encoder = Encoder(known, end_id, letters)
         for batch in batches:
             for part, texts in chunks(batch, "text"):
                 ids, edges = encoder.encode(texts)
