@@ -56,3 +56,22 @@ def test_no_labels_and_no_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x")], "page_id long, url string")
     assert [r.verdict for r in url_filter.filter_urls(pages, []).collect()] == ["allow", "allow"]
     assert url_filter.filter_urls(pages.where("false"), queries.URL_RULES).collect() == []
+
+
+def test_deep_segments_and_any_size(spark):
+    """The tree ends where paths end, and a host is judged alike in a crawl ten times its size."""
+    rows = []
+    for i in range(200):
+        kind = ("fr", "de")[i % 2]
+        rows += [f"http://a{i % 2}.com/{kind}/x/y/z/v{i}/end", f"http://free.net/k/l/m/n/o/{kind}/s{chr(97 + i % 26)}{chr(97 + i // 26)}q"]
+        rows += [f"http://free.net/k/l/m/n/o/{kind}", f"http://long.net/{'/'.join('abc'[j % 3] for j in range(30))}/{i}"]
+    rows += ["http://long.net/" + "seg" * 50_000]
+    templates = []
+    for times in (1, 10):
+        pages = spark.createDataFrame([(i, u) for i, u in enumerate(rows * times)], "page_id long, url string")
+        found = {r.path: r for r in url_filter.filter_urls(pages, [("block", "a1.com/de/"), ("allow", "a0.com/fr/")]).collect() if r.host != "a0.com"}
+        assert found["/k/l/m/n/o/de/sbaq"].template == "/k/l/m/n/o/de/*"
+        assert found["/k/l/m/n/o/fr"].template == "/k/l/m/n/o/fr"
+        assert found[next(p for p in found if p.startswith("/a/b/c"))].template.count("/") == 31
+        templates.append({p: r.template for p, r in found.items()})
+    assert templates[0] == templates[1]

@@ -140,6 +140,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op4_warc_derivatives": sql.OP4, "op5_quotes": sql.OP5, "op6_phrases": sql.OP6,
+        "op2_url_filter": sql.OP2, "op4_warc_derivatives": sql.OP4, "op5_quotes": sql.OP5, "op6_phrases": sql.OP6,
         "op10_decontaminate": sql.OP10, "op11_cover_tree": sql.OP11, "op13_filter_audit": sql.OP13,
     }

@@ -26,6 +26,58 @@ def _line(name: str, value: str) -> str:
     return f"case when length({value}) > 0 then '{name}: ' || {value} || chr(13) || chr(10) else '' end"
 
 
+def _op2(depth: int = 8) -> str:
+    """Templates of paths of up to ``depth`` segments."""
+    rules = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+             ("allow", "com/fr/"), ("block", "com/de/")]
+    rule = verdict = "case"
+    for kind, text in sorted(rules, key=lambda r: -len(r[1])):
+        name, _, rest = text.partition("/")
+        fits = f"when (host = '{name}' or ends_with(host, '.{name}')) and starts_with(path, '/{rest}')"
+        rule, verdict = f"{rule} {fits} then '{text}'", f"{verdict} {fits} then '{kind}'"
+    ctes = [
+        """rests as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest
+            from pages)""",
+        """hosts as (select page_id, rest, regexp_extract(rest, '^[^/?#]*', 0) as h from rests)""",
+        """paths as (select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+            regexp_extract(substr(rest, length(h) + 1), '^[^?#]*', 0) as path from hosts)""",
+        f"""judged as (select *, regexp_replace(regexp_replace(path, '[0-9a-fA-F]{{8}}[0-9a-fA-F-]{{8,}}', '{{h}}', 'g'),
+            '[0-9]+', '{{n}}', 'g') as general, {rule} end as rule, {verdict} end as by_rule from paths)""",
+        """tree0 as (select host, general, list_filter(string_split(general, '/'), lambda x: x <> '') as segments,
+            count(*) as n, count(*) filter (where by_rule = 'allow') as n_allow,
+            count(*) filter (where by_rule = 'block') as n_block, '' as template from judged group by host, general)""",
+    ]
+    for d in range(depth):
+        ctes += [
+            f"""child{d} as (select host, template, segments[{d + 1}] as segment, sum(n) as n, sum(n_allow) as n_allow,
+                sum(n_block) as n_block from tree{d} where len(segments) > {d} group by all)""",
+            f"""node{d} as (select host, template, count(*) as children, sum(n) as urls, sum(n_block) as all_block,
+                sum(n_allow + n_block) as labelled from child{d} group by all)""",
+            f"""share{d} as (select c.*, children, urls, n_allow + n_block as own,
+                case when labelled > 0 then all_block::double / labelled end as share
+                from child{d} c join node{d} using (host, template))""",
+            f"""branch{d} as (select host, template, segment, case when children > 1 and (case when own >= 10
+                then not coalesce(abs(n_block::double / own - share) > 2.0 * sqrt(share * (1 - share) / own), false)
+                else n < 0.03125::double * urls end) then '*' else segment end as branch from share{d})""",
+            f"""tree{d + 1} as (select t.host, t.general, t.segments, t.n, t.n_allow, t.n_block,
+                case when branch is null then t.template else t.template || '/' || branch end as template
+                from tree{d} t left join branch{d} b
+                on b.host = t.host and b.template = t.template and b.segment = t.segments[{d + 1}])""",
+        ]
+    return "with " + ",\n".join(ctes) + f""",
+    base as (select coalesce(sum(n_allow)::double / nullif(sum(n_allow + n_block), 0), 1.0) as base from tree{depth}),
+    wide as (select template, (sum(n_allow) + 5.0::double * any_value(base)) / (sum(n_allow + n_block) + 5.0::double) as wide
+        from tree{depth} cross join base group by template),
+    here as (select host, template, (sum(n_allow) + 5.0::double * any_value(wide)) / (sum(n_allow + n_block) + 5.0::double) as purity
+        from tree{depth} join wide using (template) group by host, template)
+    select page_id, j.host, path, rule, coalesce(by_rule, case when purity < 0.5 then 'block' else 'allow' end) as verdict,
+        h.template, purity
+    from judged j join tree{depth} t on t.host = j.host and t.general = j.general
+    join here h on h.host = t.host and h.template = t.template"""
+
+
+OP2 = _op2()
+
 OP4 = f"""
 with source as (
     select page_id, url, html, {_urn("'page-' || page_id")} as source_id, {_page_text()} as body from pages),

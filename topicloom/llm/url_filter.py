@@ -3,16 +3,17 @@
 Everything is DataFrame operations.  The urls that rules decide are the labels.  Paths are
 cut into segments; numbers and hashes in them become placeholders, and equal paths of a
 host are counted before anything else, so what follows works on counts.  From the root
-down, a node's rare children become one wildcard branch where the segment is variable
-(there are many of them), and children whose share of blocked urls cannot be told from
-the node's are merged into that branch too.  A template is a path through the merged
-tree; its purity is the share of allowed urls, smoothed towards the purity of the same
+down, level by level until no path has a further segment, children with a small share of
+their node's urls, as a variable segment has, become one wildcard branch, and so do those
+whose share of blocked urls cannot be told from the node's; a child that is clearly apart
+in that share stays, however small.  Shares are the same in crawls of every size.  A
+template is a path through the merged tree; its purity is the share of allowed urls, smoothed towards the purity of the same
 template on all hosts, and that towards the share of all labelled urls.  Templates with a
 purity below one half are blocked.
 
 Counts are combined before every shuffle and joins have several columns as keys; a host
 with a third of all urls spreads over its paths, and urls meet verdicts by (host, path).
-The tables of a level go to the shared folder.
+The tables of a level go to the shared folder; paths that have ended take no part in it.
 
 A null url or one without ``://`` has empty host and path.  Every row gets a verdict;
 repeated rows and null ids are rows like others.  Without any label (no rule fits) the
@@ -28,10 +29,8 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.common import written
 
-#: Levels of the tree; deeper segments do not tell templates apart.
-DEPTH = 4
-#: A segment is variable where so many children have fewer urls than this.
-CHILDREN, URLS_EACH = 8, 4
+#: A child with less than this share of its node's urls is a value of a variable segment.
+RARE = 1 / 32
 #: Labelled urls that a child needs to be compared with its node, and standard errors.
 LABELLED, ERRORS = 10, 2.0
 #: Labelled urls that the wider estimate counts as.
@@ -69,27 +68,27 @@ def general_path(path: Column) -> Column:
 
 
 def _level(tree: DataFrame, depth: int) -> DataFrame:
-    """``tree`` with the template one segment longer where paths have that segment."""
+    """``tree``, of paths with a segment at ``depth``, with templates one segment longer."""
     tree = tree.withColumn("segment", F.get("segments", F.lit(depth)))
     key = ["host", "template"]
     sums = [F.sum(c).alias(c) for c in ("n", "n_allow", "n_block")]
-    child = tree.where("segment is not null").groupBy(*key, "segment").agg(*sums)
+    child = tree.groupBy(*key, "segment").agg(*sums)
     node = child.groupBy(*key).agg(
-        F.count("*").alias("children"), F.count_if(F.col("n") < URLS_EACH).alias("rare"),
-        F.sum("n_block").alias("all_block"), F.sum(F.col("n_allow") + F.col("n_block")).alias("labelled"),
+        F.count("*").alias("children"), F.sum("n").alias("urls"), F.sum("n_block").alias("all_block"),
+        F.sum(F.col("n_allow") + F.col("n_block")).alias("labelled"),
     )
     own, all_labels = F.col("n_allow") + F.col("n_block"), F.col("labelled")
     share = F.try_divide("all_block", all_labels)
     error = F.sqrt(F.try_divide(share * (1 - share), own))
-    apart = F.abs(F.try_divide("n_block", own) - share)
-    similar = (F.col("children") > 1) & (own >= LABELLED) & (apart <= ERRORS * error)
-    variable = (F.col("rare") >= CHILDREN) & (F.col("n") < URLS_EACH)
-    branch = F.when(variable | F.coalesce(similar, F.lit(False)), "*").otherwise(F.col("segment"))
+    apart = F.abs(F.try_divide("n_block", own) - share) > ERRORS * error
+    told, known = F.coalesce(apart, F.lit(False)), own >= LABELLED
+    rare = F.col("n") < RARE * F.col("urls")
+    merged = (F.col("children") > 1) & F.when(known, ~told).otherwise(rare)
+    branch = F.when(merged, "*").otherwise(F.col("segment"))
     branches = child.join(node, key).select(*key, "segment", branch.alias("branch"))
-    longer = F.concat("template", F.lit("/"), "branch")
-    return tree.join(branches, [*key, "segment"], "left").select(
+    return tree.join(branches, [*key, "segment"]).select(
         "host", "general", "segments", "n", "n_allow", "n_block",
-        F.coalesce(longer, "template").alias("template"),
+        F.concat("template", F.lit("/"), "branch").alias("template"),
     )
 
 
@@ -103,10 +102,17 @@ def templates(judged: DataFrame) -> DataFrame:
     tree = judged.groupBy("host", "general").agg(*count)
     segments = F.filter(F.split("general", "/"), lambda s: s != "")
     tree = tree.withColumn("segments", segments).withColumn("template", F.lit(""))
-    tree = written(tree, "paths")
-    for depth in range(DEPTH):
-        tree = written(_level(tree, depth), "paths")
-    return tree
+    tree, depth, ended = written(tree, "paths"), 0, []
+    while True:
+        ended.append(tree.where(F.size("segments") <= depth))
+        going = tree.where(F.size("segments") > depth)
+        if going.isEmpty():
+            break
+        tree, depth = written(_level(going, depth), "paths"), depth + 1
+    every = ended[0]
+    for more in ended[1:]:
+        every = every.unionByName(more)
+    return written(every, "paths")
 
 
 def purities(tree: DataFrame) -> DataFrame:
