@@ -20,7 +20,7 @@ from topicloom.operators import partitioning as pt  # noqa: E402
 from topicloom.operators import sampling as sm  # noqa: E402
 from topicloom.operators import tokens as tk  # noqa: E402
 from topicloom.operators import vectorize as vz  # noqa: E402
-from topicloom.operators.lda import declarative, em, mllib, sampler  # noqa: E402
+from topicloom.operators.lda import declarative, em, mllib, online, sampler  # noqa: E402
 from topicloom.operators.lda import state as st  # noqa: E402
 from topicloom.operators.lda.kernel import md5_uniforms  # noqa: E402
 from topicloom.operators.topk import top_k  # noqa: E402
@@ -300,6 +300,20 @@ def lda_online(spark, sf):
     return _ml_topics(spark, sf, "sparkonline")
 
 
+def online_steps(spark, sf):
+    """Two steps of online variational Bayes over all documents, from lambdas that SQL computes."""
+    (dictionary, width), vectors = q.known_terms(spark, sf), q.vectors(spark, sf)
+    begin = dictionary.select("term_id", F.transform(
+        F.sequence(F.lit(0), F.lit(q.K - 1)), lambda t: F.lit(1.0) + F.pmod(F.col("term_id") + t, F.lit(q.K)) / 10.0
+    ).alias("lambdas"))
+    model = online.fit_online(
+        vectors, width, q.K, 2, q.ALPHA, q.BETA, SEED, fraction=1.0, tau=1.0, kappa=0.5, rounds=3,
+        enough=0.0, begin=begin,
+    )
+    told = model.lambdas.select("term_id", F.posexplode("lambdas").alias("topic", "x"))
+    return told.select("term_id", "topic", F.round("x", 6).alias("x"))
+
+
 def heldout_left_to_right(spark, sf):
     """Perplexity of tokens predicted from those before them, by two particles whose uniforms
     SQL computes."""
@@ -406,6 +420,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lda_gibbs_joined": lda_gibbs_joined,
         "lda_em": lda_em,
         "lda_online": lda_online,
+        "online_steps": online_steps,
         "train_perplexity": train_perplexity,
         "model_from_ml": model_from_ml,
         "checkpoint_resume": checkpoint_resume,

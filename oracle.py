@@ -234,6 +234,46 @@ def _em_ctes(iterations: int) -> list[str]:
     return _model_ctes() + ctes
 
 
+def _digamma(x: str) -> str:
+    y = f"({x} + 6)"
+    series = f"(1/12::double - (1/120::double - (1/252::double - 1 / (240 * {y} * {y})) / ({y} * {y})) / ({y} * {y}))"
+    behind = " + ".join(f"1 / ({x} + {i})" for i in range(6))
+    return f"(ln({y}) - 1 / (2 * {y}) - {series} / ({y} * {y}) - ({behind}))"
+
+
+def _online_steps(steps: int, rounds: int) -> str:
+    a, b = f"{ALPHA}::double", f"{BETA}::double"
+    ctes = [f"lambda0 as materialized (select term_id, topic, 1.0::double + ((term_id + topic) % {K}) / 10.0::double as x from vocab cross join ks)"]
+    for t in range(steps):
+        ctes += [
+            f"total{t} as (select topic, sum(x) as x from lambda{t} group by topic)",
+            f"""beta{t} as materialized (select l.term_id, l.topic, exp({_digamma("l.x")} - {_digamma("n.x")}) as b
+                from lambda{t} l join total{t} n using (topic))""",
+            f"gamma{t}_0 as (select doc_id, topic, 1.0::double as g from (select distinct doc_id from dtf) cross join ks)",
+        ]
+        for r in range(rounds + 1):
+            ctes += [
+                f"""share{t}_{r} as materialized (select g.doc_id, topic, exp({_digamma("g")} - {_digamma("whole")}) as s
+                    from gamma{t}_{r} g join (select doc_id, sum(g) as whole from gamma{t}_{r} group by doc_id) using (doc_id))""",
+                f"""part{t}_{r} as materialized (select doc_id, term_id, tf, topic, s * b as m
+                    from dtf join beta{t} using (term_id) join share{t}_{r} using (doc_id, topic))""",
+                f"norm{t}_{r} as materialized (select doc_id, term_id, sum(m) as norm from part{t}_{r} group by all)",
+            ]
+            if r < rounds:
+                ctes.append(
+                    f"""gamma{t}_{r + 1} as materialized (select doc_id, topic, {a} + sum(tf / norm * m) as g
+                    from part{t}_{r} join norm{t}_{r} using (doc_id, term_id) group by all)"""
+                )
+        rate = f"pow({2 + t}::double, -0.5)"
+        ctes += [
+            f"""seen{t} as (select term_id, topic, sum(tf / norm * m) as n
+                from part{t}_{rounds} join norm{t}_{rounds} using (doc_id, term_id) group by all)""",
+            f"""lambda{t + 1} as materialized (select term_id, topic, (1 - {rate}) * x + {rate} * ({b} + coalesce(n, 0)) as x
+                from lambda{t} left join seen{t} using (term_id, topic))""",
+        ]
+    return _sql(_model_ctes() + ctes, f"select term_id, topic, round(x, 6) as x from lambda{steps}")
+
+
 def _left_to_right(particles: int) -> str:
     a = f"{ALPHA}::double"
     return "with recursive " + ",\n".join(
@@ -390,6 +430,7 @@ def oracle_sql() -> dict[str, str]:
             """select cast(sum(tf) as bigint) as tokens, round(exp(-sum(tf * ln(mix)) / sum(tf)), 6) as perplexity
             from mix1""",
         ),
+        "online_steps": _online_steps(2, 3),
         "heldout_left_to_right": _left_to_right(2),
         "heldout_fold_in": _fold_in(3),
         "heldout_fold_in_joined": _fold_in(3),

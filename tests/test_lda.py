@@ -1,8 +1,10 @@
+from math import lgamma
+
 import numpy as np
 import pytest
 
 from topicloom.operators import model as md
-from topicloom.operators.lda import em, heldout
+from topicloom.operators.lda import em, heldout, online
 from topicloom.operators.lda import kernel as kn
 from topicloom.operators.lda import meeting
 from topicloom.operators.lda import sampler as sp
@@ -304,6 +306,34 @@ def test_an_em_step_equals_numpy(spark, planted, monkeypatch):
         assert r.n == pytest.approx(new[r.term_id, r.topic])
 
 
+def test_digamma():
+    x = np.array([0.01, 0.5, 1.0, 2.5, 40.0])
+    h = 1e-5
+    slopes = [(lgamma(v + h * v) - lgamma(v - h * v)) / (2 * h * v) for v in x]
+    assert np.allclose(online.digamma(x), slopes, rtol=1e-6)
+    assert online.digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649, abs=1e-9)
+
+
+def test_online_variational_bayes(spark, planted, monkeypatch):
+    """Perplexity falls, parts change nothing, planted topics are found; no limit on cells."""
+    values = []
+    for iterations in (1, 20):
+        model = online.fit_online(planted, V, K, iterations, 0.1, 0.01, fraction=0.5, tau=1.0, kappa=0.6)
+        probs = online.topic_probs(model).cache()
+        assert np.allclose([r[1] for r in probs.groupBy("topic").sum("prob").collect()], 1)
+        values.append(md.heldout_perplexity(planted, probs, K, V, 0.1, 20))
+    assert values[1] < 0.7 * values[0]
+    found = np.zeros((V, K))
+    for r in probs.collect():
+        found[r.term_id, r.topic] = r.prob
+    assert sorted(found.reshape(K, 20, K).sum(axis=1).argmax(axis=1)) == list(range(K))
+    one = {r.term_id: r.lambdas for r in online.fit_online(planted, V, K, 2, fraction=0.5).lambdas.collect()}
+    monkeypatch.setattr(meeting, "PART_TOKENS", 300)
+    many = {r.term_id: r.lambdas for r in online.fit_online(planted.repartition(5), V, K, 2, fraction=0.5).lambdas.collect()}
+    assert len(one) == V and all(np.allclose(one[t], many[t]) for t in one)
+    assert online.fit_online(planted.where("false"), V, K, 1, fraction=1.0).lambdas.count() == V
+
+
 def test_spark_ml_trainers(spark, planted):
     assert minibatch_fraction(planted, 100).first().fraction == pytest.approx(0.02 + 1 / 240)
     assert minibatch_fraction(planted, 1).first().fraction == 1.0
