@@ -1,6 +1,7 @@
 import pytest
 
 from queries_support import write_pages_as_warc
+from topicloom.operators.lda.sampler import fit_sampler
 from topicloom.plans.run import RunConfig, run
 from topicloom.sources.model_file import import_model, model_probs
 
@@ -12,7 +13,7 @@ def archive(spark, sf_dir, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("algorithm", ["mh", "naive", "sparkem", "sparkonline", "em"])
+@pytest.mark.parametrize("algorithm", ["mh", "naive", "sparkem", "sparkonline", "em", "online"])
 def test_archive_to_topics(spark, archive, tmp_path, algorithm):
     config = RunConfig(
         archive, algorithm, str(tmp_path / "words"), str(tmp_path / "vectors"),
@@ -60,3 +61,27 @@ def test_defaults():
     c = RunConfig("x")
     assert (c.algorithm, c.iterations, c.k, c.vocab_size, c.partitions) == ("mh", 100, 30, 60000, 336)
     assert (c.alpha, c.beta, c.mh_steps, c.seed, c.checkpoint_every) == (0.5, 0.01, 2, 42, 1)
+
+
+def test_tables_of_different_runs_are_refused(spark, sf_dir, tmp_path):
+    """Vectors know their dictionary; a resumed training knows its documents."""
+    from topicloom.plans.corpus import load_corpus
+    from topicloom.sources.manifest import digest, read_manifest
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    words, vectors, other = (str(tmp_path / n) for n in ("words", "vectors", "other"))
+    first = load_corpus(spark, lambda: docs, 300, words, vectors)
+    assert read_manifest(spark, vectors)["dictionary"] == digest(first.dictionary, ["term", "term_id"])
+    load_corpus(spark, None, 200, words, vectors)
+    load_corpus(spark, lambda: docs.where("doc_id % 2 = 0"), 300, other)
+    with pytest.raises(ValueError, match="another dictionary"):
+        load_corpus(spark, None, 300, other, vectors)
+
+    rows = first.vectors
+    assert digest(rows.repartition(7), rows.columns) == digest(rows, rows.columns)
+    assert digest(rows.limit(5).unionByName(rows.limit(5)), rows.columns) != digest(rows.limit(5), rows.columns)
+    saved = str(tmp_path / "saved")
+    fit_sampler(rows, 300, "mh", 3, 1, checkpoint_save=saved)
+    fit_sampler(rows.repartition(3), 300, "mh", 3, 2, checkpoint_read=saved)
+    with pytest.raises(ValueError, match="corpus"):
+        fit_sampler(rows.where("doc_id % 2 = 0"), 300, "mh", 3, 2, checkpoint_read=saved)

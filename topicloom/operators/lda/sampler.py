@@ -33,6 +33,7 @@ from topicloom.operators.partitioning import block_count
 from topicloom.operators.vectorize import token_total
 from topicloom.session import keep, scratch_path, ship_package
 from topicloom.sources import checkpoints
+from topicloom.sources.manifest import digest
 
 MODEL_BYTES = 256 * 2**20
 BYTES_PER_COUNT = 64  # a count, its key and its share of an alias table, and the collected row
@@ -168,7 +169,8 @@ def fit_sampler(
     ``block_size`` terms are resampled at a time, with fresh counts for each block; by
     default a sweep counts once.  ``model_bytes`` decides how counts reach the documents, by
     broadcast or by a join, and changes no result.  ``checkpoint_read`` resumes from the
-    latest complete sweep found there, if it was written with the same settings.  ``begin`` is
+    latest complete sweep found there, if it was written with the same settings and from the
+    same documents.  ``begin`` is
     a state to start from instead of random topics; documents refresh their topic counts
     between ``groups`` of terms; ``uniform`` makes the draws.
     """
@@ -185,6 +187,8 @@ def fit_sampler(
         "method": method, "k": k, "alpha": alpha, "beta": beta, "vocab_size": vocab_size,
         "seed": seed, "mh_steps": mh_steps, "block_size": block_size,
     }
+    if checkpoint_save or checkpoint_read:
+        settings["corpus"] = digest(vectors, [key, "term_ids", "tfs"])
     start, state = 0, None
     scratch = scratch_path(spark, "sweeps")
     if checkpoint_read:

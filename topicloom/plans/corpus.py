@@ -13,6 +13,7 @@ from topicloom.operators.vectorize import attach_terms, doc_vectors, limit_terms
 from topicloom.operators.vocabulary import term_counts, vocabulary
 from topicloom.session import keep, scratch_path, spread, table_complete
 from topicloom.sources.dictionary import dictionary_complete, read_dictionary
+from topicloom.sources.manifest import digest, read_manifest, write_manifest
 from topicloom.sources.reuse import load_or_build, load_or_fit_dictionary
 from topicloom.sources.warc import read_warc
 
@@ -62,9 +63,13 @@ def load_corpus(
 ) -> Corpus:
     """Read dictionary and vectors if both exist; otherwise build what is missing.
 
-    ``documents`` is a function, called only if the corpus has to be read.
+    ``documents`` is a function, called only if the corpus has to be read.  Saved vectors know
+    the content of their dictionary, and are refused with another one.
     """
     if table_complete(spark, vectors_path) and dictionary_complete(spark, dictionary_path):
+        made_with = read_manifest(spark, vectors_path).get("dictionary")
+        if made_with and made_with != _terms(read_dictionary(spark, dictionary_path)):
+            raise ValueError(f"the vectors at {vectors_path} were made with another dictionary")
         # Both may have been saved with more terms than are asked for.
         return Corpus(
             read_dictionary(spark, dictionary_path, vocab_size),
@@ -87,7 +92,14 @@ def load_corpus(
     if vectors_path and table_complete(spark, vectors_path):
         # Vectors without their dictionary are stale: term ids may have changed.
         vectors().write.mode("overwrite").parquet(vectors_path)
-    return Corpus(dictionary, load_or_build(spark, vectors_path, vectors))
+    loaded = load_or_build(spark, vectors_path, vectors)
+    if vectors_path and dictionary_path:
+        write_manifest(spark, vectors_path, {"dictionary": _terms(read_dictionary(spark, dictionary_path))})
+    return Corpus(dictionary, loaded)
+
+
+def _terms(dictionary: DataFrame) -> str:
+    return digest(dictionary, ["term", "term_id"])
 
 
 def vocabulary_width(dictionary: DataFrame) -> int:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from topicloom.operators.lda.em import fit_em
 from topicloom.operators.lda.mllib import PRIOR_OFFSET, fit_ml, model_from_ml, train_perplexity
+from topicloom.operators.lda.online import fit_online, topic_probs
 from topicloom.operators.lda.sampler import fit_sampler
 from topicloom.operators.model import describe_topics, heldout_perplexity, topic_word_probs
 from topicloom.operators.partitioning import repartition_documents
@@ -22,8 +23,8 @@ from topicloom.sources.model_file import export_model
 # Algorithm names and the number of fold-in rounds in evaluation.
 SAMPLERS = {"mh": 50, "naive": 50}
 ML_TRAINERS = {"sparkem": 20, "sparkonline": 20}
-#: Expectation maximisation whose model stays a table, for any number of terms and topics.
-TABLE_TRAINERS = {"em": 20}
+#: The same two kinds of trainers with the model as a table, for any number of terms and topics.
+TABLE_TRAINERS = {"em": 20, "online": 20}
 TOP_TERMS = 50
 
 
@@ -54,7 +55,7 @@ class RunConfig:
 
     def __post_init__(self):
         if self.algorithm not in SAMPLERS | ML_TRAINERS | TABLE_TRAINERS:
-            raise ValueError("algorithm must be sparkonline, sparkem, em, mh or naive")
+            raise ValueError("algorithm must be sparkonline, sparkem, online, em, mh or naive")
         for name in ("iterations", "mh_steps", "partitions", "k", "vocab_size", "checkpoint_every"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
@@ -117,7 +118,10 @@ def run(
         )
         terms = corpus.dictionary.select("term_id")
         probs = topic_word_probs(model.word_topic, model.totals, terms, c.k, width, c.beta)
-    elif c.algorithm in TABLE_TRAINERS:
+    elif c.algorithm == "online":
+        model = fit_online(train, width, c.k, c.iterations, c.alpha, c.beta, c.seed)
+        probs = topic_probs(model)
+    elif c.algorithm == "em":
         model = fit_em(
             train, width, c.k, c.iterations, c.alpha + PRIOR_OFFSET, c.beta + PRIOR_OFFSET, c.seed
         )
