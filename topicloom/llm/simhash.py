@@ -41,6 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from topicloom.llm.common import bounds, chunks, mixed, released, with_uid, written
 from topicloom.llm.contract import components
@@ -50,6 +51,8 @@ SEED = 42
 SIMILARITY = 0.8
 #: Counters of shingles, by the top bits of their hashes; in chunks for the shuffle.
 CELL_BITS, CHUNK_BITS = 20, 16
+#: Cells of the profile of a set, a byte each.
+PROFILE = 256
 CELLS = 2**CELL_BITS
 #: Rows of a bucket that meet at once, and open pairs a node that are compared without leaders.
 BLOCK, PAIRS_EACH = 256, 8
@@ -337,9 +340,37 @@ def prefix_keys(members: np.ndarray, counts: np.ndarray, similarity: float) -> n
     return members[order[:size]]
 
 
+def profile(members: np.ndarray) -> bytes:
+    """How many members fall into each of ``PROFILE`` cells, 255 standing for more: what two
+    sets have in common is at most the sum of the smaller counts."""
+    cells = (members % np.uint64(PROFILE)).astype(np.int64)
+    return np.minimum(np.bincount(cells, minlength=PROFILE), 255).astype(np.uint8).tobytes()
+
+
+def _alike(similarity: float):
+    """The pairs (a, b) of sizes n_a, n_b that their profiles x and y allow to be similar."""
+
+    @released
+    def alike(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                x, y = (
+                    np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, PROFILE)
+                    for c in ("x", "y")
+                )
+                n_a, n_b = (part.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+                most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                full = ((x == 255) & (y == 255)).any(axis=1)  # these counts are not known
+                near = full | (most >= similarity * (n_a + n_b - most) - 1e-9)
+                yield part.select(["a", "b"]).filter(pa.array(near))
+
+    return alike
+
+
 def _keyed(size: int, similarity: float, counters):
-    """(node, n, keys): the keys of each text with words; one that no other has is left out,
-    as a null, where its counter tells so."""
+    """(node, n, profile, keys): the keys of each text with words; one that no other has is
+    left out, as a null, where its counter tells so."""
 
     @released
     def key(batches):
@@ -358,9 +389,10 @@ def _keyed(size: int, similarity: float, counters):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).filter(pa.array(kept)),
-                        pa.array([len(s) for s in sets if len(s)], pa.int32()), lists,
+                        pa.array([len(s) for s in sets if len(s)], pa.int32()),
+                        pa.array([profile(s) for s in sets if len(s)], pa.binary()), lists,
                     ],
-                    ["node", "n", "keys"],
+                    ["node", "n", "profile", "keys"],
                 )
 
     return key
@@ -426,7 +458,9 @@ def _shared_keys(dealt: DataFrame, similarity: float) -> DataFrame:
     return dealt
 
 
-def similar_groups(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def similar_groups(
+    buckets: DataFrame, profiles: DataFrame, sets: DataFrame, similarity: float
+) -> DataFrame:
     """(node, root): components of the confirmed pairs within ``buckets`` (key, node, n, pos).
 
     A round confirms one pair for each node, with a leader of one of its buckets, so that
@@ -449,7 +483,7 @@ def similar_groups(buckets: DataFrame, sets: DataFrame, similarity: float) -> Da
         left = sizes.agg(F.sum((F.col("size") * F.col("size") - F.col("within")) / 2)).first()[0] or 0
         last = turn > 0 and (left <= most or left > 0.9 * before)
         pairs = _open_pairs(named, sizes, similarity) if last else _leader_pairs(named, sizes, turn, similarity)
-        pairs = written(pairs.select("a", "b").distinct(), "pairs")
+        pairs = written(_profiled(pairs.select("a", "b").distinct(), profiles, similarity), "pairs")
         links = written(confirmed(pairs, sets, similarity), "links")
         found = links if found is None else found.unionByName(links)
         roots = written(components(found), "roots")
@@ -458,6 +492,15 @@ def similar_groups(buckets: DataFrame, sets: DataFrame, similarity: float) -> Da
         before, turn = left, turn + 1
 
 
+def _profiled(pairs: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) that the ``profiles`` (node, n, profile) do not rule out."""
+    x = profiles.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("profile").alias("x"))
+    y = profiles.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("profile").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(
+        _alike(similarity), "a long, b long"
+    )
+
+
 def _leader_pairs(named: DataFrame, sizes: DataFrame, turn: int, similarity: float) -> DataFrame:
     """(a, b): each node with one leader of another component, if it meets any.
 
@@ -522,17 +565,22 @@ def without_near_duplicates(
     found = signed.where("uid IS NOT NULL").select("uid", "same")
     firsts = written(found.groupBy("same").agg(F.min("uid").alias("node")), "firsts")
     counters = docs.sparkSession.sparkContext.broadcast(_counters(signed))
-    dealt = texts.join(firsts.select(F.col("node").alias("uid")), "uid", "left_semi").mapInArrow(
-        _keyed(shingle, similarity, counters), "node long, n int, keys array<long>"
-    )
-    dealt = dealt.select(F.posexplode("keys").alias("pos", "key"), "node", "n").where("key IS NOT NULL")
-    buckets = _shared_keys(written(dealt, "keys"), similarity)
-    wanted = buckets.select(F.col("node").alias("uid")).distinct()
-    sets = written(
-        texts.join(wanted, "uid", "left_semi").mapInArrow(_shingled(shingle), "node long, shingles binary"),
-        "shingles",
+    # Texts stay where they are: keys are few bytes beside them.
+    keyed = texts.mapInArrow(
+        _keyed(shingle, similarity, counters), "node long, n int, profile binary, keys array<long>"
     )
-    roots = similar_groups(buckets, sets, similarity)
+    keyed = written(keyed.join(firsts, "node", "left_semi"), "keyed")
+    dealt = keyed.select(F.posexplode("keys").alias("pos", "key"), "node", "n").where("key IS NOT NULL")
+    buckets = _shared_keys(dealt, similarity)
+    wanted = written(buckets.select("node").distinct(), "wanted")
+    profiles = written(keyed.join(wanted, "node", "left_semi").select("node", "n", "profile"), "profiles")
+    # Every round meets the sets; they are placed by node once.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = texts.join(wanted.select(F.col("node").alias("uid")), "uid", "left_semi")
+    sets = sets.mapInArrow(_shingled(shingle), "node long, shingles binary").repartition(parts, "node")
+    sets = sets.persist(StorageLevel.DISK_ONLY)
+    roots = similar_groups(buckets, profiles, sets, similarity)
+    sets.unpersist()
     first = roots.groupBy("root").agg(F.min("node").alias("node"))
     later = roots.select("node").join(first.select("node"), "node", "left_anti")
     copies = found.select("uid").join(firsts.select(F.col("node").alias("uid")), "uid", "left_anti")
