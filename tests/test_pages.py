@@ -1,4 +1,5 @@
 import gzip
+import random
 import time
 
 import pytest
@@ -148,3 +149,55 @@ def test_damaged_files_keep_their_good_records(spark, tmp_path):
     assert by_file["cut.warc.gz"][0] == ("response", False)
     assert by_file["cut.warc.gz"][-1] == (None, True)
     assert by_file["junk.warc"] == [(None, True), ("response", False)]
+
+
+def members(n, rng):
+    """Gzipped records one a member, some with a member head or a record in the payload."""
+    packed = []
+    for i in range(n):
+        noise = bytes(rng.randrange(256) for _ in range(rng.choice([10, 3000, 90_000])))
+        inner = gzip.compress(b"not a record") + gzip.compress(record("request", "fake", b"x")) if i % 3 == 0 else b""
+        # Stored without compression, so that heads in the payload can be seen in the file.
+        packed.append(gzip.compress(record("response", f"d{i}", inner + noise), compresslevel=9))
+    return packed
+
+
+@pytest.mark.parametrize("split", [1000, 50_000, 400_000])
+def test_ranges_of_a_gzipped_archive_equal_one_task(spark, tmp_path, split):
+    rng = random.Random(split)
+    packed = members(30, rng)
+    (tmp_path / "many.warc.gz").write_bytes(b"".join(packed))
+    # Members that go on with a record, zero padding, and a file that is one member.
+    whole = b"".join(record("response", f"s{i}", b"y" * 700) for i in range(40))
+    (tmp_path / "cut.warc.gz").write_bytes(b"".join(gzip.compress(whole[a : a + 999]) for a in range(0, len(whole), 999)) + b"\0" * 2000)
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(whole))
+    (tmp_path / "plain.warc").write_bytes(whole)
+    one = warc.warc_from_files(spark, str(tmp_path), split_bytes=2**30)
+    cut = warc.warc_from_files(spark, str(tmp_path), split_bytes=split)
+    columns = ["path", "record_id", "payload", "error"]
+    want = sorted(one.select(*columns).collect(), key=repr)
+    assert sorted(cut.select(*columns).collect(), key=repr) == want and len(want) == 30 + 3 * 40
+    assert cut.select("path", "record_no").distinct().count() == len(want)
+    if split < 50_000:
+        tasks = cut.where("path LIKE '%many%'").selectExpr("spark_partition_id() AS p").distinct().count()
+        assert cut.rdd.getNumPartitions() > 30 and tasks > 5
+
+
+def test_filters_are_settled_by_the_reader(spark, archive):
+    """The same rows with and without the setting; pushed filters leave the plan."""
+    records = warc.warc_from_files(spark, str(archive))
+    asked = [
+        "warc_type = 'response'", "warc_type = 'response' AND error IS NULL", "target_uri = 'x'",
+        "warc_type IN ('request', 'warcinfo')", "warc_type = 'response' AND warc_type = 'request'",
+    ]
+    want = [sorted(records.where(a).collect(), key=repr) for a in asked]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        records = warc.warc_from_files(spark, str(archive))
+        plan = records.where(asked[0])._jdf.queryExecution().executedPlan().toString()
+        assert "= response" not in plan and "BatchScan" in plan
+        assert [sorted(records.where(a).collect(), key=repr) for a in asked] == want
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    heads = warc.warc_from_files(spark, str(archive), payloads=False).collect()
+    assert len(heads) == 12 and all(r.payload is None and r.headers for r in heads)
