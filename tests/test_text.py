@@ -156,3 +156,28 @@ def test_memo_is_bounded_and_exact(spark, documents):
     memo = tk.stem_memo(stemmed, 200)
     assert 0 < memo.count() < 200
     assert memo.count() == stemmed.where(F.col("n") * 200 > total).count()
+
+
+# Examples of Porter (1980), and words that the default variant stems in another way.
+PUBLISHED = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster
+bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall
+hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit
+rational ration valenci valenc digitizer digit conformabli conform radicalli radic differentli differ vileli vile
+analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis
+hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic
+formative form formalize formal electriciti electr electrical electr hopeful hope goodness good revival reviv
+allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens
+irritant irrit replacement replac adjustment adjust dependent depend adoption adopt communism commun
+activate activ homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas
+controll control roll roll dying dy flying fly fixing fix toyed toi element element""".split()
+
+
+def test_published_stems(spark):
+    df = spark.createDataFrame(list(zip(PUBLISHED[::2], PUBLISHED[1::2], strict=True)), "w string, s string")
+    got = df.withColumn("got", porter_stem(F.col("w"), "published"))
+    assert got.where("got <> s").collect() == []
+    other = df.where(porter_stem(F.col("w")) != F.col("s")).select("w").collect()
+    assert {"feed", "dying", "fixing", "element"} <= {r.w for r in other}
+    cleaned = spark.createDataFrame([("flying",), ("flying",)], "token string")
+    assert tk.stem_vocabulary(cleaned, "published").first().stem == "fly"
+    assert tk.stem_vocabulary(cleaned).first().stem == "flying"

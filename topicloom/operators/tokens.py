@@ -59,10 +59,10 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("n"))
 
 
-def stem_vocabulary(cleaned: DataFrame) -> DataFrame:
+def stem_vocabulary(cleaned: DataFrame, variant: str = "default") -> DataFrame:
     """``(token, stem, n)``: every distinct cleaned token, stemmed once."""
     return token_counts(cleaned).select(
-        "token", F.explode(stem_box(F.col("token"))).alias("stem"), "n"
+        "token", F.explode(stem_box(F.col("token"), variant)).alias("stem"), "n"
     )
 
 
