@@ -41,7 +41,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from topicloom.llm.common import bounds, chunks, mixed, released, with_uid, written
 from topicloom.llm.contract import components
@@ -51,6 +50,8 @@ SEED = 42
 SIMILARITY = 0.8
 #: Counters of shingles, by the top bits of their hashes; in chunks for the shuffle.
 CELL_BITS, CHUNK_BITS = 20, 16
+#: Bits of the map of nodes whose sets are wanted.
+MAP_BITS = 24
 #: Cells of the profile of a set, a byte each.
 PROFILE = 256
 CELLS = 2**CELL_BITS
@@ -413,6 +414,63 @@ def _shingled(size: int):
     return shingle
 
 
+def _marked(batches):
+    """The bits of nodes, as positions within chunks of the bitmap."""
+    for batch in batches:
+        bits = _bits(batch.column("node").to_numpy())
+        chunk = bits >> CHUNK_BITS
+        order = np.argsort(chunk, kind="stable")
+        bits, chunk = bits[order], chunk[order]
+        cuts = np.flatnonzero(np.diff(chunk, prepend=-1))
+        rows = [(bits[a:b] & (2**CHUNK_BITS - 1)).astype("<u2").tobytes() for a, b in zip(cuts, [*cuts[1:], len(bits)])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(chunk[cuts].astype(np.int32)), pa.array(rows, pa.binary())], ["chunk", "bits"]
+        )
+
+
+def _mapped(batches):
+    """The chunks of the bitmap; a task holds its chunks alone."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, bits in zip(batch.column("chunk").to_pylist(), batch.column("bits").to_pylist()):
+            held.setdefault(chunk, np.zeros(2**CHUNK_BITS, bool))[np.frombuffer(bits, "<u2")] = True
+    packed = [np.packbits(bits).tobytes() for bits in held.values()]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(held.keys(), pa.int32()), pa.array(packed, pa.binary())], ["chunk", "bits"]
+    )
+
+
+def _bits(nodes: np.ndarray) -> np.ndarray:
+    return (mixed(nodes.astype(np.int64).view(np.uint64)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def bitmap(nodes: DataFrame) -> np.ndarray:
+    """A bit for each hash of ``nodes`` (node): two megabytes, whatever their number."""
+    told = nodes.mapInArrow(_marked, "chunk int, bits binary").repartition("chunk")
+    bits = np.zeros((2**MAP_BITS >> CHUNK_BITS, 2**CHUNK_BITS // 8), np.uint8)
+    for row in told.mapInArrow(_mapped, "chunk int, bits binary").toArrow().to_pylist():
+        bits[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
+    return bits.ravel()
+
+
+def sets_of(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the ``texts`` (uid, text) of ``nodes``, and of few others.
+
+    The texts are read where they lie and never shuffled; the bitmap, of a fixed size, says
+    which to work on.  Where it is crowded more sets travel, which changes no result.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(bitmap(nodes))
+    shingled = _shingled(size)
+
+    def chosen(batches):
+        for batch in batches:
+            bits = _bits(batch.column("uid").to_numpy())
+            wanted = (sent.value[bits >> 3] >> (7 - (bits & 7)).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(wanted == 1))
+
+    return texts.mapInArrow(lambda batches: shingled(chosen(batches)), "node long, shingles binary")
+
+
 def _confirm(similarity: float):
     """The pairs (a, b) whose sets x and y have this Jaccard similarity at least."""
 
@@ -459,7 +517,7 @@ def _shared_keys(dealt: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_groups(
-    buckets: DataFrame, profiles: DataFrame, sets: DataFrame, similarity: float
+    buckets: DataFrame, profiles: DataFrame, texts: DataFrame, shingle: int, similarity: float
 ) -> DataFrame:
     """(node, root): components of the confirmed pairs within ``buckets`` (key, node, n, pos).
 
@@ -484,7 +542,8 @@ def similar_groups(
         last = turn > 0 and (left <= most or left > 0.9 * before)
         pairs = _open_pairs(named, sizes, similarity) if last else _leader_pairs(named, sizes, turn, similarity)
         pairs = written(_profiled(pairs.select("a", "b").distinct(), profiles, similarity), "pairs")
-        links = written(confirmed(pairs, sets, similarity), "links")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+        links = written(confirmed(pairs, sets_of(texts, ends, shingle), similarity), "links")
         found = links if found is None else found.unionByName(links)
         roots = written(components(found), "roots")
         if last:
@@ -574,13 +633,7 @@ def without_near_duplicates(
     buckets = _shared_keys(dealt, similarity)
     wanted = written(buckets.select("node").distinct(), "wanted")
     profiles = written(keyed.join(wanted, "node", "left_semi").select("node", "n", "profile"), "profiles")
-    # Every round meets the sets; they are placed by node once.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = texts.join(wanted.select(F.col("node").alias("uid")), "uid", "left_semi")
-    sets = sets.mapInArrow(_shingled(shingle), "node long, shingles binary").repartition(parts, "node")
-    sets = sets.persist(StorageLevel.DISK_ONLY)
-    roots = similar_groups(buckets, profiles, sets, similarity)
-    sets.unpersist()
+    roots = similar_groups(buckets, profiles, texts, shingle, similarity)
     first = roots.groupBy("root").agg(F.min("node").alias("node"))
     later = roots.select("node").join(first.select("node"), "node", "left_anti")
     copies = found.select("uid").join(firsts.select(F.col("node").alias("uid")), "uid", "left_anti")
