@@ -49,13 +49,20 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_derive.derive(responses).drop("source_id", "date", "block")
 
 
+#: Words of a line of a quote.
+WRAP = 9
+
+
 def quoting(messages: DataFrame) -> DataFrame:
-    """Every message with the one before it quoted, and the one before that quoted twice."""
+    """Every message with the one before it quoted, and the one before that quoted twice; the
+    quotes are wrapped anew."""
     texts = messages.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
 
     def quoted(back, mark):
-        lines = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit(mark), x, F.lit("\n")))
-        return texts.select(
+        line = lambda i: F.concat(F.lit(mark), F.array_join(F.slice("words", i, WRAP), " "), F.lit("\n"))
+        lines = F.transform(F.sequence(F.lit(1), F.size("words"), F.lit(WRAP)), line)
+        return texts.withColumn("words", words).where(F.size("words") > 0).select(
             "conv_id", (F.col("turn") + back).alias("turn"), F.array_join(lines, "").alias(f"quote{back}")
         )
 

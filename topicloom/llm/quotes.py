@@ -1,32 +1,50 @@
 """Quotation linking: conversations in reply order, without quotes.
 
-A line's quote level is the number of ``>`` signs before it.  Lines are normalised (lower
-case, single spaces) and hashed; a quoted line belongs to the latest earlier message of
-its conversation that has the line as its own.  A message answers the message to which
-most of its least-nested linked lines belong (of equals the latest); where none is linked
+A line's quote level is the number of ``>`` signs before it.  Adjacent lines of one level
+are a passage; its words (A-Z in lower case) are joined over line ends, so a passage that
+a mail program wrapped anew stays the same.  A quoted passage is hashed in consecutive
+pieces of ``RUN`` words, of which the last ends with the passage; messages offer the
+hashes of all runs of ``RUN`` words of their own passages.  What is shorter than that is
+one piece, a whole passage or a line of its own.  A quoted piece belongs to the latest
+earlier message of its conversation that has it.  A message answers the message to which
+most of its least-nested linked pieces belong (of equals the latest); where none is linked
 it opens a thread.
 
-Messages are parsed row by row.  Lines meet by (conversation, hash, stretch of turns):
+Messages are parsed row by row.  Pieces meet by (conversation, hash, stretch of turns):
 within a stretch by a running maximum, across stretches by the maximum of each stretch, so
 neither a line that everyone writes nor a conversation with a third of all rows is one
-task's work, and no pairs are made.  Threads are found by pointer doubling: twice as far
-up each round, by joins on (conversation, turn), in tables in the shared folder.
-
-Every row gives a row.  Rows of the same conversation and turn are one message when lines
-are linked.  A null text has no lines, blank lines are not linked, and rows with a null
-conversation or turn are threads of their own.  Extra columns are ignored.
+task's work, and no pairs of messages are made.  Threads are found by pointer doubling:
+twice as far up each round, by joins on (conversation, turn), in tables in the shared
+folder.
+
+Every row gives a row.  Rows of the same conversation and turn are one message when pieces
+are linked.  A null text has no lines, blank lines part no passage and are not linked, and
+rows with a null conversation or turn are threads of their own.  Texts of any length are
+read whole; their pieces leave the task in batches.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from topicloom.llm.common import written
+from topicloom.llm.common import chunks, released, written
+from topicloom.session import ship_package
 
 STRETCH = 1024
+#: Words of a piece of a passage.
+RUN = 5
+#: Pieces that a task holds before it hands them on.
+HELD = 100_000
 _PREFIX = "^(?:[ \\t]*>)+[ \\t]?"
+_QUOTED = re.compile(_PREFIX.encode())
 
 
 def parse(messages: DataFrame, conv_col: str, turn_col: str, text_col: str) -> DataFrame:
@@ -44,18 +62,67 @@ def parse(messages: DataFrame, conv_col: str, turn_col: str, text_col: str) -> D
     )
 
 
-def linked_lines(parsed: DataFrame) -> DataFrame:
-    """(conv, turn, level, origin, n): how many quoted lines of a message belong to ``origin``."""
-    normal = F.trim(F.regexp_replace(F.lower("line.text"), "[ \\t]+", " "))
-    lines = parsed.where("conv is not null and turn is not null").select(
-        "conv", "turn", F.explode("lines").alias("line")
-    )
-    lines = lines.withColumn("normal", normal).where("normal <> ''")
-    lines = lines.select(
-        "conv", "turn", F.col("line.level").alias("level"),
-        F.md5(F.col("normal").cast("binary")).alias("hash"),
-    )
-    counted = lines.groupBy("conv", "turn", "level", "hash").agg(F.count("*").alias("n"))
+def passages(text: bytes) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """(level, lines) of the passages of a message; lines are lists of words."""
+
+    def line(x: bytes):
+        prefix = _QUOTED.match(x)
+        return (prefix[0].count(b">"), x[prefix.end() :].split()) if prefix else (0, x.split())
+
+    lines = map(line, text.lower().split(b"\n"))
+    for level, run in groupby((x for x in lines if x[1]), key=lambda x: x[0]):
+        yield level, [words for _, words in run]
+
+
+def pieces(level: int, lines: list[list[bytes]]) -> Iterator[bytes]:
+    """The pieces of a passage: what it offers if it is a message's own, else what it asks for."""
+    words = [w for own in lines for w in own]
+    last = len(words) - RUN
+    if last < 0:
+        yield from dict.fromkeys(b" ".join(x) for x in (words, *lines))
+        return
+    starts = range(last + 1) if level == 0 else [*range(0, last, RUN), last]
+    for a in starts:
+        yield b" ".join(words[a : a + RUN])
+    if level == 0:
+        yield from (b" ".join(own) for own in lines if len(own) < RUN)
+
+
+@released
+def _pieces(batches):
+    def batch_of(part, at, levels, hashes):
+        rows = part.select(["conv", "turn"]).take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [*rows.columns, pa.array(levels, pa.int32()), pa.array(hashes, pa.binary())],
+            ["conv", "turn", "level", "hash"],
+        )
+
+    for batch in batches:
+        for part, texts in chunks(batch, "text"):
+            at, levels, hashes = [], [], []
+            for i, text in enumerate(texts):
+                for level, lines in passages(text):
+                    for piece in pieces(level, lines):
+                        at.append(i)
+                        levels.append(level)
+                        hashes.append(xxhash.xxh3_128_digest(piece))
+                        if len(at) >= HELD:
+                            yield batch_of(part, at, levels, hashes)
+                            at, levels, hashes = [], [], []
+            yield batch_of(part, at, levels, hashes)
+
+
+def linked_passages(
+    messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text"
+) -> DataFrame:
+    """(conv, turn, level, origin, n): how many quoted pieces of a message belong to ``origin``."""
+    known = messages.select(
+        F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"),
+        F.col(text_col).cast("string").alias("text"),
+    ).where("conv is not null and turn is not null")
+    conv = known.schema["conv"].dataType.simpleString()
+    told = known.mapInArrow(_pieces, f"conv {conv}, turn long, level int, hash binary")
+    counted = told.groupBy("conv", "turn", "level", "hash").agg(F.count("*").alias("n"))
     stretch = F.floor(F.col("turn") / STRETCH)
     counted = counted.withColumn("stretch", stretch).withColumn(
         "own", F.when(F.col("level") == 0, F.col("turn"))
@@ -109,13 +176,15 @@ def threads(answers: DataFrame) -> DataFrame:
 def reply_order(
     messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text"
 ) -> DataFrame:
-    """Per row: conversation, turn, reply_to, thread (its first turn), depth, n_quoted and
-    n_linked lines, and the text without quotes.
+    """Per row: conversation, turn, reply_to, thread (its first turn), depth, n_quoted lines,
+    n_linked pieces of quoted passages, and the text without quotes.
 
     In the order (conversation, thread, turn) every answer stands behind what it answers.
     """
+    ship_package(messages.sparkSession)
     parsed = parse(messages, conv_col, turn_col, text_col)
-    answers = written(replies(linked_lines(parsed)), "answers")
+    linked = linked_passages(messages, conv_col, turn_col, text_col)
+    answers = written(replies(linked), "answers")
     found = answers.join(threads(answers), ["conv", "turn"])
     quoted = F.filter("lines", lambda x: x["level"] > 0)
     own = F.filter("lines", lambda x: x["level"] == 0)

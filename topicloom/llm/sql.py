@@ -109,27 +109,40 @@ select source_id as refers_to, warc_type, record_id, url as target_uri, content_
 from records
 """
 
-OP5 = """
+OP5 = r"""
 with recursive texts as (
-    select conv_id, turn, min(text) as text from conversations group by all),
+    select conv_id, turn, regexp_extract_all(min(text), '[^\x20\x09-\x0D]+') as w from conversations group by all),
 mail as (
-    select c.conv_id, c.turn,
-        case when b.text is null then [] else
-            list_transform(string_split(b.text, chr(10)), lambda x: {'level': 2, 'text': x}) end
-        || case when a.text is null then [] else
-            list_transform(string_split(a.text, chr(10)), lambda x: {'level': 1, 'text': x}) end
-        || list_transform(string_split(coalesce(c.text, ''), chr(10)), lambda x: {'level': 0, 'text': x}) as lines
+    select c.conv_id, c.turn, c.text, a.w as w1, b.w as w2
     from conversations c
     left join texts a on a.conv_id = c.conv_id and a.turn = c.turn - 1
     left join texts b on b.conv_id = c.conv_id and b.turn = c.turn - 2),
-lines as (
-    select conv_id, turn, u.level as level, trim(regexp_replace(lower(u.text), '[ \\t]+', ' ', 'g')) as normal
-    from (select conv_id, turn, unnest(lines) as u from mail)),
-own as (select distinct conv_id, turn, normal from lines where level = 0 and normal <> ''),
+passages as (
+    select conv_id, turn, unnest([{'level': 1, 'w': w1}, {'level': 2, 'w': w2}]) as p from mail),
+quoted as (
+    select conv_id, turn, p.level as level, p.w as w, len(p.w) as size from passages where len(p.w) > 0),
+asked as (
+    select conv_id, turn, level, w[i : i + 4] as piece
+    from (select *, unnest(list_distinct(range(1, greatest(size - 4, 1), 5) || [greatest(size - 4, 1)])) as i from quoted)),
+wanted as (
+    select conv_id, turn, level, list_transform(piece, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as piece,
+        count(*) as n
+    from asked group by all),
+own_words as (
+    select conv_id, turn, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w,
+        unnest(list_transform(string_split(text, chr(10)), lambda x: regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) as line
+    from conversations),
+offered as (
+    select conv_id, turn, w[i : i + 4] as piece
+    from (select *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from (select distinct conv_id, turn, w from own_words))
+    union all
+    select conv_id, turn, line from own_words where len(line) between 1 and 4),
+own as (
+    select distinct conv_id, turn, list_transform(piece, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as piece
+    from offered where len(piece) > 0),
 linked as (
-    select q.conv_id, q.turn, q.level, q.normal, q.n, max(o.turn) as origin
-    from (select conv_id, turn, level, normal, count(*) as n from lines where level > 0 group by all) q
-    join own o on o.conv_id = q.conv_id and o.normal = q.normal and o.turn < q.turn
+    select q.conv_id, q.turn, q.level, q.piece, q.n, max(o.turn) as origin
+    from wanted q join own o on o.conv_id = q.conv_id and o.piece = q.piece and o.turn < q.turn
     group by all),
 votes as (select conv_id, turn, level, origin, sum(n) as n from linked group by all),
 answers as (
@@ -143,9 +156,9 @@ ways as (
 threads as (select conv_id, turn, min(up) as thread, max(depth) as depth from ways group by all)
 select m.conv_id, m.turn, a.reply_to, coalesce(t.thread, m.turn) as thread,
     cast(coalesce(t.depth, 0) as bigint) as depth,
-    cast(len(list_filter(m.lines, lambda x: x.level > 0)) as bigint) as n_quoted,
+    cast(coalesce(ceil(len(m.w1) / 9), 0) + coalesce(ceil(len(m.w2) / 9), 0) as bigint) as n_quoted,
     cast(coalesce(a.n_linked, 0) as bigint) as n_linked,
-    md5(array_to_string(list_transform(list_filter(m.lines, lambda x: x.level = 0), lambda x: x.text), chr(10))) as text_md5
+    md5(coalesce(m.text, '')) as text_md5
 from mail m
 left join answers a on a.conv_id = m.conv_id and a.turn = m.turn
 left join threads t on t.conv_id = m.conv_id and t.turn = m.turn
