@@ -11,7 +11,9 @@ import pytest
 from compare import compare, duck
 from tokenizers import Tokenizer
 
+from topicloom.functions.html import html_to_text
 from topicloom.llm import ann, decontaminate, phrases, queries, quotes, token_count, warc_derive
+from topicloom.sources import warc
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -241,6 +243,43 @@ def test_derivatives_of_odd_responses(spark):
     made = warc_derive.as_warc(warc_derive.derive(pages.limit(1))).collect()
     assert all(r.value.startswith("WARC/1.0\r\nWARC-Type: ") for r in made)
     assert all(r.value.split("\r\n\r\n", 1)[1].encode().decode() for r in made)
+    undated = warc_derive.as_warc(warc_derive.derive(pages.where("record_id = '<urn:c>'"))).collect()
+    assert len(undated) == 2 and all("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n" in r.value for r in undated)
+    assert warc_derive.derive(pages.where("false")).collect() == []
+
+
+def test_derivatives_keep_the_headers_of_their_source(spark, tmp_path):
+    body = "HTTP/1.1 200 OK\r\nServer: s\r\n\r\n<p>one<p>two"
+    head = (
+        "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://x/\r\n"
+        "WARC-Date: 2020-02-02T00:00:00Z\r\nWARC-Payload-Digest: sha1:ABC\r\nWARC-Block-Digest: sha1:DEF\r\n"
+        f"X-Empty:\r\nContent-Length: {len(body)}\r\n\r\n"
+    )
+    (tmp_path / "a.warc").write_bytes((head + body + "\r\n\r\n").encode())
+    found = warc_derive.responses(warc.read_warc(spark, str(tmp_path / "a.warc")))
+    got = {r.warc_type: r for r in warc_derive.derive(found, "headers").collect()}
+    about = got["metadata"]
+    assert got["conversion"].block == "one two" and about.date == "2020-02-02T00:00:00Z"
+    assert about.refers_to == got["conversion"].refers_to == "<urn:uuid:1>"
+    for line in ("source-warc: WARC-Payload-Digest: sha1:ABC", "source-warc: WARC-Block-Digest: sha1:DEF",
+                 "source-warc: WARC-Date: 2020-02-02T00:00:00Z", "source-http: Server: s"):
+        assert line + "\r\n" in about.block
+    assert "X-Empty" not in about.block
+
+
+def test_plain_text_of_broken_pages(spark, sf_dir):
+    for page, text in [
+        ("", ""), ("a < b &amp; c &lt;d&gt;", "a < b & c <d>"), ("x<b>y</b>z<br>w", "xyz w"),
+        ("<a title='>'>t</a><a title=\">\" b=c>u", "tu"), ("a<!-- <p>x</p> -->b<!-->c<!--->d", "abcd"),
+        ("a<script>if (a</b) '<p>'</SCRIPT >b<style>x", "a b"), ("<title>no</title>yes<x-y>!</x-y>", "yes!"),
+        ("a<!-- open", "a"), ("a<p title='open > b", "a"), ("<", "<"), ("a</>b<?x y?>c<!DOCTYPE html>d", "abcd"),
+        ("&am<b>p;", "&amp;"),
+    ]:
+        assert warc_derive.plain_text(page) == text, page
+    for broken in ("<a =" * 100_000, "<!--" * 100_000, "<script>" * 100_000, "<p '" * 100_000, "<" * 400_000):
+        warc_derive.plain_text(broken)
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    assert [warc_derive.plain_text(p) for p in pages] == [html_to_text(p) for p in pages]
 
 
 def test_replies(spark):

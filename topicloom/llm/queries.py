@@ -45,8 +45,12 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         warc_derive.urn(F.concat(F.lit("page-"), F.col("page_id").cast("string"))).alias("record_id"),
         F.col("url").alias("target_uri"), F.lit(None).cast("string").alias("date"),
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n").alias("http"), "html",
+        F.create_map(
+            F.lit("WARC-Type"), F.lit("response"),
+            F.lit("WARC-Payload-Digest"), F.concat(F.lit("md5:"), F.md5(F.col("html").cast("binary"))),
+        ).alias("headers"),
     )
-    return warc_derive.derive(responses).drop("source_id", "date", "block")
+    return warc_derive.derive(responses, "headers").drop("source_id", "date", "block")
 
 
 #: Words of a line of a quote.

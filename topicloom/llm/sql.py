@@ -94,6 +94,8 @@ about as (
         ("title", "title"), ("language", "lang"), ("charset", "charset"),
         ("source-payload-digest", "html_digest"), ("source-payload-length", "html_length"),
         ("conversion-record-id", "conversion_id"), ("conversion-block-digest", "body_digest")])}
+        || 'source-warc: WARC-Payload-Digest: md5:' || md5(html) || chr(13) || chr(10)
+        || 'source-warc: WARC-Type: response' || chr(13) || chr(10)
         || 'source-http: HTTP/1.1 200 OK' || chr(13) || chr(10)
         || 'source-http: Content-Type: text/html' || chr(13) || chr(10)
         || list_aggregate(list_transform(regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1),

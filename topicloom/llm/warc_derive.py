@@ -1,37 +1,103 @@
 """WARC derivatives: linked metadata and plain-text conversion records of responses.
 
 Each response gives a ``conversion`` record with the page's text, and a ``metadata`` record
-with what the page says about itself, its links, its source headers and digests.  Both
-name the response in WARC-Refers-To and keep its target and date; the metadata names the
+with what the page says about itself, its links, the headers and digests of its source
+record as they stand there, its HTTP headers, and digests of what was read.  Both name the
+response in WARC-Refers-To and keep its target and date; the metadata names the
 conversion.  Record ids follow from the response's id, so a repeated run writes the same
 records.  Rows are derived where they are read: nothing is shuffled.
 
+Text is found in one pass over the page: comments, tags and what scripts, styles and the
+title hold go; elements that do not belong inside a line part words.  What is not closed
+goes on to the end of the page, so time is linear however broken a page is.
+
 Null html is an empty page and still gives both records, with empty text; a null target,
-date or http header stays out of the record.  A response without id is named after its
-target and payload digest.  Repeated responses give repeated records; texts of any length
-are kept whole; extra columns are ignored.
+date, http header or map of headers, and headers without a value, stay out of the record.
+A response without id is named after its target and payload digest.  Repeated responses
+give repeated records; texts of any length are kept whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import html
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.functions.html import html_to_text
-from topicloom.operators.pages import HTTP_HEADER
+from topicloom.llm.common import chunks, released
+from topicloom.session import ship_package
 
 CRLF = "\r\n"
+#: The date of records whose source has none: archives must have one.
+UNDATED = "1970-01-01T00:00:00Z"
+#: Status line and headers, to the first empty line.
+_HTTP_HEAD = "(?s)^HTTP/.*?\r?\n\r?\n"
+
+# Elements within a line, from the HTML standard.
+INLINE = frozenset(
+    """a abbr acronym applet audio b basefont bdi bdo big cite code data datalist del dfn
+    em embed font i iframe img ins kbd label map mark meter object output param picture
+    progress q rp rt ruby s samp slot small source span strike strong sub sup svg time
+    track tt u var wbr""".split()
+)
+_CLOSING = {
+    name: re.compile(rf"</{name}(?=[\s/>])[^>]*", re.IGNORECASE) for name in ("script", "style", "title")
+}
+_NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
+_COMMENT_END = re.compile("--!?>")
+_IN_TAG = re.compile("[>=]")
+_VALUE = re.compile(r"""\s*(?:"[^"]*"?|'[^']*'?)?""")
+_BLANK = re.compile("[ \t\n\f\r]+")
+
+
+def _tag_end(page: str, at: int) -> int:
+    """The place behind a tag whose attributes begin at ``at``; quoted values may hold ``>``."""
+    while found := _IN_TAG.search(page, at):
+        if found[0] == ">":
+            return found.end()
+        at = _VALUE.match(page, found.end()).end()
+    return len(page)
+
+
+def plain_text(page: str) -> str:
+    """The text of a page: entities decoded, white space collapsed and trimmed."""
+    parts, at, size = [], 0, len(page)
+    while at < size:
+        mark = page.find("<", at)
+        if mark < 0:
+            parts.append(html.unescape(page[at:]))
+            break
+        if mark > at:
+            parts.append(html.unescape(page[at:mark]))
+        name = _NAME.match(page, mark + 1)
+        if name:
+            at, kind = _tag_end(page, name.end()), name[1].lower()
+            if kind in _CLOSING and page[mark + 1] != "/":
+                closed = _CLOSING[kind].search(page, at)
+                at = closed.end() + 1 if closed else size
+            if kind not in INLINE and "-" not in kind:
+                parts.append(" ")
+        elif page.startswith("!--", mark + 1):
+            end = _COMMENT_END.search(page, mark + 2)
+            at = end.end() if end else size
+        elif page[mark + 1 : mark + 2] in ("!", "?", "/"):
+            at = page.find(">", mark) + 1 or size
+        else:
+            parts.append("<")
+            at = mark + 1
+    return _BLANK.sub(" ", "".join(parts)).strip(" ")
 
 
 def responses(records: DataFrame) -> DataFrame:
-    """(record_id, target_uri, date, http, html) of the library's WARC records."""
+    """(record_id, target_uri, date, http, html, headers) of the library's WARC records."""
     payload = F.make_valid_utf8(F.col("payload").cast("string"))
-    http = F.regexp_extract(payload, HTTP_HEADER, 0)
+    http = F.regexp_extract(payload, _HTTP_HEAD, 0)
     return records.where("warc_type = 'response'").select(
         F.coalesce("record_id", "trec_id").alias("record_id"), "target_uri",
         F.col("headers")["WARC-Date"].alias("date"), http.alias("http"),
-        F.substring(payload, F.length(http) + 1, F.length(payload)).alias("html"),
+        F.substring(payload, F.length(http) + 1, F.length(payload)).alias("html"), "headers",
     )
 
 
@@ -61,32 +127,42 @@ def _fields(pairs: list[tuple[str, Column]], lists: list[tuple[str, Column]]) ->
     return F.concat(*[F.coalesce(p, F.lit("")) for p in single + many])
 
 
+@released
 def _texts(batches):
     for batch in batches:
-        at = batch.schema.get_field_index("html")
-        text = pa.array([html_to_text(h or "") for h in batch.column(at).to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "text"])
+        for part, pages in chunks(batch, "html"):
+            text = pa.array([plain_text(p.decode("utf-8", "replace")) for p in pages], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns, text], [*part.schema.names, "text"])
 
 
-def derive(pages: DataFrame) -> DataFrame:
+def derive(pages: DataFrame, headers_col: str | None = None) -> DataFrame:
     """Records of the responses (record_id, target_uri, date, http, html): two rows each.
 
+    ``headers_col`` names a map of the source record's headers, as ``responses`` gives it.
+
     source_id, warc_type, record_id, refers_to, target_uri, date, content_type,
     content_length, block_digest, block.
     """
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    ship_package(pages.sparkSession)
+    headers = F.lit(None).cast("map<string,string>") if headers_col is None else F.col(headers_col)
+    page = F.coalesce(F.col("html").cast("string"), F.lit(""))
     source = F.coalesce(
         F.col("record_id").cast("string"),
-        urn(F.concat(F.coalesce("target_uri", F.lit("")), digest(html))),
+        urn(F.concat(F.coalesce("target_uri", F.lit("")), digest(page))),
     )
     known = pages.select(
         source.alias("source_id"), *[F.col(c).cast("string").alias(c) for c in ("target_uri", "date", "http")],
-        html.alias("html"),
+        page.alias("html"), headers.alias("headers"),
+    )
+    named = (
+        "source_id string, target_uri string, date string, http string, html string, "
+        "headers map<string,string>, text string"
     )
-    named = "source_id string, target_uri string, date string, http string, html string, text string"
     with_text = known.mapInArrow(_texts, named)
     conversion_id = urn(F.concat("source_id", F.lit("#conversion")))
     http_lines = F.filter(F.split(F.coalesce("http", F.lit("")), "\r?\n"), lambda x: F.trim(x) != "")
+    given = F.filter(F.array_sort(F.map_entries("headers")), lambda x: F.length(x["value"]) > 0)
+    source_lines = F.transform(given, lambda x: F.concat(x["key"], F.lit(": "), x["value"]))
     title = F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)
     about = _fields(
         [
@@ -99,6 +175,7 @@ def derive(pages: DataFrame) -> DataFrame:
             ("conversion-block-digest", digest(F.col("text"))),
         ],
         [
+            ("source-warc", source_lines),
             ("source-http", http_lines),
             ("outlink", F.regexp_extract_all("html", F.lit("(?i)<a\\s[^>]*href=\"([^\"]*)\""), 1)),
         ],
@@ -122,14 +199,14 @@ def derive(pages: DataFrame) -> DataFrame:
     )
 
 
-def as_warc(records: DataFrame) -> DataFrame:
+def as_warc(records: DataFrame, undated: str = UNDATED) -> DataFrame:
     """(value): each record in the WARC 1.0 format but for its closing blank lines, for a
-    text sink with the line separator ``\\r\\n\\r\\n``."""
+    text sink with the line separator ``\\r\\n\\r\\n``.  Records without date get ``undated``."""
     head = _fields(
         [
             ("WARC-Type", F.col("warc_type")), ("WARC-Record-ID", F.col("record_id")),
             ("WARC-Refers-To", F.col("refers_to")), ("WARC-Target-URI", F.col("target_uri")),
-            ("WARC-Date", F.col("date")), ("WARC-Block-Digest", F.col("block_digest")),
+            ("WARC-Date", F.coalesce("date", F.lit(undated))), ("WARC-Block-Digest", F.col("block_digest")),
             ("Content-Type", F.col("content_type")),
             ("Content-Length", F.col("content_length").cast("string")),
         ],
