@@ -33,6 +33,7 @@ from pyspark.sql.window import Window
 from pyspark.storagelevel import StorageLevel
 
 from topicloom.llm.common import bounds, written
+from topicloom.session import ship_package
 
 DEGREE, TREES, LEAF = 24, 2, 2048
 ROUNDS, ENOUGH = 12, 0.002
@@ -227,6 +228,7 @@ def build(
 ) -> Index:
     """Index every usable row."""
     spark = vectors.sparkSession
+    ship_package(spark)
     rows = usable(vectors, id_col, vector_col)
     named = rows.groupBy("x").agg(F.min("id").alias("node"))
     named = written(named, "vectors")

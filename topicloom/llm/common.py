@@ -17,6 +17,8 @@ from topicloom.session import scratch_path
 
 #: Text that one step of a Python worker holds as separate objects.
 CHUNK_BYTES = 4 * 2**20
+#: Bytes of the keys of a memo.
+MEMO_BYTES = 16 * 2**20
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -85,15 +87,17 @@ def released(function):
 
 
 class Memo(dict):
-    """Values of a function of the key, forgotten when there are too many."""
+    """Values of a function of the key, forgotten when there are too many, or too many bytes of keys."""
 
     def __init__(self, function, most: int):
         super().__init__()
-        self.function, self.most = function, most
+        self.function, self.most, self.held = function, most, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        if len(self) >= self.most or self.held > MEMO_BYTES:
             self.clear()
+            self.held = 0
+        self.held += len(key)
         value = self[key] = self.function(key)
         return value
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from topicloom.llm.common import released, written
 from topicloom.llm.contract import components
 from topicloom.operators.topk import top_k
-from topicloom.session import broadcast_if_small
+from topicloom.session import broadcast_if_small, ship_package
 
 SIMILARITY = 0.93
 #: Points of a leaf, rows of the sample that shapes a split, and children of a cell.
@@ -440,6 +440,7 @@ def near_vectors(
 ) -> DataFrame:
     """(id, n_links, component_id, kept) of every row: other rows linked directly, the smallest
     id that links reach, and whether that is its own."""
+    ship_package(vectors.sparkSession)
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = vectors.select(
         F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"),

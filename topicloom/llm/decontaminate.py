@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicloom.llm.common import bounds, chunks, released, with_uid
+from topicloom.session import ship_package
 
 WINDOW = 13
 #: A document is contaminated if one in so many of its words is hit, or more.
@@ -237,6 +238,7 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_words: int
 def _found(docs: DataFrame, benchmark, item_col, text_col, shard_words, extra, column="text", field=None):
     """Search results of the rows of ``docs``: uid, text and the column ``extra``, or uid
     and the struct column ``extra`` with the text as its ``field``."""
+    ship_package(docs.sparkSession)
     send = docs.sparkSession.sparkContext.broadcast
     schema = T.StructType([*T.StructType.fromDDL(_SCHEMA), extra])
     parts = [

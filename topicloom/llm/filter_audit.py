@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import chunks, released, written
+from topicloom.session import ship_package
 
 FILTERS = "ABCDE"
 MIN_WORDS = 200
@@ -73,6 +74,7 @@ def _judged(batches):
 
 def judge(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFrame:
     """(id, part, failed, same): the bits of the failed filters A to E of each row."""
+    ship_package(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),

@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.common import bounds, chunks, released, written
 from topicloom.llm.token_count import Merges, byte_letters
+from topicloom.session import ship_package
 
 LENGTH = 2048
 WIDTH, DIMENSIONS, BITS = 64, 3, 16
-WORD_MEMO = 200_000
+#: Entries of the memo, and bytes of their words.
+WORD_MEMO, MEMO_BYTES = 200_000, 16 * 2**20
 
 
 
@@ -180,6 +182,7 @@ class Encoder:
         self.tokenizer, self.words = _tokenizer(definition), WordMerges.of(definition)
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
+        self.held = 0
         self.end = np.array([end_id], "<u4").tobytes()
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [t.content.lower() for t in added]
@@ -200,9 +203,10 @@ class Encoder:
 
     def _each(self, words: list[bytes]) -> list[bytes]:
         """The ids of distinct words."""
-        if len(self.known) > WORD_MEMO:
-            self.known, self.before = {}, self.known
+        if len(self.known) > WORD_MEMO or self.held > MEMO_BYTES:
+            self.known, self.before, self.held = {}, self.known, 0
         unknown = set(words).difference(self.known)
+        self.held += sum(map(len, unknown))
         self._recall(unknown)
         if new := unknown.difference(self.before):
             self._learn(new)
@@ -243,6 +247,7 @@ class Encoder:
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, definition: str, end_id: int) -> DataFrame:
     """(uid, id, key, n, ids): ids as little-endian numbers of 16 bits, or 32 if need be."""
+    ship_package(docs.sparkSession)
     vocabulary = max(_tokenizer(definition).get_vocab(with_added_tokens=True).values(), default=0)
     narrow = max(vocabulary, end_id) < 2**16
     send = docs.sparkSession.sparkContext.broadcast((definition, split_letters(definition)))

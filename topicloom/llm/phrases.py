@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import bounds, mixed, release, window_hashes, word_hashes
+from topicloom.session import ship_package
 
 WINDOW, PHRASE = 35, 12
 BLOCK_BYTES = 4 * 2**20
@@ -258,6 +259,7 @@ def _remove(window: int):
 def _repeats(docs: DataFrame, row, text_col: str, window: int, phrase: int) -> DataFrame:
     """row, text, n_words, n_removed, kept for each row of ``docs``."""
     spark = docs.sparkSession
+    ship_package(spark)
     text = F.col(text_col).cast("string")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))

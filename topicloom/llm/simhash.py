@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.common import bounds, chunks, mixed, released, with_uid, written
 from topicloom.llm.contract import components
+from topicloom.session import ship_package
 
 RADIUS = 3
 SEED = 42
@@ -116,6 +117,7 @@ def _fingerprint(size: int):
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(id, fp): the fingerprint as a signed long."""
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_fingerprint(shingle), f"id {kind}, fp long")
@@ -616,6 +618,7 @@ def without_near_duplicates(
     ``docs`` must be read from files (or a checkpoint): it is read three times, and rows
     are told apart by their place.
     """
+    ship_package(docs.sparkSession)
     rows = with_uid(docs, text=F.col(text_col).cast("string"))
     texts = rows.select("uid", "text")
     signed = written(

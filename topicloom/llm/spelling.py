@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicloom.llm.common import chunks, released, written
-from topicloom.session import cut_lineage
+from topicloom.session import cut_lineage, ship_package
 
 MIN_LENGTH = 6
 MIN_COUNT = 5
@@ -86,6 +86,7 @@ def word_counts(
     min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT,
 ) -> DataFrame:
     """(word, n) of the words of at least ``min_length`` code points and ``min_count`` occurrences."""
+    ship_package(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")
     )

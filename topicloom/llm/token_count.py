@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import bounds, chunks, released
+from topicloom.session import ship_package
 
 #: White space, and the pattern that splits text for these vocabularies.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE = r"\t-\r \x85\xa0  -     　"
 
-MEMO = 300_000
+#: Entries of the memo, and bytes of their words.
+MEMO, MEMO_BYTES = 300_000, 16 * 2**20
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -152,6 +154,7 @@ class Counter:
         self.special = re.compile("|".join(map(re.escape, merges.special))) if merges.special else None
         self.known: dict[str, int] = {}
         self.before: dict[str, int] = {}
+        self.held = 0
 
     def _pieces(self, text: str) -> tuple[list[str], int]:
         if self.special is None or not self.special.search(text):
@@ -168,9 +171,10 @@ class Counter:
     def count(self, texts: list[str]) -> np.ndarray:
         cut = [self._pieces(t) for t in texts]
         flat = [p for pieces, _ in cut for p in pieces]
-        if len(self.known) > MEMO:  # what was not used since the last time goes
-            self.known, self.before = {}, self.known
+        if len(self.known) > MEMO or self.held > MEMO_BYTES:  # what was not used since the last time goes
+            self.known, self.before, self.held = {}, self.known, 0
         unknown = set(flat).difference(self.known)
+        self.held += sum(map(len, unknown))
         self.known.update((p, self.before[p]) for p in unknown.intersection(self.before))
         new = list(unknown.difference(self.before))
         if new:
@@ -186,6 +190,7 @@ def token_counts(
     limit: int = 512,
 ) -> DataFrame:
     """Per row: id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens)."""
+    ship_package(docs.sparkSession)
     merges = docs.sparkSession.sparkContext.broadcast(Merges(*read_vocabulary(vocabulary_path)))
 
     @released

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicloom.llm.common import bounds, chunks, released, written
+from topicloom.session import ship_package
 
 ORDER = 6
 #: Absolute discounts: of continuation and pooled counts, and of a class's own counts, so
@@ -44,7 +45,8 @@ SHARED = 2.0
 #: About so many labelled documents at most, drawn by hash of their id, fit the logistic curve.
 CALIBRATION_ROWS = 100_000
 LABEL_BYTES = 64 * 2**20
-WORD_MEMO = 200_000
+#: Entries of the memo, and bytes of their words.
+WORD_MEMO, MEMO_BYTES = 200_000, 16 * 2**20
 
 _START, _END = "\x01", "\x02"
 _LETTERS = bytes(
@@ -194,7 +196,7 @@ class WordRatios:
     """Log-ratios of words: sums of those of their n-grams, remembered for frequent words."""
 
     def __init__(self, table: RatioTable):
-        self.table, self.known = table, {}
+        self.table, self.known, self.held = table, {}, 0
 
     def _learn(self, words: list[bytes]) -> None:
         start, end = _START.encode() * (ORDER - 1), _END.encode()
@@ -211,9 +213,10 @@ class WordRatios:
         """Per text: the evidence a word, and that of its strong words alone."""
         words = [letter_words(t) for t in texts]
         flat = [w for doc in words for w in doc]
-        if len(self.known) > WORD_MEMO:
-            self.known = {}
+        if len(self.known) > WORD_MEMO or self.held > MEMO_BYTES:
+            self.known, self.held = {}, 0
         new = list(set(flat).difference(self.known))
+        self.held += sum(map(len, new))
         if new:
             self._learn(new)
         each = np.fromiter(map(self.known.__getitem__, flat), np.float64, len(flat))
@@ -298,6 +301,7 @@ def train(
     """Learn from the labelled documents outside fold 0: folds 1 to 3 are counted, fold 4
     (about CALIBRATION_ROWS of it at most) fits the logistic curve."""
     spark = docs.sparkSession
+    ship_package(spark)
     usable = labels.where(fold(id_col) != 0)
     known, count = labelled(docs, usable, id_col, text_col, label_col)
     counted = known.where(fold("id") != 4).select("text", "toxic").mapInArrow(
@@ -332,6 +336,7 @@ def train(
 def _scored(rows: DataFrame, model: Model, column: str, field: str | None = None) -> DataFrame:
     """``rows`` with evidence and score, without the text unless it is a struct's field."""
     spark = rows.sparkSession
+    ship_package(spark)
     rest = T.StructType([f for f in rows.schema if f.name != column or field is not None])
     sent = spark.sparkContext.broadcast(model.table)
     measured = rows.mapInArrow(*_features_of(sent, rest, column, field))
