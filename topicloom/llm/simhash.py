@@ -41,6 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from topicloom.llm.common import bounds, chunks, mixed, released, with_uid, written
 from topicloom.llm.contract import components
@@ -56,6 +57,8 @@ MAP_BITS = 24
 #: Cells of the profile of a set, a byte each.
 PROFILE = 256
 CELLS = 2**CELL_BITS
+#: A key may be a hot one if its counter has this part of all shingles, and so many at least.
+HOT_SHARE, HOT_LEAST = 10_000, 1024
 #: Rows of a bucket that meet at once, and open pairs a node that are compared without leaders.
 BLOCK, PAIRS_EACH = 256, 8
 #: Fingerprints that one search works on at once, and pairs of search and node.
@@ -371,9 +374,10 @@ def _alike(similarity: float):
     return alike
 
 
-def _keyed(size: int, similarity: float, counters):
-    """(node, n, profile, keys): the keys of each text with words; one that no other has is
-    left out, as a null, where its counter tells so."""
+def _keyed(size: int, similarity: float, counters, hot_from: int):
+    """(node, n, profile, keys): the keys of each text with words, and whether their counters
+    exceed ``hot_from``; one that no other has is left out, as a null, where its counter
+    tells so."""
 
     @released
     def key(batches):
@@ -384,10 +388,12 @@ def _keyed(size: int, similarity: float, counters):
                 kept = np.array([len(s) > 0 for s in sets], bool)
                 found = [prefix_keys(s, counts, similarity) for s in sets if len(s)]
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-                shared = counts[_cells(flat)] > 1
+                common = counts[_cells(flat)]
+                rows = pa.StructArray.from_arrays(
+                    [pa.array(flat.view(np.int64), mask=common <= 1), pa.array(common > hot_from)], ["key", "hot"]
+                )
                 lists = pa.ListArray.from_arrays(
-                    pa.array(bounds([len(f) for f in found]).astype(np.int32)),
-                    pa.array(flat.view(np.int64), mask=~shared),
+                    pa.array(bounds([len(f) for f in found]).astype(np.int32)), rows
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -508,14 +514,25 @@ def _may_be_similar(n_a, pos_a, n_b, pos_b, similarity: float):
 
 def _shared_keys(dealt: DataFrame, similarity: float) -> DataFrame:
     """Rows (key, node, n, pos) of keys that several nodes have, but for rows that can have no
-    similar one in their bucket: for the size of a partner there is an upper bound."""
+    similar one in their bucket: for the size of a partner there is an upper bound.
+
+    Most keys are a single node's.  They and those of few nodes take one shuffle; ``hot``
+    keys, which may have any share of all nodes, are counted in parts and joined.
+    """
     partner = (F.col("n") - F.col("pos")) * ((1 + similarity) / similarity) - F.col("n") + 1e-6
-    for _ in range(2):
-        kept = dealt.groupBy("key").agg(F.count("*").alias("count"), F.min("n").alias("least"))
+
+    def counted(rows):
+        kept = rows.groupBy("key").agg(F.count("*").alias("count"), F.min("n").alias("least"))
         kept = kept.where("count > 1").select("key", "least")
-        dealt = dealt.join(kept, "key").where(partner >= F.col("least")).select("key", "node", "n", "pos")
-        dealt = written(dealt, "buckets")
-    return dealt
+        return rows.join(kept, "key").where(partner >= F.col("least")).select("key", "node", "n", "pos")
+
+    own = Window.partitionBy("key")
+    few = dealt.where("NOT hot").select(
+        "key", "node", "n", "pos", F.count("*").over(own).alias("count"), F.min("n").over(own).alias("least")
+    )
+    few = few.where((F.col("count") > 1) & (partner >= F.col("least"))).select("key", "node", "n", "pos")
+    met = written(few.unionByName(counted(dealt.where("hot"))), "met")
+    return written(counted(met), "buckets")
 
 
 def similar_groups(
@@ -626,13 +643,18 @@ def without_near_duplicates(
     )
     found = signed.where("uid IS NOT NULL").select("uid", "same")
     firsts = written(found.groupBy("same").agg(F.min("uid").alias("node")), "firsts")
-    counters = docs.sparkSession.sparkContext.broadcast(_counters(signed))
+    counts = _counters(signed)
+    hot_from = max(HOT_LEAST, int(counts.sum(dtype=np.int64)) // HOT_SHARE)
+    counters = docs.sparkSession.sparkContext.broadcast(counts)
     # Texts stay where they are: keys are few bytes beside them.
     keyed = texts.mapInArrow(
-        _keyed(shingle, similarity, counters), "node long, n int, profile binary, keys array<long>"
+        _keyed(shingle, similarity, counters, hot_from),
+        "node long, n int, profile binary, keys array<struct<key: long, hot: boolean>>",
     )
     keyed = written(keyed.join(firsts, "node", "left_semi"), "keyed")
-    dealt = keyed.select(F.posexplode("keys").alias("pos", "key"), "node", "n").where("key IS NOT NULL")
+    dealt = keyed.select(F.posexplode("keys").alias("pos", "of"), "node", "n").select(
+        "of.key", "of.hot", "node", "n", "pos"
+    ).where("key IS NOT NULL")
     buckets = _shared_keys(dealt, similarity)
     wanted = written(buckets.select("node").distinct(), "wanted")
     profiles = written(keyed.join(wanted, "node", "left_semi").select("node", "n", "profile"), "profiles")
