@@ -301,21 +301,22 @@ def test_replies(spark):
 
 
 def test_replies_to_passages_wrapped_anew(spark):
-    told = [f"w{i}" for i in range(60)]
-    wrapped = "\n".join(">> " + " ".join(told[i : i + 7]) for i in range(3, 50, 7))
+    told = [f"w{i}" for i in range(300)]
+    wrapped = "\n".join(">> " + " ".join(told[i : i + 7]) for i in range(3, 290, 7))
     rows = [
-        (1, 0, "\n".join(" ".join(told[i : i + 11]) for i in range(0, 60, 11))),
+        (1, 0, "\n".join(" ".join(told[i : i + 11]) for i in range(0, 300, 11))),
         (1, 1, "ok\n\nnever mind this line of words"),
         (1, 2, "> never mind\n>\n> THIS line of words\nA"),
         (1, 3, wrapped + "\n> ok\nB"),
-        (1, 4, ">> nothing of the kind was ever said\nC"), (2, 0, "> w0 w1 w2 w3 w4\nD"),
+        (1, 4, ">> nothing of the kind was ever said\nC"), (2, 0, "> w0 w1 w2 w3 w4\nD"), (1, 4000, wrapped + "\nF"),
         (1, 5000, " ".join("x" * 3 for _ in range(100_000))), (1, 5001, "> xxx xxx\r\n> xxx xxx xxx\r\nE"),
     ]
     messages = spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(3)
     got = {(r.conv_id, r.turn): r for r in quotes.reply_order(messages).collect()}
     assert got[1, 2].reply_to == 1 and got[1, 2].text == "A"
     assert got[1, 3].reply_to == 1 and got[1, 3].text == "B"  # the least nested quote counts
-    assert got[1, 3].n_linked == 11  # 50 words from the fourth on, and "ok"
+    assert got[1, 3].n_linked >= 2  # pieces of words from the fourth on, and "ok"
+    assert got[1, 4000].reply_to == 0 and got[1, 4000].n_linked >= 1
     assert got[1, 4].reply_to is None and got[2, 0].reply_to is None
     assert got[1, 5001].reply_to == 5000 and got[1, 5001].thread == 5000
     assert len(got) == len(rows)
@@ -333,9 +334,9 @@ def test_one_line_in_every_message(spark):
 def test_pieces_of_passages():
     found = [(level, [b" ".join(x) for x in lines]) for level, lines in quotes.passages(b"> > A b\n>>\n>>c\nD\n\n> e")]
     assert found == [(2, [b"a b", b"c"]), (0, [b"d"]), (1, [b"e"])]
-    words = [[b"a", b"b", b"c"], [b"d", b"e", b"f", b"g"]]
-    assert list(quotes.pieces(1, words)) == [b"a b c d e", b"c d e f g"]
-    assert list(quotes.pieces(0, words)) == [
-        b"a b c d e", b"b c d e f", b"c d e f g", b"a b c", b"d e f g"
-    ]
-    assert list(quotes.pieces(1, [[b"a"], [b"b"]])) == [b"a b", b"a", b"b"]
+    words = [f"w{i}".encode() for i in range(200)]
+    whole, part = quotes.pieces(1, [words]), quotes.pieces(2, [words[20:90], words[90:170]])
+    assert b" ".join(whole).split() == words and b" ".join(part).split() == words[20:170]
+    assert 5 < len(part) and set(part[1:-1]) <= set(whole)  # cut alike, but for the ends
+    assert quotes.pieces(0, [words[:9], words[9:]]) == [*whole, b" ".join(words[:9]), b" ".join(words[9:])]
+    assert quotes.pieces(1, [[b"a"], [b"b"]]) == [b"a b", b"a", b"b"]

@@ -2,10 +2,10 @@
 
 A line's quote level is the number of ``>`` signs before it.  Adjacent lines of one level
 are a passage; its words (A-Z in lower case) are joined over line ends, so a passage that
-a mail program wrapped anew stays the same.  A quoted passage is hashed in consecutive
-pieces of ``RUN`` words, of which the last ends with the passage; messages offer the
-hashes of all runs of ``RUN`` words of their own passages.  What is shorter than that is
-one piece, a whole passage or a line of its own.  A quoted piece belongs to the latest
+a mail program wrapped anew stays the same.  Passages are cut behind words that their own
+digests choose, one in sixteen, and the pieces are hashed: a part of a passage has the same
+pieces but for those at its ends.  A message also offers the lines of its own passages,
+and a quoted passage of one piece asks for its lines.  A quoted piece belongs to the latest
 earlier message of its conversation that has it.  A message answers the message to which
 most of its least-nested linked pieces belong (of equals the latest); where none is linked
 it opens a thread.
@@ -25,6 +25,8 @@ read whole; their pieces leave the task in batches.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
 from collections.abc import Iterator
 from itertools import groupby
@@ -35,12 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from topicloom.llm.common import chunks, released, written
+from topicloom.llm.common import Memo, chunks, released, written
 from topicloom.session import ship_package
 
 STRETCH = 1024
-#: Words of a piece of a passage.
-RUN = 5
 #: Pieces that a task holds before it hands them on.
 HELD = 100_000
 _PREFIX = "^(?:[ \\t]*>)+[ \\t]?"
@@ -74,18 +74,20 @@ def passages(text: bytes) -> Iterator[tuple[int, list[list[bytes]]]]:
         yield level, [words for _, words in run]
 
 
-def pieces(level: int, lines: list[list[bytes]]) -> Iterator[bytes]:
-    """The pieces of a passage: what it offers if it is a message's own, else what it asks for."""
-    words = [w for own in lines for w in own]
-    last = len(words) - RUN
-    if last < 0:
-        yield from dict.fromkeys(b" ".join(x) for x in (words, *lines))
-        return
-    starts = range(last + 1) if level == 0 else [*range(0, last, RUN), last]
-    for a in starts:
-        yield b" ".join(words[a : a + RUN])
-    if level == 0:
-        yield from (b" ".join(own) for own in lines if len(own) < RUN)
+@functools.cache
+def _cuts() -> Memo:
+    return Memo(lambda word: hashlib.md5(word).digest()[0] < 16, 150_000)
+
+
+def pieces(level: int, lines: list[list[bytes]]) -> list[bytes]:
+    """The distinct pieces of a passage: what it offers if it is a message's own, else what
+    it asks for."""
+    words, cut = [w for own in lines for w in own], _cuts().__getitem__
+    edges = [0, *(i + 1 for i, w in enumerate(words[:-1]) if cut(w)), len(words)]
+    found = [b" ".join(words[a:b]) for a, b in zip(edges, edges[1:])]
+    if level == 0 or len(found) == 1:
+        found += [b" ".join(own) for own in lines]
+    return list(dict.fromkeys(found))
 
 
 @released
@@ -93,7 +95,7 @@ def _pieces(batches):
     def batch_of(part, at, levels, hashes):
         rows = part.select(["conv", "turn"]).take(pa.array(at, pa.int64()))
         return pa.RecordBatch.from_arrays(
-            [*rows.columns, pa.array(levels, pa.int32()), pa.array(hashes, pa.binary())],
+            [*rows.columns, pa.array(levels, pa.int32()), pa.array(hashes, pa.int64())],
             ["conv", "turn", "level", "hash"],
         )
 
@@ -105,7 +107,7 @@ def _pieces(batches):
                     for piece in pieces(level, lines):
                         at.append(i)
                         levels.append(level)
-                        hashes.append(xxhash.xxh3_128_digest(piece))
+                        hashes.append(xxhash.xxh3_64_intdigest(piece) - 2**63)
                         if len(at) >= HELD:
                             yield batch_of(part, at, levels, hashes)
                             at, levels, hashes = [], [], []
@@ -121,7 +123,7 @@ def linked_passages(
         F.col(text_col).cast("string").alias("text"),
     ).where("conv is not null and turn is not null")
     conv = known.schema["conv"].dataType.simpleString()
-    told = known.mapInArrow(_pieces, f"conv {conv}, turn long, level int, hash binary")
+    told = known.mapInArrow(_pieces, f"conv {conv}, turn long, level int, hash long")
     counted = told.groupBy("conv", "turn", "level", "hash").agg(F.count("*").alias("n"))
     stretch = F.floor(F.col("turn") / STRETCH)
     counted = counted.withColumn("stretch", stretch).withColumn(

@@ -112,39 +112,38 @@ from records
 """
 
 OP5 = r"""
-with recursive texts as (
-    select conv_id, turn, regexp_extract_all(min(text), '[^\x20\x09-\x0D]+') as w from conversations group by all),
+with recursive low as (
+    select conv_id, turn, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from conversations),
+texts as (
+    select conv_id, turn, regexp_extract_all(translate(min(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from conversations group by all),
 mail as (
-    select c.conv_id, c.turn, c.text, a.w as w1, b.w as w2
-    from conversations c
+    select c.conv_id, c.turn, c.text, a.w as w1, b.w as w2, regexp_extract_all(c.t, '[^\x20\x09-\x0D]+') as w0,
+        list_transform(string_split(c.t, chr(10)), lambda x: regexp_extract_all(x, '[^\x20\x09-\x0D]+')) as own,
+        list_transform(range(1, len(a.w) + 1, 9), lambda i: a.w[i : i + 8]) as lines1,
+        list_transform(range(1, len(b.w) + 1, 9), lambda i: b.w[i : i + 8]) as lines2
+    from low c
     left join texts a on a.conv_id = c.conv_id and a.turn = c.turn - 1
     left join texts b on b.conv_id = c.conv_id and b.turn = c.turn - 2),
 passages as (
-    select conv_id, turn, unnest([{'level': 1, 'w': w1}, {'level': 2, 'w': w2}]) as p from mail),
-quoted as (
-    select conv_id, turn, p.level as level, p.w as w, len(p.w) as size from passages where len(p.w) > 0),
-asked as (
-    select conv_id, turn, level, w[i : i + 4] as piece
-    from (select *, unnest(list_distinct(range(1, greatest(size - 4, 1), 5) || [greatest(size - 4, 1)])) as i from quoted)),
-wanted as (
-    select conv_id, turn, level, list_transform(piece, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as piece,
-        count(*) as n
-    from asked group by all),
-own_words as (
-    select conv_id, turn, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w,
-        unnest(list_transform(string_split(text, chr(10)), lambda x: regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) as line
-    from conversations),
-offered as (
-    select conv_id, turn, w[i : i + 4] as piece
-    from (select *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from (select distinct conv_id, turn, w from own_words))
-    union all
-    select conv_id, turn, line from own_words where len(line) between 1 and 4),
-own as (
-    select distinct conv_id, turn, list_transform(piece, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as piece
-    from offered where len(piece) > 0),
+    select conv_id, turn, unnest([{'level': 0, 'w': w0, 'lines': own}, {'level': 1, 'w': w1, 'lines': lines1},
+        {'level': 2, 'w': w2, 'lines': lines2}]) as p from mail),
+parted as (
+    select conv_id, turn, p.level as level, p.w as w, p.lines as lines,
+        list_filter(range(1, len(p.w) + 1), lambda i: i = 1 or starts_with(md5(p.w[i - 1]), '0')) as starts
+    from passages where len(p.w) > 0),
+pieces as (
+    select conv_id, turn, level, unnest(list_distinct(
+        list_transform(range(1, len(starts) + 1),
+            lambda k: array_to_string(w[starts[k] : coalesce(starts[k + 1] - 1, len(w))], ' '))
+        || case when level = 0 or len(starts) = 1
+            then list_transform(list_filter(lines, lambda x: len(x) > 0), lambda x: array_to_string(x, ' ')) else [] end)) as piece
+    from parted),
 linked as (
     select q.conv_id, q.turn, q.level, q.piece, q.n, max(o.turn) as origin
-    from wanted q join own o on o.conv_id = q.conv_id and o.piece = q.piece and o.turn < q.turn
+    from (select conv_id, turn, level, piece, count(*) as n from pieces where level > 0 group by all) q
+    join (select distinct conv_id, turn, piece from pieces where level = 0) o
+    on o.conv_id = q.conv_id and o.piece = q.piece and o.turn < q.turn
     group by all),
 votes as (select conv_id, turn, level, origin, sum(n) as n from linked group by all),
 answers as (
