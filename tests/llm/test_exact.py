@@ -309,7 +309,8 @@ def test_replies_to_passages_wrapped_anew(spark):
         (1, 2, "> never mind\n>\n> THIS line of words\nA"),
         (1, 3, wrapped + "\n> ok\nB"),
         (1, 4, ">> nothing of the kind was ever said\nC"), (2, 0, "> w0 w1 w2 w3 w4\nD"), (1, 4000, wrapped + "\nF"),
-        (1, 5000, " ".join("x" * 3 for _ in range(100_000))), (1, 5001, "> xxx xxx\r\n> xxx xxx xxx\r\nE"),
+        (1, 5000, " ".join(f"v{i}" for i in range(100_000))),
+        (1, 5001, "".join("> " + " ".join(f"v{j}" for j in range(i, i + 5)) + "\r\n" for i in range(500, 600, 5)) + "E"),
     ]
     messages = spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(3)
     got = {(r.conv_id, r.turn): r for r in quotes.reply_order(messages).collect()}
