@@ -19,13 +19,13 @@ give repeated records; texts of any length are kept whole; extra columns are ign
 
 from __future__ import annotations
 
-import html
 import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.functions.html import decoded
 from topicloom.llm.common import chunks, released
 from topicloom.session import ship_package
 
@@ -67,10 +67,10 @@ def plain_text(page: str) -> str:
     while at < size:
         mark = page.find("<", at)
         if mark < 0:
-            parts.append(html.unescape(page[at:]))
+            parts.append(decoded(page[at:]))
             break
         if mark > at:
-            parts.append(html.unescape(page[at:mark]))
+            parts.append(decoded(page[at:mark]))
         name = _NAME.match(page, mark + 1)
         if name:
             at, kind = _tag_end(page, name.end()), name[1].lower()
