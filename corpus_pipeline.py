@@ -22,8 +22,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: a similarity of 0.8 or more
-    of the shingles of five words."""
+    """One document of each group of near duplicates stays: groups that BK-trees of SimHash
+    fingerprints link, checked by a similarity of 0.8 or more of the shingles of five words,
+    and what has that similarity out of the trees' reach."""
     return simhash.without_near_duplicates(docs)
 
 

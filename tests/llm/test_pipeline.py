@@ -196,3 +196,24 @@ def test_a_hot_group_of_edited_copies(spark, monkeypatch, each):
     docs = written(docs.orderBy("doc_id").coalesce(1), "hot")
     kept = {r.doc_id for r in simhash.without_near_duplicates(docs).select("doc_id").collect()}
     assert kept == {root.index(r) for r in set(root)} and turns
+
+
+def test_groups_begin_with_the_links_of_the_trees(spark, monkeypatch):
+    """Fingerprints within the radius are linked and checked; what they cannot reach, and what
+    only looks alike to them, is settled by the similarity."""
+    rng, texts = random.Random(12), []
+    for _ in range(30):
+        base = [f"w{rng.random()}" for _ in range(900)]
+        texts += [" ".join(base), " ".join([*base[:-1], "edit"]), " ".join(edited(rng, base, 0.85))]
+    line = "terms apply to all offers"
+    texts += [" ".join([line] * 400 + [f"only{side}{i}" for i in range(8)]) for side in "ab"]
+    prints = simhash.fingerprints_of([t.encode() for t in texts], 5)[:, 0].tolist()
+    apart = [(a ^ b).bit_count() for a, b in zip(prints, prints[1:])]
+    assert apart[-1] <= 3 and similarity(*texts[-2:]) < 0.8
+    near = {a for a in range(0, 90, 3) if apart[a] <= 3}
+    shown = []
+    given = simhash.similar_groups
+    monkeypatch.setattr(simhash, "similar_groups", lambda *a: shown.extend(a[5].collect()) or given(*a))
+    kept = near_kept(spark, texts)
+    assert {90, 91} <= kept and sorted(i // 3 for i in kept - {90, 91}) == list(range(30))
+    assert len(near) > 20 and len({(r.a, r.b) for r in shown}) >= len(near)

@@ -14,9 +14,11 @@ to components by rounds of joins, in tables in the shared folder.  Copies of a t
 one fingerprint and are never paired.  The trees are not broadcast, since together they
 grow with the corpus: fingerprints travel to the trees instead, ten small rows each.
 
-``without_near_duplicates`` judges by the Jaccard similarity of the sets of distinct
-shingles itself, and finds every pair.  Texts of equal sets are copies.  In any one order of
-all shingles, two sets of the wanted similarity t share one of the first n - ceil(t n) + 1 of
+``without_near_duplicates`` finds groups in the same way: fingerprints, BK-trees, stars.
+What the trees link is checked by the Jaccard similarity t of the sets of distinct shingles,
+and so is what they cannot reach, since texts of that similarity may differ in more bits
+than the radius: whatever is not in one component by then goes on, so that every similar
+pair is found.  Texts of equal sets are copies.  In any one order of all shingles, two sets of similarity t share one of the first n - ceil(t n) + 1 of
 their n members; those are the keys of a text.  The order puts frequent shingles last, by
 counters of all documents (``CELLS``, whatever the size of the table): a line or passage that
 many documents share is a key only where it is most of the text.  The counters shape the
@@ -375,17 +377,19 @@ def _alike(similarity: float):
 
 
 def _keyed(size: int, similarity: float, counters, hot_from: int):
-    """(node, n, profile, keys): the keys of each text with words, and whether their counters
-    exceed ``hot_from``; one that no other has is left out, as a null, where its counter
-    tells so."""
+    """(node, fp, n, profile, keys): fingerprint and keys of each text with words, and whether
+    the counters of its keys exceed ``hot_from``; one that no other has is left out, as a
+    null, where its counter tells so."""
 
     @released
     def key(batches):
         counts = counters.value
         for batch in batches:
             for part, texts in chunks(batch, "text"):
-                sets = [shingle_set(t, size) for t in texts]
-                kept = np.array([len(s) > 0 for s in sets], bool)
+                hashes = [np.array(shingle_hashes(t, size), np.uint64) for t in texts]
+                kept = np.array([len(h) > 0 for h in hashes], bool)
+                fps = _majorities(np.concatenate(hashes), bounds([len(h) for h in hashes]))
+                sets = [np.unique(h) for h in hashes]
                 found = [prefix_keys(s, counts, similarity) for s in sets if len(s)]
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 common = counts[_cells(flat)]
@@ -397,11 +401,11 @@ def _keyed(size: int, similarity: float, counters, hot_from: int):
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).filter(pa.array(kept)),
+                        part.column(0).filter(pa.array(kept)), pa.array(fps[kept].view(np.int64)),
                         pa.array([len(s) for s in sets if len(s)], pa.int32()),
                         pa.array([profile(s) for s in sets if len(s)], pa.binary()), lists,
                     ],
-                    ["node", "n", "profile", "keys"],
+                    ["node", "fp", "n", "profile", "keys"],
                 )
 
     return key
@@ -535,21 +539,40 @@ def _shared_keys(dealt: DataFrame, similarity: float) -> DataFrame:
     return written(counted(met), "buckets")
 
 
+def fingerprint_pairs(keyed: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): stars of the nodes (node, fp) that have one fingerprint, and between the first
+    nodes of fingerprints that the BK-trees link."""
+    prints = keyed.select("node", "fp")
+    heads = written(prints.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    same = prints.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near = links(heads.select("fp"), radius).distinct()
+    for end in ("a", "b"):
+        named = heads.select(F.col("fp").alias(end), F.col("head").alias(f"head_{end}"))
+        near = near.join(named, end).drop(end)
+    return same.unionByName(near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
+
+
+def checked(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of similar nodes; profiles rule out most others unseen."""
+    pairs = written(_profiled(pairs.select("a", "b").distinct(), profiles, similarity), "pairs")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    return written(confirmed(pairs, sets_of(texts, ends, shingle), similarity), "links")
+
+
 def similar_groups(
-    buckets: DataFrame, profiles: DataFrame, texts: DataFrame, shingle: int, similarity: float
+    buckets: DataFrame, profiles: DataFrame, texts: DataFrame, shingle: int, similarity: float, found: DataFrame
 ) -> DataFrame:
-    """(node, root): components of the confirmed pairs within ``buckets`` (key, node, n, pos).
+    """(node, root): components of the links ``found`` (a, b) and of the confirmed pairs within
+    ``buckets`` (key, node, n, pos).
 
     A round confirms one pair for each node, with a leader of one of its buckets, so that
     groups of near copies become components at linear cost.  What is then left open, pairs
     of different components in a bucket, is compared whole.
     """
-    found, roots, before, turn = None, None, None, 0
+    roots, before, turn = written(components(found), "roots"), None, 0
     most = PAIRS_EACH * buckets.select("node").distinct().count()
     while True:
-        named = buckets.withColumn("root", F.col("node"))
-        if roots is not None:
-            named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         named = written(named.select("key", "node", "n", "pos", "root"), "named")
         members = named.groupBy("key", "root").agg(F.count("*").alias("m"))
         sizes = members.groupBy("key").agg(
@@ -560,10 +583,7 @@ def similar_groups(
         left = sizes.agg(F.sum((F.col("size") * F.col("size") - F.col("within")) / 2)).first()[0] or 0
         last = turn > 0 and (left <= most or left > 0.9 * before)
         pairs = _open_pairs(named, sizes, similarity) if last else _leader_pairs(named, sizes, turn, similarity)
-        pairs = written(_profiled(pairs.select("a", "b").distinct(), profiles, similarity), "pairs")
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-        links = written(confirmed(pairs, sets_of(texts, ends, shingle), similarity), "links")
-        found = links if found is None else found.unionByName(links)
+        found = found.unionByName(checked(pairs, profiles, texts, shingle, similarity))
         roots = written(components(found), "roots")
         if last:
             return roots
@@ -632,7 +652,7 @@ def without_near_duplicates(
 ) -> DataFrame:
     """The first row of each group of near duplicates, unchanged and with all its columns.
 
-    ``docs`` must be read from files (or a checkpoint): it is read three times, and rows
+    ``docs`` must be read from files (or a checkpoint): it is read several times, and rows
     are told apart by their place.
     """
     ship_package(docs.sparkSession)
@@ -649,7 +669,7 @@ def without_near_duplicates(
     # Texts stay where they are: keys are few bytes beside them.
     keyed = texts.mapInArrow(
         _keyed(shingle, similarity, counters, hot_from),
-        "node long, n int, profile binary, keys array<struct<key: long, hot: boolean>>",
+        "node long, fp long, n int, profile binary, keys array<struct<key: long, hot: boolean>>",
     )
     keyed = written(keyed.join(firsts, "node", "left_semi"), "keyed")
     dealt = keyed.select(F.posexplode("keys").alias("pos", "of"), "node", "n").select(
@@ -658,7 +678,8 @@ def without_near_duplicates(
     buckets = _shared_keys(dealt, similarity)
     wanted = written(buckets.select("node").distinct(), "wanted")
     profiles = written(keyed.join(wanted, "node", "left_semi").select("node", "n", "profile"), "profiles")
-    roots = similar_groups(buckets, profiles, texts, shingle, similarity)
+    linked = checked(fingerprint_pairs(keyed), profiles, texts, shingle, similarity)
+    roots = similar_groups(buckets, profiles, texts, shingle, similarity, linked)
     first = roots.groupBy("root").agg(F.min("node").alias("node"))
     later = roots.select("node").join(first.select("node"), "node", "left_anti")
     copies = found.select("uid").join(firsts.select(F.col("node").alias("uid")), "uid", "left_anti")
