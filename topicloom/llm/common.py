@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from topicloom.session import scratch_path
 
 #: Text that one step of a Python worker holds as separate objects.
-CHUNK_BYTES = 4 * 2**20
+CHUNK_BYTES = 2 * 2**20
 #: Bytes of the keys of a memo.
 MEMO_BYTES = 16 * 2**20
 

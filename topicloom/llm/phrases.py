@@ -35,9 +35,10 @@ from topicloom.llm.common import bounds, mixed, release, window_hashes, word_has
 from topicloom.session import ship_package
 
 WINDOW, PHRASE = 35, 12
-BLOCK_BYTES = 4 * 2**20
+#: A task holds some 80 bytes for each byte of its block, words and window hashes together.
+BLOCK_BYTES = 2 * 2**20
 #: About 80 bytes of automaton for each character.
-SHARD_CHARS = 1_500_000
+SHARD_CHARS = 400_000
 
 
 class Block:
@@ -263,7 +264,7 @@ def _repeats(docs: DataFrame, row, text_col: str, window: int, phrase: int) -> D
     text = F.col(text_col).cast("string")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
-    buckets = max(1, blocks // 4)
+    buckets = max(1, blocks // 8)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), text.alias("text"), row.alias("row"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)))
     kind = rows.schema["row"].dataType.simpleString()
