@@ -46,20 +46,24 @@ def gibbs_sweep(
         word, total = F.get("word_topic", t), F.get("totals", t)
         return (n - own + alpha) * (word - own + beta) / (total - own + smoothing)
 
-    def running(weights):
-        return F.aggregate(
-            weights,
-            F.expr("cast(array() as array<double>)"),
-            lambda sums, w: F.concat(
-                sums, F.array(w + F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0.0)))
-            ),
-        )
+    def summed(weights):
+        return F.aggregate(weights, F.lit(0.0), lambda total, w: total + w)
+
+    def below(weights, bar):
+        """How many of the running sums lie below ``bar``."""
+        begin = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+
+        def further(seen, w):
+            total = seen["total"] + w
+            return F.struct(total.alias("total"), (seen["n"] + F.when(total < bar, 1).otherwise(0)).alias("n"))
+
+        return F.aggregate(weights, begin, further, lambda seen: seen["n"])
 
     u = hash32(F.lit(seed), F.lit(sweep), F.col("doc_id"), F.col("pos")) / F.lit(2.0**32)
 
-    def first_reaching(sums):
-        bar = u * F.element_at(sums, -1)
-        return F.least(F.size(F.filter(sums, lambda c: c < bar)), F.lit(k - 1))
+    def first_reaching(weights):
+        # The bar has the digest in it, which must not be found anew for each topic.
+        return F.least(let(u * summed(weights), lambda bar: below(weights, bar)), F.lit(k - 1))
 
-    drawn = let(running(F.transform("doc_topic", weight)), first_reaching)
+    drawn = let(F.transform("doc_topic", weight), first_reaching)
     return tokens.select("doc_id", "term_id", "pos", drawn.alias("topic"))
