@@ -24,6 +24,10 @@ from topicloom.session import scratch_path, ship_package
 from topicloom.sources import checkpoints
 
 
+#: Cells of (document, term) pairs x topics that are fitted together.
+CHUNK_CELLS = 200_000
+
+
 @dataclass
 class OnlineModel:
     """``lambdas`` (term_id, lambdas) of all terms."""
@@ -59,6 +63,34 @@ def fit_document(tfs: np.ndarray, beta: np.ndarray, alpha: float, rounds: int, e
     return share, norm
 
 
+def fit_documents(tfs: np.ndarray, offsets: np.ndarray, beta: np.ndarray, alpha: float, rounds: int, enough: float):
+    """``fit_document`` of many, side by side: shares of the documents, norms of their terms.
+
+    ``tfs`` and rows of ``beta`` of document i lie from ``offsets[i]`` to ``offsets[i + 1]``; none
+    is empty.  A document that has settled rests, as alone.
+    """
+    k, size = beta.shape[1], np.diff(offsets)
+    gamma = np.ones((len(size), k))
+    share = np.exp(digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True)))
+    norm = (beta * np.repeat(share, size, axis=0)).sum(axis=1)
+    moving, rows = np.arange(len(size)), slice(None)
+    for _ in range(rounds):
+        starts = np.cumsum(size[moving]) - size[moving]
+        before, b = gamma[moving], beta[rows]
+        mass = np.add.reduceat((tfs[rows] / norm[rows])[:, None] * b, starts, axis=0)
+        now = alpha + share[moving] * mass
+        own = np.exp(digamma(now) - digamma(now.sum(axis=1, keepdims=True)))
+        gamma[moving], share[moving] = now, own
+        norm[rows] = (b * np.repeat(own, size[moving], axis=0)).sum(axis=1)
+        still = np.abs(now - before).mean(axis=1) >= enough
+        if not still.all():
+            moving = moving[still]
+            rows = np.flatnonzero(np.repeat(np.isin(np.arange(len(size)), moving), size))
+            if not len(moving):
+                break
+    return share, norm
+
+
 def start(spark, vocab_size: int, k: int, seed: int = 42) -> DataFrame:
     """Rows of lambda around 1 with a standard deviation of 0.1, from a hash."""
     terms = spark.range(vocab_size).select(F.col("id").cast("int").alias("term_id"))
@@ -93,10 +125,16 @@ def expectations(
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         terms = np.searchsorted(known[order], lists.flatten().to_numpy())
         tfs, found = counts.flatten().to_numpy().astype(float), np.zeros_like(beta)
-        for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
-            own, tf = terms[lo:hi], tfs[lo:hi]
-            share, norm = fit_document(tf, beta[own], alpha, rounds, enough)
-            np.add.at(found, own, (tf / norm)[:, None] * share * beta[own])
+        edges, lo = np.unique(offsets), 0  # an empty document adds nothing
+        while lo < len(edges) - 1:
+            hi = int(np.searchsorted(edges, edges[lo] + CHUNK_CELLS // k, side="right")) - 1
+            hi = min(max(hi, lo + 1), len(edges) - 1)
+            part = slice(edges[lo], edges[hi])
+            own, tf, rows_of = terms[part], tfs[part], beta[terms[part]]
+            share, norm = fit_documents(tf, edges[lo : hi + 1] - edges[lo], rows_of, alpha, rounds, enough)
+            mass = (tf / norm)[:, None] * np.repeat(share, np.diff(edges[lo : hi + 1]), axis=0) * rows_of
+            np.add.at(found, own, mass)
+            lo = hi
         return pa.table({
             "term_id": pa.array(known[order], pa.int32()), "sums": pa.array(list(found), pa.list_(pa.float64())),
         })
