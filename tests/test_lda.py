@@ -423,3 +423,22 @@ def test_a_checkpoint_of_other_settings_is_refused(spark, planted, tmp_path):
 def test_counts_of_state(spark, planted):
     counts = word_topic_counts(initial_state(planted, K))
     assert {r.topic for r in topic_totals(counts).collect()} == set(range(K))
+
+
+def test_documents_side_by_side_fit_as_alone(monkeypatch):
+    """Folding in and the online step, over blocks of any size, empty documents and one that settles early."""
+    rng = np.random.default_rng(3)
+    size = np.array([0, 4, 0, 30, 1, 17, 0])
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    terms, tfs, phi = rng.integers(0, 40, 52), rng.integers(1, 6, 52).astype(float), rng.random((40, 3)) + 0.01
+    full = [slice(a, b) for a, b in zip(offsets, offsets[1:]) if b > a]
+    want = sum(heldout.fold_in(tfs[o], phi[terms[o]], 0.5, 9)[0] for o in full)
+    for cells in (1, 60, 10**6):
+        monkeypatch.setattr(heldout, "FOLD_CELLS", cells)
+        assert heldout.fold_in_all(terms, tfs, offsets, lambda t: phi[t], 0.5, 9) == pytest.approx(want, rel=1e-12)
+    assert heldout.fold_in_all(terms[:0], tfs[:0], np.array([0, 0]), lambda t: phi[t], 0.5, 9) == 0
+    for rounds, enough in ((3, 0.0), (100, 1e-2)):
+        share, norm = online.fit_documents(tfs, np.unique(offsets), phi[terms], 0.5, rounds, enough)
+        for at, own in enumerate(full):
+            one, its = online.fit_document(tfs[own], phi[terms[own]], 0.5, rounds, enough)
+            assert np.allclose(share[at], one, rtol=1e-12) and np.allclose(norm[own], its, rtol=1e-12)
