@@ -26,7 +26,7 @@ from topicloom.session import scratch_path, ship_package
 from topicloom.sources import checkpoints
 
 #: (document, term) pairs x topics that are shared out together.
-CHUNK_CELLS = 4_000_000
+CHUNK_CELLS = 400_000
 _DOC = "doc_id, doc_key, term_ids, tfs"
 
 
