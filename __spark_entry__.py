@@ -104,7 +104,7 @@ def vectors_roundtrip(spark, sf):
 def reuse_or_build(spark, sf):
     """Build both tables, then load them: the builders of the second call must not run."""
     words, docs = scratch_path(spark, "dictionary"), scratch_path(spark, "vectors")
-    load_or_fit_dictionary(spark, words, lambda: q.dictionary(spark, sf))
+    load_or_fit_dictionary(spark, words, lambda: q.known_terms(spark, sf)[0])
     load_or_build(spark, docs, lambda: q.vectors(spark, sf))
 
     def never():
