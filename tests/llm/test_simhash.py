@@ -88,3 +88,29 @@ def test_odd_rows(spark):
     found = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id) for r in got.collect())
     assert found == [(-1, 3), (2, 2), (3, 3), (4, 4), (5, 3), (7, 2), (8, 4), (9, 9), (9, 9)]
     assert simhash.near_duplicates(docs.where("false")).collect() == []
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Each round is plans, threads and memory of the driver."""
+    order = random.Random(3).sample(range(3000), 3000)
+    rows = [(a, b) for a, b in zip(order, order[1:]) if a % 100]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    spark.sparkContext.setJobGroup("components", "components")
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    spark.sparkContext.setJobGroup("others", "others")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 12
+    want, label = {}, None
+    for at, node in enumerate(order):
+        label = node if not at or not order[at - 1] % 100 else label
+        want.setdefault(label, set()).add(node)
+    for nodes in want.values():
+        assert len({got.get(n, n) for n in nodes}) == 1 and got.get(min(nodes), min(nodes)) in nodes
+
+
+def test_components_over_many_blocks(spark, monkeypatch):
+    """Contraction in blocks of three edges keeps all nodes and components, of any type."""
+    monkeypatch.setattr("topicloom.llm.contract.BLOCK_EDGES", 3)
+    edges = spark.range(500).selectExpr("cast(id as string) AS a", "cast(id - id % 50 + (id + 7) % 50 as string) AS b")
+    found = simhash.components(edges.repartition(5)).collect()
+    assert {int(r.node) // 50 == int(r.root) // 50 for r in found} == {True}
+    assert len(found) == 500 and len({r.root for r in found}) == 10

@@ -22,10 +22,13 @@ MEMO_BYTES = 16 * 2**20
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, safe against lost executors."""
+    """``df`` as a table in the shared folder: computed once, safe against lost executors.
+
+    Its schema is known, so that no job has to find it in the files.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_uid(df: DataFrame, **columns) -> DataFrame:

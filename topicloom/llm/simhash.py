@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from topicloom.llm.common import bounds, chunks, mixed, released, with_uid, written
-from topicloom.llm.contract import components
+from topicloom.llm.contract import components, hooked
 from topicloom.session import ship_package
 
 RADIUS = 3
@@ -186,23 +186,8 @@ class Forest:
 def _smallest_linked(values: np.ndarray, shard: np.ndarray, radius: int) -> np.ndarray:
     """For each position the first position that links reach in its shard."""
     label = np.arange(len(values))
-
-    def settle(label):
-        while True:
-            jumped = label[label]
-            if np.array_equal(jumped, label):
-                return label
-            label = jumped
-
     for a, b in Forest(values, shard).links(radius):
-        while True:  # hook the larger root below the smaller one until all pairs agree
-            ra, rb = label[a], label[b]
-            open_pairs = ra != rb
-            if not open_pairs.any():
-                break
-            a, b, ra, rb = a[open_pairs], b[open_pairs], ra[open_pairs], rb[open_pairs]
-            np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
-            label = settle(label)
+        label = hooked(label, a, b)
     return label
 
 
@@ -583,8 +568,9 @@ def similar_groups(
         left = sizes.agg(F.sum((F.col("size") * F.col("size") - F.col("within")) / 2)).first()[0] or 0
         last = turn > 0 and (left <= most or left > 0.9 * before)
         pairs = _open_pairs(named, sizes, similarity) if last else _leader_pairs(named, sizes, turn, similarity)
-        found = found.unionByName(checked(pairs, profiles, texts, shingle, similarity))
-        roots = written(components(found), "roots")
+        linked = checked(pairs, profiles, texts, shingle, similarity)
+        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = written(components(stars.unionByName(linked)), "roots")
         if last:
             return roots
         before, turn = left, turn + 1
