@@ -259,10 +259,10 @@ def lda_gibbs_joined(spark, sf):
 
 def _em(spark, sf):
     """Two iterations of expectation maximisation from the deterministic state."""
-    width, vectors, state = q.known_terms(spark, sf)[1], q.vectors(spark, sf), q.assigned(spark, sf)
+    width, vectors = q.known_terms(spark, sf)[1], q.vectors(spark, sf)
+    state = q.assigned(spark, sf, "term_ids", "tfs")
     counts = F.transform(st.topic_counts(F.col("z"), q.K), lambda n: n.cast("double"))
-    docs = vectors.select("doc_id", F.xxhash64("doc_id").alias("doc_key"), "term_ids", "tfs")
-    begin = docs.join(state.select("doc_id", counts.alias("shares")), "doc_id")
+    begin = state.select("doc_id", "doc_key", "term_ids", "tfs", counts.alias("shares"))
     return em.fit_em(
         vectors, width, q.K, 2, q.ALPHA + 1, q.BETA + 1, begin=(begin, st.word_topic_counts(state))
     )

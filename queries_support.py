@@ -71,8 +71,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _of(spark, sf_dir)[3]
 
 
-def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State with topic (doc_id + term_id + occurrence) mod K, computable in SQL."""
+def assigned(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """State with topic (doc_id + term_id + occurrence) mod K, computable in SQL, and ``more``
+    columns of the vectors."""
     known = vectors(spark, sf_dir)
     topics = F.transform(
         F.arrays_zip("term_ids", "tfs"),
@@ -81,7 +82,7 @@ def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
             lambda nth: F.pmod(F.col("doc_id") + x["term_ids"] + nth, F.lit(K)).cast("smallint"),
         ),
     )
-    return base_state(known, ["doc_id", F.flatten(topics).alias("z")])
+    return base_state(known, ["doc_id", F.flatten(topics).alias("z"), *more])
 
 
 def _record(headers: list[tuple[str, object]], payload):

@@ -442,3 +442,13 @@ def test_documents_side_by_side_fit_as_alone(monkeypatch):
         for at, own in enumerate(full):
             one, its = online.fit_document(tfs[own], phi[terms[own]], 0.5, rounds, enough)
             assert np.allclose(share[at], one, rtol=1e-12) and np.allclose(norm[own], its, rtol=1e-12)
+
+
+def test_em_starts_where_the_documents_are(spark, planted):
+    """Shares and counts come from one pass over the vectors, without a join or a shuffle."""
+    docs, _ = em.start(planted, K)
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    rows = docs.collect()
+    assert len(rows) == planted.count()
+    assert all(len(r.shares) == K and sum(r.shares) == sum(r.tfs) for r in rows)

@@ -47,11 +47,11 @@ class EmModel:
 
 
 def start(vectors: DataFrame, k: int, seed: int = 42, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(docs, word_topic) from topics drawn by a hash of (seed, document, position)."""
-    state = initial_state(vectors, k, seed, key)
-    shares = state.select("doc_key", F.transform(topic_counts(F.col("z"), k), lambda n: n.cast("double")).alias("shares"))
-    docs = vectors.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(key)).alias("doc_key"), "term_ids", "tfs")
-    return docs.join(shares, "doc_key").select(*_DOC.split(", "), "shares"), word_topic_counts(state)
+    """(docs, word_topic) from topics drawn by a hash of (seed, document, position); documents
+    stay where they are."""
+    state = initial_state(vectors, k, seed, key, ("term_ids", "tfs"))
+    shares = F.transform(topic_counts(F.col("z"), k), lambda n: n.cast("double"))
+    return state.select(*_DOC.split(", "), shares.alias("shares")), word_topic_counts(state)
 
 
 def share_out(terms, tfs, offsets, shares, rows, weight, alpha: float):

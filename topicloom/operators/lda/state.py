@@ -34,14 +34,16 @@ def base_state(vectors: DataFrame, columns: list, key: str = "doc_id") -> DataFr
     )
 
 
-def initial_state(vectors: DataFrame, k: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
-    """Random topics from a hash of (seed, document, position)."""
+def initial_state(
+    vectors: DataFrame, k: int, seed: int = 42, key: str = "doc_id", more: tuple[str, ...] = ()
+) -> DataFrame:
+    """Random topics from a hash of (seed, document, position), beside ``more`` columns; narrow."""
 
     def topic(_, at):
         drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_key"), at), F.lit(k))
         return drawn.cast(topic_type(k))
 
-    state = base_state(vectors, [F.col(key).alias("doc_id")], key)
+    state = base_state(vectors, [F.col(key).alias("doc_id"), *more], key)
     return state.withColumn("z", F.transform("words", topic))
 
 
