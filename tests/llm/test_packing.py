@@ -4,10 +4,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from topicloom.llm import packing
+from topicloom.session import ship_package
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -90,3 +92,38 @@ def test_every_letter_before_stops(spark):
         ids, ends = encoder.encode([t.encode() for t in part])
         for i, want in enumerate(tokenizer.encode_batch(part, add_special_tokens=False)):
             assert ids[ends[i] : ends[i + 1]].tolist() == want.ids + [1], part[i]
+
+
+def test_memory_of_a_worker_is_bounded(definition):
+    """Words are learnt in turns, and the memo forgets, without a change of the ids."""
+    class Watched:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.most = tokenizer, 0
+
+        def encode_batch_fast(self, words, **options):
+            self.most = max(self.most, len(words))
+            return self.tokenizer.encode_batch_fast(words, **options)
+
+    encoder = packing.Encoder(definition, 1)
+    whole = encoder.tokenizer
+    encoder.tokenizer = Watched(whole)
+    for turn in range(10):
+        text = " ".join(f"x{turn}y{i}" for i in range(30_000))
+        ids, edges = encoder.encode([text.encode()])
+        assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
+        assert len(encoder.known) + len(encoder.before) <= 270_000
+    assert 0 < encoder.tokenizer.most <= 2_000
+
+
+def test_workers_get_small_batches(spark):
+    """A worker holds some megabytes of rows at once, unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.newSession()
+    own.conf.set(name, str(50 * 2**20))
+    for session, found in ((spark.newSession(), range(4, 9)), (own, range(1, 2))):
+        ship_package(session)
+        rows = session.range(0, 8, numPartitions=1).selectExpr("repeat('a', 3 * 1024 * 1024) AS text")
+        sizes = rows.mapInArrow(
+            lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long"
+        ).collect()
+        assert len(sizes) in found and sum(r.n for r in sizes) == 8

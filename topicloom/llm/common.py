@@ -44,9 +44,9 @@ def with_uid(df: DataFrame, **columns) -> DataFrame:
 
 
 def chunks(
-    batch: pa.RecordBatch, column: str, field: str | None = None
+    batch: pa.RecordBatch, column: str, field: str | None = None, most: int = CHUNK_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of a batch of about CHUNK_BYTES of text, with the text as UTF-8; null is empty.
+    """Slices of a batch of about ``most`` bytes of text, with the text as UTF-8; null is empty.
 
     The text is a column, or the ``field`` of a struct column.  A longer text is a slice of
     its own and is never cut.
@@ -56,7 +56,7 @@ def chunks(
         texts = pc.struct_field(texts, field)
     texts = texts.cast(pa.binary())
     sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64)
-    group = np.cumsum(sizes) // CHUNK_BYTES
+    group = np.cumsum(sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:

@@ -39,7 +39,11 @@ from topicloom.session import ship_package
 LENGTH = 2048
 WIDTH, DIMENSIONS, BITS = 64, 3, 16
 #: Entries of the memo, and bytes of their words.
-WORD_MEMO, MEMO_BYTES = 200_000, 16 * 2**20
+WORD_MEMO, MEMO_BYTES = 100_000, 8 * 2**20
+#: Words whose encodings the tokenizer returns at once, each an object of some size.
+LEARN = 2_000
+#: Text whose words and ids a worker holds in arrays at once.
+STEP_BYTES = 2**20
 
 
 
@@ -193,10 +197,12 @@ class Encoder:
             self.known.update(zip(plain, self.words.encode(plain)))
             words = words.difference(plain)
         rest = list(words)
-        encoded = self.tokenizer.encode_batch_fast(
-            [w.decode() for w in rest], add_special_tokens=False
-        )
-        self.known.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
+        for a in range(0, len(rest), LEARN):
+            some = rest[a : a + LEARN]
+            encoded = self.tokenizer.encode_batch_fast(
+                [w.decode() for w in some], add_special_tokens=False
+            )
+            self.known.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
 
     def _recall(self, words: set[bytes]) -> None:
         self.known.update((w, self.before[w]) for w in words.intersection(self.before))
@@ -257,7 +263,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, definition: str, end_
         known, letters = send.value
         encoder = Encoder(known, end_id, letters)
         for batch in batches:
-            for part, texts in chunks(batch, "text"):
+            for part, texts in chunks(batch, "text", most=STEP_BYTES):
                 ids, edges = encoder.encode(texts)
                 width = 2 if narrow else 4
                 raw, cuts = ids.astype(f"<u{width}").tobytes(), (width * edges).tolist()

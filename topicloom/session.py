@@ -15,6 +15,10 @@ from pyspark.storagelevel import StorageLevel
 # Bytes of a broadcast side, as its rows are in memory; Spark's own limit is 8 GB.
 MAX_BROADCAST_BYTES = 320 * 2**20
 ROW_OVERHEAD = 24
+# Bytes of rows that Spark hands to a Python worker at once.  By default it is 64 MB or 10,000
+# rows, which the executor, its pipe and the worker then hold at the same time.
+BATCH_BYTES = 4 * 2**20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,8 +87,16 @@ def broadcast_if_small(
     return (F.broadcast(kept) if small else kept), small
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES in this session, unless it has a limit of its own."""
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Give the workers this package, wherever they run; once for each Spark context."""
+    """Give the workers this package, wherever they run, once for each Spark context, and
+    batches of a bounded size."""
+    bound_batches(spark)
     context = spark.sparkContext
     if getattr(context, "_topicloom_shipped", False):
         return
