@@ -386,7 +386,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tokenize_abbrev": lambda s, d: _n(tk.tokenize_abbrev(q.documents(s, d))),
         "clean_tokens": lambda s, d: _n(q.cleaned(s, d)),
         "stem_vocabulary": stem_vocabulary,
-        "preprocess_tokens": lambda s, d: _n(tk.preprocess_tokens(q.cleaned(s, d))),
+        "preprocess_tokens": lambda s, d: tk.stem_counts(q.documents(s, d)),
         "term_counts": lambda s, d: term_counts(stem_vocabulary(s, d)),
         "vocabulary": q.dictionary,
         "dictionary_listing": q.dictionary,

@@ -181,3 +181,27 @@ def test_published_stems(spark):
     cleaned = spark.createDataFrame([("flying",), ("flying",)], "token string")
     assert tk.stem_vocabulary(cleaned, "published").first().stem == "fly"
     assert tk.stem_vocabulary(cleaned).first().stem == "flying"
+
+
+def test_stem_counts_shuffle_texts_only(spark, monkeypatch):
+    """The counts of a document are made where its text is, by tasks of a bounded size."""
+    rows = [(1, "cats running, cat ran"), (1, "cats"), (2, None), (None, "the dogs' dog"), (3, "")]
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string")
+    cleaned = tk.clean_tokens(tk.tokenize(docs))
+    plain = tk.preprocess_tokens(cleaned).groupBy("doc_id", "stem").count().collect()
+    assert plain
+    for most, parts in ((400_000, 1), (1, 21)):  # 21 tokens that are no stop words
+        monkeypatch.setattr(tk, "TASK_TOKENS", most)
+        found = tk.stem_counts(docs)
+        assert set(map(tuple, found.collect())) == set(map(tuple, plain))
+        assert found.columns == ["doc_id", "stem", "n"]
+        assert found.rdd.getNumPartitions() == max(parts, spark.sparkContext.defaultParallelism)
+
+
+def test_query_of_stems_shuffles_no_counts(spark):
+    import __spark_entry__
+
+    found = __spark_entry__.queries()["preprocess_tokens"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert exchanges and not any("hashpartitioning(doc_id" in e and "stem" in e for e in exchanges)

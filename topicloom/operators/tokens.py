@@ -1,7 +1,7 @@
 """Text to cleaned, stemmed tokens.
 
-Every operator here is narrow except the counts over distinct tokens: nothing of
-the size of the corpus is shuffled.
+Every operator here is narrow except the counts over distinct tokens, where nothing of
+the size of the corpus is shuffled, and the stem counts of documents, for which texts are.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ from topicloom.session import broadcast_if_small, keep
 # holds fewer than MEMO_SHARE rows whatever the corpus.
 MEMO_SHARE = 4_000_000
 
+# Tokens that a task counts in memory, about; more of them, and its table of counts spills.
+TASK_TOKENS = 400_000
+
 
 def _explode(df: DataFrame, keys: Sequence[str], tokens) -> DataFrame:
     return df.select(*keys, F.explode(tokens).alias("token")).where(F.col("token") != "")
@@ -94,3 +97,20 @@ def preprocess_tokens(cleaned: DataFrame, stemmed: DataFrame | None = None) -> D
         .select(*keys, F.explode(box).alias("stem"))
         .where(tx.stem_length_ok(F.col("stem")))
     )
+
+
+def stem_counts(
+    docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text"
+) -> DataFrame:
+    """``(*keys, stem, n)``: how often each document has each stem of 3 to 14 letters.
+
+    The texts of a key meet in one task before they are taken apart, so that their counts
+    need no further shuffle, in as many tasks as the tokens ask for: each has about
+    ``TASK_TOKENS`` whatever the corpus.  A key with more is counted by one task, which spills.
+    """
+    stemmed = keep(stem_vocabulary(clean_tokens(tokenize(docs, keys, text))))
+    tokens = stemmed.agg(F.sum("n")).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS))
+    together = docs.select(*keys, text).repartition(parts, *keys)
+    found = preprocess_tokens(clean_tokens(tokenize(together, keys, text)), stemmed)
+    return found.groupBy(*keys, "stem").agg(F.count("*").alias("n"))
