@@ -127,3 +127,13 @@ def test_workers_get_small_batches(spark):
             lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long"
         ).collect()
         assert len(sizes) in found and sum(r.n for r in sizes) == 8
+
+
+def test_the_driver_lets_go_of_the_tokenizer(spark):
+    with open(PATH, encoding="utf-8") as file:
+        definition = file.read() + "\n"  # one that no other test has asked for
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    packing._tokenizer.cache_clear()
+    rows = packing.tokenised(docs, "doc_id", "text", definition, 1)
+    assert packing._tokenizer.cache_info().currsize == 0
+    assert sorted(r.n for r in rows.select("n").collect())[0] == 1

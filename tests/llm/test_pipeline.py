@@ -117,6 +117,38 @@ def test_every_ngram_keeps_its_own_ratio(spark):
         assert value == pytest.approx(sum(exact.get(g, exact.get(g[:-1], 0.0)) for g in grams), abs=1e-4)
 
 
+def test_ratios_are_planned_in_small_steps(spark, capsys):
+    """All levels in one plan, planned anew after each of its exchanges, filled the driver."""
+    frame = spark.createDataFrame([("bad", 0, 2), ("fine", 3, 1)], "word string, n_ordinary long, n_toxic long")
+    ratios = toxicity._log_ratios(toxicity._grams(frame))
+    capsys.readouterr()
+    ratios.explain()
+    assert 1 <= capsys.readouterr().out.count("Exchange") <= 8
+
+
+def test_lower_orders_are_kneser_ney_estimates(spark):
+    size, words = toxicity.ORDER, ["banana", "bandana", "an", "x"]
+    padded = ["\x01" * (size - 1) + w + "\x02" for w in words]
+    level = {p[i : i + size] for p in padded for i in range(len(p) - size + 1)}
+    frame = spark.createDataFrame([(w, 1, 0) for w in words], "word string, n_ordinary long, n_toxic long")
+    levels = []
+    for _ in range(size - 1):
+        counts = {}
+        for gram in level:
+            counts[gram[1:]] = counts.get(gram[1:], 0) + 1
+        levels.append(counts)
+        level = set(counts)
+    prob = {"": 1 / 256}
+    for counts in reversed(levels):
+        beside = {g: [n for h, n in counts.items() if h[:-1] == g[:-1]] for g in counts}
+        prob = {
+            g: (max(n - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(beside[g]) * prob[g[1:]]) / sum(beside[g])
+            for g, n in counts.items()
+        }
+    found = toxicity._continuations(toxicity._grams(frame)).collect()
+    assert {r.gram: r.prob for r in found} == pytest.approx(prob) and len(found) == len(prob)
+
+
 def test_passages_of_over_fifty_words_go(spark):
     rng = random.Random(2)
     passage = " ".join(f"p{rng.randrange(999)}" for _ in range(55))

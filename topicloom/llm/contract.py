@@ -65,6 +65,11 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return written(edges.mapInArrow(_stars, f"a {kind}, b {kind}, block long"), "edges")
 
 
+def _ends(edges: DataFrame) -> set:
+    """The first and the last block of ``edges``, in one step: none, one or two."""
+    return set(edges.agg(F.min("block"), F.max("block")).first()) - {None}
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): equal roots, same component.
 
@@ -80,7 +85,7 @@ def components(edges: DataFrame) -> DataFrame:
     steps, turn = [], 0
     ship_package(edges.sparkSession)
     edges = _contracted(edges)
-    while (blocks := edges.select("block").distinct().limit(2).count()) > 1:
+    while len(blocks := _ends(edges)) > 1:
         edges = edges.drop("block")
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 

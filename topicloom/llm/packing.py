@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import bounds, chunks, released, written
+from topicloom.llm.common import bounds, chunks, release, released, written
 from topicloom.llm.token_count import Merges, byte_letters
 from topicloom.session import ship_package
 
@@ -251,12 +251,23 @@ class Encoder:
         return ids, np.concatenate([[0], places[ends]])
 
 
+@functools.lru_cache(maxsize=2)
+def _told(definition: str) -> tuple[int, str]:
+    """The largest id and the ``split_letters``; the driver keeps these, not the tokenizer, which
+    takes tens of megabytes."""
+    last_id = max(_tokenizer(definition).get_vocab(with_added_tokens=True).values(), default=0)
+    letters = split_letters(definition)
+    _tokenizer.cache_clear()
+    release()
+    return last_id, letters
+
+
 def tokenised(docs: DataFrame, id_col: str, text_col: str, definition: str, end_id: int) -> DataFrame:
     """(uid, id, key, n, ids): ids as little-endian numbers of 16 bits, or 32 if need be."""
     ship_package(docs.sparkSession)
-    vocabulary = max(_tokenizer(definition).get_vocab(with_added_tokens=True).values(), default=0)
-    narrow = max(vocabulary, end_id) < 2**16
-    send = docs.sparkSession.sparkContext.broadcast((definition, split_letters(definition)))
+    last_id, letters = _told(definition)
+    narrow = max(last_id, end_id) < 2**16
+    send = docs.sparkSession.sparkContext.broadcast((definition, letters))
 
     @released
     def encode(batches):

@@ -29,11 +29,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from topicloom.llm.common import bounds, chunks, released, written
+from topicloom.llm.common import bounds, chunks, release, released, written
 from topicloom.session import ship_package
 
 ORDER = 6
@@ -96,28 +98,35 @@ def _grams(words: DataFrame) -> DataFrame:
     )
 
 
+def _of_context():
+    """The n-grams of a context: 256 at most, one for each letter that may follow."""
+    return Window.partitionBy("context")
+
+
 def _continuations(grams: DataFrame) -> DataFrame:
-    """(gram one shorter, prob): Kneser-Ney estimates of the shared lower orders."""
+    """(gram one shorter, prob): Kneser-Ney estimates of the shared lower orders.
+
+    Each level is a table of its own: as one plan the levels have some forty exchanges, and
+    the driver plans, describes and remembers what is left of it anew after each of them.
+    """
     levels = []
     higher = grams.select("gram")
-    for _ in range(ORDER - 1):
-        higher = higher.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(
-            F.count("*").alias("n")
-        )
-        levels.append(higher)
-        higher = higher.select("gram")
+    for size in range(ORDER - 1, 0, -1):
+        level = higher.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
+        levels.append(written(level, f"toxicity-level-{size}"))
+        higher = levels[-1].select("gram")
     shorter = None
     for size, level in enumerate(reversed(levels), 1):
         level = level.withColumn("context", F.substring("gram", 1, size - 1))
-        totals = level.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        level = level.join(totals, "context")
+        level = level.withColumn("total", F.sum("n").over(_of_context()))
+        level = level.withColumn("kinds", F.count("*").over(_of_context()))
         if shorter is None:
             level = level.withColumn("lower", F.lit(1 / 256))
         else:
             below = shorter.select(F.col("gram").alias("suffix"), F.col("prob").alias("lower"))
             level = level.withColumn("suffix", F.expr("substring(gram, 2)")).join(below, "suffix")
         share = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("lower")
-        shorter = level.select("gram", (share / F.col("total")).alias("prob"))
+        shorter = written(level.select("gram", (share / F.col("total")).alias("prob")), f"toxicity-shared-{size}")
     return shorter
 
 
@@ -127,15 +136,16 @@ def _log_ratios(grams: DataFrame) -> DataFrame:
     A gram unseen in both classes has the shared estimate in both models: only the
     weights of backing off from its context differ.
     """
-    context = F.substring("gram", 1, ORDER - 1)
-    totals = grams.groupBy(context.alias("context")).agg(
-        *[F.sum(n).cast("double").alias(f"total_{n}") for n in ("n_ordinary", "n_toxic")],
-        *[
-            F.sum(F.least(F.col(n).cast("double"), F.lit(CLASS_DISCOUNT))).alias(f"cut_{n}")
+    cells = grams.withColumn("context", F.substring("gram", 1, ORDER - 1))
+    sums = {
+        **{f"total_{n}": F.sum(F.col(n).cast("double")) for n in ("n_ordinary", "n_toxic")},
+        **{
+            f"cut_{n}": F.sum(F.least(F.col(n).cast("double"), F.lit(CLASS_DISCOUNT)))
             for n in ("n_ordinary", "n_toxic")
-        ],
-        F.count("*").alias("kinds"),
-    )
+        },
+        "kinds": F.count("*"),
+    }
+    totals = cells.groupBy("context").agg(*[of.alias(name) for name, of in sums.items()])
     pooled_total = F.col("total_n_ordinary") + F.col("total_n_toxic")
 
     def log_of(n, seen):
@@ -151,8 +161,8 @@ def _log_ratios(grams: DataFrame) -> DataFrame:
         return (log_of("n_toxic", seen) - log_of("n_ordinary", seen)).alias("ratio")
 
     lower = _continuations(grams).withColumnRenamed("gram", "suffix")
-    seen = grams.withColumn("context", context).withColumn("suffix", F.expr("substring(gram, 2)"))
-    seen = seen.join(totals, "context").join(lower, "suffix")
+    seen = cells.select("*", *[of.over(_of_context()).alias(name) for name, of in sums.items()])
+    seen = seen.withColumn("suffix", F.expr("substring(gram, 2)")).join(lower, "suffix")
     return seen.select("gram", ratio(True)).unionByName(totals.select(F.col("context").alias("gram"), ratio(False)))
 
 
@@ -232,10 +242,11 @@ class WordRatios:
 
 @dataclass
 class Model:
-    """Log-ratios and the logistic curve."""
+    """Log-ratios, the logistic curve, and the log-ratios as tasks have them."""
 
     table: RatioTable
     weights: np.ndarray
+    sent: Broadcast
 
     def score(self, features: np.ndarray) -> np.ndarray:
         x = _inputs(features) @ self.weights
@@ -314,13 +325,14 @@ def train(
     found = _log_ratios(grams).select("gram", F.col("ratio").cast("float").alias("ratio"))
     cells = found.mapInArrow(_to_keys, "key long, ratio float").toArrow()
     table = RatioTable(cells.column("key").to_numpy(), cells.column("ratio").to_numpy())
+    del cells
+    release()
+    sent = spark.sparkContext.broadcast(table)
 
     part = min(1.0, CALIBRATION_ROWS / max(1, count / 4))
     drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000)
     held = known.where((fold("id") == 4) & drawn).select("toxic", "text")
-    measure, schema = _features_of(
-        spark.sparkContext.broadcast(table), T.StructType([T.StructField("toxic", T.IntegerType())])
-    )
+    measure, schema = _features_of(sent, T.StructType([T.StructField("toxic", T.IntegerType())]))
     sample = held.mapInArrow(measure, schema).toArrow()
     toxic = np.asarray(sample.column("toxic").to_pylist(), dtype=float)
     if not len(toxic) or toxic.min() == toxic.max():
@@ -328,18 +340,16 @@ def train(
             F.avg((F.col(label_col) != 0).cast("double"))
         ).first()[0]
         share = min(max(share or 0.0, 1e-9), 1 - 1e-9)
-        return Model(table, np.array([np.log(share / (1 - share)), 0.0, 0.0]))
+        return Model(table, np.array([np.log(share / (1 - share)), 0.0, 0.0]), sent)
     features = np.asarray(sample.column("features").to_pylist(), dtype=float)
-    return Model(table, _fit(features, toxic))
+    return Model(table, _fit(features, toxic), sent)
 
 
 def _scored(rows: DataFrame, model: Model, column: str, field: str | None = None) -> DataFrame:
     """``rows`` with evidence and score, without the text unless it is a struct's field."""
-    spark = rows.sparkSession
-    ship_package(spark)
+    ship_package(rows.sparkSession)
     rest = T.StructType([f for f in rows.schema if f.name != column or field is not None])
-    sent = spark.sparkContext.broadcast(model.table)
-    measured = rows.mapInArrow(*_features_of(sent, rest, column, field))
+    measured = rows.mapInArrow(*_features_of(model.sent, rest, column, field))
     a, b, c = (float(w) for w in model.weights)
     mean, strong = F.col("features")[0], F.col("features")[1]
     z = F.lit(a) + F.lit(b) * mean + F.lit(c) * F.sqrt(strong)
