@@ -2,9 +2,10 @@ from math import lgamma
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import LDA
 
 from topicloom.operators import model as md
-from topicloom.operators.lda import em, heldout, online
+from topicloom.operators.lda import em, heldout, mllib, online
 from topicloom.operators.lda import kernel as kn
 from topicloom.operators.lda import meeting
 from topicloom.operators.lda import sampler as sp
@@ -347,6 +348,25 @@ def test_spark_ml_trainers(spark, planted):
         assert md.heldout_perplexity(planted, probs, K, V, 0.5, 20) < V
 
 
+def test_spark_em_in_small_tasks_without_going_back(planted, monkeypatch):
+    """As Spark's own loop gives it, in tasks of a bounded number of pairs; edges are made once."""
+    monkeypatch.setattr(mllib, "EM_TASK_PAIRS", 300)
+    pairs = planted.selectExpr("sum(size(term_ids))").first()[0]
+    lineages = []
+    for iterations in (2, 12):
+        fitted = fit_ml(planted.coalesce(1), V, "sparkem", K, iterations)
+        edges = fitted.model._java_obj.getModel().graph().edges()
+        assert edges.count() == pairs and edges.getNumPartitions() == -(-pairs // 300)
+        lineages.append(edges.toDebugString().count("RDD["))
+        own = LDA(
+            k=K, maxIter=iterations, seed=42, docConcentration=[1.5], topicConcentration=1.01, optimizer="em"
+        ).fit(mllib.em_tasks(fitted.features))
+        assert np.allclose(fitted.model.topicsMatrix().toArray(), own.topicsMatrix().toArray())
+        assert fitted.model.trainingLogLikelihood() == pytest.approx(own.trainingLogLikelihood())
+        assert fitted.model.getK() == K and fitted.model.toLocal().describeTopics(2).count() == K
+    assert lineages[0] == lineages[1]
+
+
 @pytest.mark.parametrize("bad", [dict(method="x"), dict(k=0), dict(alpha=0), dict(mh_steps=0)])
 def test_bad_arguments(planted, bad):
     with pytest.raises(ValueError):
